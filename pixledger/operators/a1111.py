@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pixledger.functions.jsonvalues import present_sql
 from pixledger.functions.loras import extract_loras
 from pixledger.functions.text import RE_SPACE, RE_WORD, SPACES_SQL, strip
+from pixledger.operators.stages import settle
 from pixledger.schemas import RECORD_TYPE, TOOL_A1111
 
 # Fixed values. Text values run to a comma, a line end or the end of the text.
@@ -115,6 +116,7 @@ def parse_a1111(df: DataFrame, text: str = "parameters", out: str = "a1111") ->
             AS {RECORD_TYPE})"""
     )
     accepted = F.col("_pieces").isNotNull() & ((F.size("_params") > 0) | (F.size("_loras") > 0))
-    return staged.withColumn(out, F.when(accepted, record)).drop(
+    parsed = staged.withColumn(out, F.when(accepted, record)).drop(
         "_body", "_pieces", "_start", "_folded", "_prompt", "_negative", "_params", "_loras"
     )
+    return settle(parsed, out)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pixledger.functions import jsonvalues as jv
 from pixledger.functions.loras import drop_model_ending_sql, extract_loras
 from pixledger.functions.text import bind_sql
+from pixledger.operators.stages import settle
 from pixledger.schemas import RECORD_TYPE, TOOL_COMFY
 
 # Node types and the inputs read from each.
@@ -52,7 +53,8 @@ def with_graph(df: DataFrame, prompt: str = "prompt_json", workflow: str = "work
     staged = staged.withColumn("_listed", F.from_json(F.col("_top")["nodes"], "array<string>", jv.STRICT))
     staged = staged.withColumn("_parsed", F.expr(_PARSED_SQL))
     staged = staged.withColumn("_described", F.expr(_DESCRIBED_SQL))
-    return staged.withColumn(out, F.expr(_NODES_SQL)).drop("_own", "_top", "_listed", "_parsed", "_described")
+    graph = staged.withColumn(out, F.expr(_NODES_SQL)).drop("_own", "_top", "_listed", "_parsed", "_described")
+    return settle(graph, out)
 
 
 _ENTRIES_SQL = """IF(_listed IS NOT NULL,
@@ -171,9 +173,10 @@ def parse_comfy(
     record = f"""CAST(named_struct('tool', '{TOOL_COMFY}', 'prompt', coalesce(get(_ordered, 0), ''),
         'negative_prompt', coalesce(get(_ordered, 1), ''), 'params', _params, 'loras', _loras,
         'models', NULL, 'date', NULL, 'generation_time', NULL) AS {RECORD_TYPE})"""
-    return staged.withColumn(out, F.expr(f"IF(_nodes IS NOT NULL, {record}, NULL)")).drop(
+    parsed = staged.withColumn(out, F.expr(f"IF(_nodes IS NOT NULL, {record}, NULL)")).drop(
         "_nodes", "_texts", "_params", "_node_loras", "_ordered", "_loras"
     )
+    return settle(parsed, out, f"{out}_error")
 
 
 def graph_links(df: DataFrame, nodes: str = "nodes") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pixledger.functions import jsonvalues as jv
 from pixledger.functions.loras import drop_model_ending_sql, extract_loras
 from pixledger.functions.text import SPACES_SQL, bind_sql, python_float_sql
+from pixledger.operators.stages import settle
 from pixledger.schemas import MODEL_TYPE, RECORD_TYPE, TOOL_EASY, TOOL_NOVELAI, TOOL_SWARM
 
 # Output key -> field in the JSON.
@@ -68,12 +69,13 @@ def parse_flat_json(
     staged = staged.withColumn("_loras", extract_loras(F.when(F.expr("_is_novelai OR _is_easy"), searched)))
     novelai_record = _flat_record_sql("_described", TOOL_NOVELAI, NOVELAI_FIELDS)
     easy_record = _flat_record_sql("_described", TOOL_EASY, EASY_FIELDS)
-    return staged.withColumns(
+    parsed = staged.withColumns(
         {
             novelai: F.expr(f"IF(_is_novelai, {novelai_record}, NULL)"),
             easy: F.expr(f"IF(_is_easy, {easy_record}, NULL)"),
         }
     ).drop("_described", "_is_novelai", "_is_easy", "_prompt", "_negative", "_loras")
+    return settle(parsed, novelai, easy)
 
 
 def parse_novelai_json(df: DataFrame, text: str = "parameters", out: str = "novelai") -> DataFrame:
@@ -88,7 +90,7 @@ def parse_easydiffusion(df: DataFrame, text: str = "parameters", out: str = "eas
 
 # A weight in the parallel list: a number, or text of one; else 1.0. A trailing
 # letter d or f makes a number to the JVM only.
-_LISTED_NUMBER_SQL = f"""CASE
+_LISTED_NUMBER_SQL = rf"""CASE
     WHEN w.kind = 'bool' THEN IF(w.text = 'True', 1D, 0D)
     WHEN w.kind IN ('str', 'int', 'float') AND NOT rlike(w.text, r'[dDfF]\s*$')
       THEN try_cast(btrim(w.text, {SPACES_SQL}) AS DOUBLE) END"""
@@ -154,6 +156,7 @@ def parse_swarm(df: DataFrame, objects: list[str], out: str = "swarm") -> DataFr
         'date', {extra["date"]},
         'generation_time', coalesce({extra["generation_time"]}, {extra["prep_time"]})) AS {RECORD_TYPE})"""
     staged = with_swarm_parts(df, objects).withColumn("_named", F.expr(_NAMED_SQL))
-    return staged.withColumn(out, F.expr(f"IF(_holder IS NOT NULL, {record}, NULL)")).drop(
+    parsed = staged.withColumn(out, F.expr(f"IF(_holder IS NOT NULL, {record}, NULL)")).drop(
         "_holder", "_image", "_extra", "_models", "_lora_list", "_weight_list", "_named"
     )
+    return settle(parsed, out)

@@ -11,6 +11,7 @@ from pixledger.operators.a1111 import parse_a1111
 from pixledger.operators.comfy import parse_comfy
 from pixledger.operators.inventory import check_limits, only_images
 from pixledger.operators.json_formats import parse_flat_json, parse_swarm, with_json_object
+from pixledger.operators.stages import settle
 from pixledger.schemas import (
     METADATA_COLUMNS,
     MODEL_TYPE,
@@ -79,12 +80,13 @@ def resolve_records(df: DataFrame, out: str = "record") -> DataFrame:
     staged = parse_a1111(staged, "_sidecar", "_from_sidecar")
 
     order = ["_swarm", "_comfy", "_novelai", "_easy", "_a1111_text", "_a1111", "_from_sidecar"]
-    return staged.withColumns(
+    resolved = staged.withColumns(
         {out: F.coalesce(*order), f"{out}_error": F.col("_comfy_error")}
     ).drop(
         "_object", "_comment", "_comment_object", "_prompt_json", "_workflow_json", "_text",
         "_sidecar", "_comfy_error", *order,
     )
+    return settle(resolved, out, f"{out}_error")
 
 
 def envelope(resolved: DataFrame, record: str = "record") -> DataFrame:

@@ -7,16 +7,18 @@ mounted file system, where they read a few kilobytes, or on bytes Spark read.
 
 from __future__ import annotations
 
-import io
 import struct
 import zlib
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
-_TAGS = "width int, height int, parameters string, prompt_json string, workflow_json string, user_comment string, read_error string"
-_FIELDS = [field.split()[0] for field in _TAGS.split(", ")]
+_NUMBERS = ["width", "height"]
+_TEXTS = ["parameters", "prompt_json", "workflow_json", "user_comment", "read_error"]
+_TAG_FIELDS = [T.StructField(n, T.IntegerType()) for n in _NUMBERS] + [T.StructField(n, T.StringType()) for n in _TEXTS]
+_TAG_SCHEMA = pa.schema([(n, pa.int32()) for n in _NUMBERS] + [(n, pa.string()) for n in _TEXTS])
 _KEYWORDS = {"parameters": "parameters", "prompt": "prompt_json", "workflow": "workflow_json"}
 
 # Fixed values of the file formats.
@@ -35,19 +37,21 @@ def extract_tags(files: DataFrame, content: str | None = "content", path: str =
     ``length`` first: that keeps oversized files from being read at all.
     """
     keep = [c for c in files.columns if c != content]
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in files.schema if f.name in keep)
+    if not content:
+        keep = files.columns
+    schema = T.StructType([f for f in files.schema if f.name in keep] + _TAG_FIELDS)
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if content:
-                found = [file_tags(io.BytesIO(data)) for data in batch[content]]
+                found = [file_tags(pa.BufferReader(data.as_buffer())) for data in batch.column(content)]
             else:
-                found = [_tags_of_path(p) for p in batch[path]]
-            tags = pd.DataFrame(found, columns=_FIELDS, index=batch.index)
-            tags[["width", "height"]] = tags[["width", "height"]].astype("Int32")
-            yield pd.concat([batch[keep], tags], axis=1)
+                found = [_tags_of_path(name.as_py()) for name in batch.column(path)]
+            tags = pa.RecordBatch.from_pylist(found, _TAG_SCHEMA)
+            columns = [batch.column(c) for c in keep] + tags.columns
+            yield pa.RecordBatch.from_arrays(columns, keep + tags.schema.names)
 
-    return files.mapInPandas(read, f"{schema}, {_TAGS}")
+    return files.mapInArrow(read, schema)
 
 
 def _tags_of_path(path: str) -> dict:
