@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 from pixledger.functions.jsonvalues import present_sql
 from pixledger.functions.loras import extract_loras
-from pixledger.functions.text import RE_SPACE, RE_WORD, SPACES_SQL, strip
+from pixledger.functions.text import RE_SPACE, RE_WORD, bind_sql, strip, strip_sql
 from pixledger.operators.stages import settle
 from pixledger.schemas import RECORD_TYPE, TOOL_A1111
 
 # Fixed values. Text values run to a comma, a line end or the end of the text.
-_NUMBER = r"\d+"
-_DECIMAL = r"[\d.]+"
-_TEXT = r"[^,\n]+?(?:,|\n|\z)"
+_NUMBER = r"(\d+)"
+_DECIMAL = r"([\d.]+)"
+_TEXT = r"([^,\n]+?)(?:,|\n|\z)"
 # Output key -> label in the text and shape of its value.
 PATTERNS = {
     "Steps": ("Steps", _NUMBER),
@@ -23,12 +23,12 @@ PATTERNS = {
     "Seed": ("Seed", _NUMBER),
     "Model": ("Model", _TEXT),
     "Scheduler": ("Scheduler", _TEXT),
-    "model_hash": ("Model hash", rf"{RE_WORD}+"),
+    "model_hash": ("Model hash", rf"({RE_WORD}+)"),
     "clip_skip": ("Clip skip", _NUMBER),
     "hires_upscale": ("Hires upscale", _DECIMAL),
     "hires_steps": ("Hires steps", _NUMBER),
     "denoising_strength": ("Denoising strength", _DECIMAL),
-    "Size": ("Size", r"\d+x\d+"),
+    "Size": ("Size", r"(\d+x\d+)"),
     "vae": ("VAE", _TEXT),
     "ensd": ("ENSD", _NUMBER),
     "aesthetic_score": ("Aesthetic score", _DECIMAL),
@@ -38,28 +38,30 @@ START_MARKERS = ["Steps:", "Size:", "Seed:", "Model:"]
 END_MARKERS = ["Steps:", "Size:", "Seed:", "Model:", "Sampler:"]
 
 
-def param_value_sql(text: str, folded: str, label: str, shape: str) -> str:
-    """SQL for the value of the first ``label: value``, any case; NULL if absent.
+def _found_sql(text: str) -> str:
+    """SQL for a struct of each label's first value, any case; NULL where absent.
 
-    The whole match is taken, since it is never empty when there is one, and the
-    label and closing comma are cut off after. A plain substring test on the
-    case-folded text spares most texts most patterns.
+    A match always captures something, if only a blank. A plain substring test on
+    the case-folded text spares most texts most patterns.
     """
-    found = f"substr(regexp_extract({text}, r'(?iU){label}:{RE_SPACE}*{shape}', 0), {len(label) + 2})"
-    value = f"rtrim(',', {found})" if shape == _TEXT else found
-    # A match always leaves something after the label, if only a space.
-    return f"""CASE WHEN contains({folded}, '{label.lower()}:')
-        THEN btrim(nullif({value}, ''), {SPACES_SQL}) END"""
+    cells = [
+        f"""'{key}', CASE WHEN contains(folded, '{label.lower()}:') THEN
+            nullif(regexp_extract({text}, r'(?iU){label}:{RE_SPACE}*{shape}', 1), '') END"""
+        for key, (label, shape) in PATTERNS.items()
+    ]
+    return bind_sql(f"lower(upper({text}))", "folded", f"named_struct({', '.join(cells)})")
 
 
-def _params_sql(text: str, folded: str) -> str:
+def _params_sql(found: str) -> str:
+    """SQL for the params of a found struct: text values trimmed, the size split."""
     pairs = {
-        key: param_value_sql(text, folded, *pattern) for key, pattern in PATTERNS.items() if key != "Size"
+        key: strip_sql(f"{found}.{key}") if shape == _TEXT else f"{found}.{key}"
+        for key, (_, shape) in PATTERNS.items()
+        if key != "Size"
     }
     # Found in any case, but split at a small x only.
-    size = param_value_sql(text, folded, *PATTERNS["Size"])
     for key, part in (("Width", 1), ("Height", -1)):
-        pairs[key] = f"IF(contains({size}, 'x'), substring_index({size}, 'x', {part}), NULL)"
+        pairs[key] = f"IF(contains({found}.Size, 'x'), substring_index({found}.Size, 'x', {part}), NULL)"
     return present_sql(pairs)
 
 
@@ -89,7 +91,6 @@ def parse_a1111(df: DataFrame, text: str = "parameters", out: str = "a1111") ->
         {
             "_pieces": F.split(body, f"(?iu){NEGATIVE_MARKER}", 2),
             "_start": _params_start(body),
-            "_folded": F.lower(F.upper(body)),
         }
     )
     before = F.char_length(F.col("_pieces")[0])
@@ -103,10 +104,15 @@ def parse_a1111(df: DataFrame, text: str = "parameters", out: str = "a1111") ->
                 .otherwise(F.substr(body, F.lit(1), F.col("_start")))
             ),
             "_negative": strip(F.substr(after, F.lit(1), F.coalesce(room, F.char_length(after)))),
-            "_params": F.expr(_params_sql("_body", "_folded")),
+            "_found": F.expr(_found_sql("_body")),
+        }
+    )
+    staged = staged.withColumns(
+        {
+            "_negative": F.coalesce(_cut_negative(F.col("_negative")), F.lit("")),
+            "_params": F.expr(_params_sql("_found")),
         }
     )
-    staged = staged.withColumn("_negative", F.coalesce(_cut_negative(F.col("_negative")), F.lit("")))
     staged = staged.withColumn(
         "_loras", extract_loras(F.concat_ws(" ", "_prompt", "_negative", "_body"))
     )
@@ -117,6 +123,6 @@ def parse_a1111(df: DataFrame, text: str = "parameters", out: str = "a1111") ->
     )
     accepted = F.col("_pieces").isNotNull() & ((F.size("_params") > 0) | (F.size("_loras") > 0))
     parsed = staged.withColumn(out, F.when(accepted, record)).drop(
-        "_body", "_pieces", "_start", "_folded", "_prompt", "_negative", "_params", "_loras"
+        "_body", "_pieces", "_start", "_found", "_prompt", "_negative", "_params", "_loras"
     )
     return settle(parsed, out)
