@@ -57,13 +57,13 @@ def pages(spark, sf):
 
 
 def page(spark, sf):
-    """The third page of every big folder."""
+    """The second page of every big folder."""
     ranked = browse.ranked(big_images(spark, sf))
-    third = None
+    pages = None
     for folder in ("click", "view", "purchase", "signup", "error"):
-        one = browse.page(ranked, f"/gallery/{folder}", 200, 400)
-        third = one if third is None else browse.load_more(third, one)
-    return third.select("folder", "name", "position", "next_cursor", "total")
+        one = browse.page(ranked, f"/gallery/{folder}", 50, 50)
+        pages = one if pages is None else browse.load_more(pages, one)
+    return pages.select("folder", "name", "position", "next_cursor", "total")
 
 
 def page_after(spark, sf):
@@ -156,7 +156,7 @@ QUERIES: Queries = {
     "O4_page": (
         page,
         _ranked_sql(
-            f"folder, name, position, {NEXT_CURSOR.format(end=600)}, total", where="position BETWEEN 401 AND 600"
+            f"folder, name, position, {NEXT_CURSOR.format(end=100)}, total", where="position BETWEEN 51 AND 100"
         ),
     ),
     "O4_page_after": (

@@ -27,6 +27,7 @@ _USER_COMMENT = 37510
 _EXIF_POINTER = 34665
 _ASCII_MARK = b"ASCII\x00\x00\x00"
 _TYPE_BYTES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 7: 1, 9: 4}
+_MAX_TEXT_BYTES = 1024 * 1024
 _NOT_FRAMES = {0xC4, 0xC8, 0xCC}
 
 
@@ -81,7 +82,7 @@ def file_tags(file) -> dict:
         if head[:4] in (b"II*\x00", b"MM\x00*"):
             ifd = _Exif(file.read()).entries()
             return _sized(ifd[256], ifd[257]) | _comment(ifd)
-    except (struct.error, zlib.error, KeyError, IndexError, ValueError):
+    except (struct.error, zlib.error, KeyError, IndexError, ValueError, OSError):
         pass
     return {"read_error": "invalid_file"}
 
@@ -115,14 +116,23 @@ def _png_text(kind: bytes, body: bytes) -> tuple[str, str]:
     if kind == b"tEXt":
         return keyword.decode("latin-1"), rest.decode("latin-1")
     if kind == b"zTXt":
-        return keyword.decode("latin-1"), zlib.decompress(rest[1:]).decode("latin-1")
+        return keyword.decode("latin-1"), _inflate(rest[1:]).decode("latin-1")
     packed, rest = rest[0], rest[2:]
     text = rest.split(b"\x00", 2)[2]
     if packed:
-        text = zlib.decompress(text)
+        text = _inflate(text)
     return keyword.decode("latin-1"), text.decode("utf-8", "ignore")
 
 
+def _inflate(data: bytes) -> bytes:
+    """Decompress a text chunk; one that swells beyond the limit spoils the file."""
+    unpacker = zlib.decompressobj()
+    text = unpacker.decompress(data, _MAX_TEXT_BYTES)
+    if unpacker.unconsumed_tail:
+        raise ValueError("text chunk too large")
+    return text
+
+
 def _jpeg(file) -> dict:
     tags: dict = {}
     file.seek(2)
