@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pixledger.operators.stages import settle
+
 INVENTORY_SQL = """
 SELECT event_id AS file_id,
        concat('/gallery/', event_type, '/user', CAST(user_id AS STRING)) AS folder,
@@ -81,7 +83,8 @@ def _view(spark: SparkSession, sf_dir: str, *tables: str) -> None:
 
 def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     _view(spark, sf_dir, "events")
-    return spark.sql(INVENTORY_SQL)
+    # Names are derived here but would be stored; filters must not derive them anew.
+    return settle(spark.sql(INVENTORY_SQL), "folder", "name")
 
 
 def raw_tags(spark: SparkSession, sf_dir: str) -> DataFrame:

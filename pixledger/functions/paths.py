@@ -37,7 +37,9 @@ def stem(name: Column) -> Column:
 
 
 def is_image(name: Column) -> Column:
-    return F.lower(suffix(name)).isin(IMAGE_SUFFIXES)
+    """One pattern, so that a derived name is computed once."""
+    endings = "|".join(suffix[1:] for suffix in IMAGE_SUFFIXES)
+    return name.rlike(rf"(?is).\.(?:{endings})\z")
 
 
 def is_hidden(name: Column) -> Column:

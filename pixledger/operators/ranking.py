@@ -20,7 +20,7 @@ The result equals the plain window's exactly. All keys ascend; see
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _SAMPLE_PER_RANGE = 16
@@ -49,17 +49,20 @@ def with_range(df: DataFrame, keys: list[str], tie: str, ranges: int | None = No
     )
     # Steps for up to twice the expected number of splitters.
     steps = [1 << bit for bit in range((2 * ranges).bit_length(), -1, -1)]
-    # The subquery is its own column because lambdas may not name one; the
-    # optimizer folds it back in, so the array is never copied into rows.
-    return df.withColumn("_splitters", splitters.scalar()).select(
-        *df.columns,
-        F.aggregate(
+    def search(row: Column) -> Column:
+        return F.aggregate(
             F.array(*[F.lit(step) for step in steps]),
             F.lit(0),
             lambda pos, step: F.when(
                 F.get(F.col("_splitters"), pos + step - 1) <= row, pos + step
             ).otherwise(pos),
-        ).alias("_range"),
+        )
+
+    # The row's keys are bound once, or each step of the search would build them
+    # anew. The subquery is its own column because lambdas may not name one; the
+    # optimizer folds it back in, so the array is never copied into rows.
+    return df.withColumn("_splitters", splitters.scalar()).select(
+        *df.columns, F.get(F.transform(F.array(row), search), 0).alias("_range")
     )
 
 
