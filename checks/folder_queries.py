@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from checks import fixtures as fx
 from checks import reference_sql as ref
 from checks.common import Queries, joined
-from pixledger.operators import folders
+from pixledger.operators import browse, folders
+from pixledger.operators.inventory import visible_images
 
 
 def image_count(spark, sf):
@@ -15,10 +16,8 @@ def image_count(spark, sf):
 
 
 def total_images(spark, sf):
-    """Each file's folder total, whatever page it is on."""
-    files = fx.inventory(spark, sf)
-    counts = folders.image_counts(files).withColumnRenamed("image_count", "total_images")
-    return files.select("file_id", "folder").join(counts, "folder").select("file_id", "total_images")
+    """Each listed image's folder total, whatever page it is on."""
+    return browse.ranked(visible_images(fx.inventory(spark, sf))).select("file_id", F.col("total").alias("total_images"))
 
 
 def has_children(spark, sf):
@@ -82,7 +81,7 @@ QUERIES: Queries = {
     "A2_total_images": (
         total_images,
         fx.oracle(
-            f"SELECT file_id, count(*) FILTER (WHERE {ref.VISIBLE}) OVER (PARTITION BY folder) AS total_images FROM inventory",
+            f"SELECT file_id, count(*) OVER (PARTITION BY folder) AS total_images FROM inventory WHERE {ref.VISIBLE}",
             **INV,
         ),
     ),

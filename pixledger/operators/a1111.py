@@ -122,7 +122,5 @@ def parse_a1111(df: DataFrame, text: str = "parameters", out: str = "a1111") ->
             AS {RECORD_TYPE})"""
     )
     accepted = F.col("_pieces").isNotNull() & ((F.size("_params") > 0) | (F.size("_loras") > 0))
-    parsed = staged.withColumn(out, F.when(accepted, record)).drop(
-        "_body", "_pieces", "_start", "_found", "_prompt", "_negative", "_params", "_loras"
-    )
-    return settle(parsed, out)
+    temporary = ("_body", "_pieces", "_start", "_found", "_prompt", "_negative", "_params", "_loras")
+    return settle(staged.withColumn(out, F.when(accepted, record)), out, drop=temporary)

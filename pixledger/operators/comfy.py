@@ -53,8 +53,8 @@ def with_graph(df: DataFrame, prompt: str = "prompt_json", workflow: str = "work
     staged = staged.withColumn("_listed", F.from_json(F.col("_top")["nodes"], "array<string>", jv.STRICT))
     staged = staged.withColumn("_parsed", F.expr(_PARSED_SQL))
     staged = staged.withColumn("_described", F.expr(_DESCRIBED_SQL))
-    graph = staged.withColumn(out, F.expr(_NODES_SQL)).drop("_own", "_top", "_listed", "_parsed", "_described")
-    return settle(graph, out)
+    temporary = ("_own", "_top", "_listed", "_parsed", "_described")
+    return settle(staged.withColumn(out, F.expr(_NODES_SQL)), out, drop=temporary)
 
 
 _ENTRIES_SQL = """IF(_listed IS NOT NULL,
@@ -173,10 +173,9 @@ def parse_comfy(
     record = f"""CAST(named_struct('tool', '{TOOL_COMFY}', 'prompt', coalesce(get(_ordered, 0), ''),
         'negative_prompt', coalesce(get(_ordered, 1), ''), 'params', _params, 'loras', _loras,
         'models', NULL, 'date', NULL, 'generation_time', NULL) AS {RECORD_TYPE})"""
-    parsed = staged.withColumn(out, F.expr(f"IF(_nodes IS NOT NULL, {record}, NULL)")).drop(
-        "_nodes", "_texts", "_params", "_node_loras", "_ordered", "_loras"
-    )
-    return settle(parsed, out, f"{out}_error")
+    parsed = staged.withColumn(out, F.expr(f"IF(_nodes IS NOT NULL, {record}, NULL)"))
+    temporary = ("_nodes", "_texts", "_params", "_node_loras", "_ordered", "_loras")
+    return settle(parsed, out, f"{out}_error", drop=temporary)
 
 
 def graph_links(df: DataFrame, nodes: str = "nodes") -> DataFrame:

@@ -74,8 +74,9 @@ def parse_flat_json(
             novelai: F.expr(f"IF(_is_novelai, {novelai_record}, NULL)"),
             easy: F.expr(f"IF(_is_easy, {easy_record}, NULL)"),
         }
-    ).drop("_described", "_is_novelai", "_is_easy", "_prompt", "_negative", "_loras")
-    return settle(parsed, novelai, easy)
+    )
+    temporary = ("_described", "_is_novelai", "_is_easy", "_prompt", "_negative", "_loras")
+    return settle(parsed, novelai, easy, drop=temporary)
 
 
 def parse_novelai_json(df: DataFrame, text: str = "parameters", out: str = "novelai") -> DataFrame:
@@ -156,7 +157,6 @@ def parse_swarm(df: DataFrame, objects: list[str], out: str = "swarm") -> DataFr
         'date', {extra["date"]},
         'generation_time', coalesce({extra["generation_time"]}, {extra["prep_time"]})) AS {RECORD_TYPE})"""
     staged = with_swarm_parts(df, objects).withColumn("_named", F.expr(_NAMED_SQL))
-    parsed = staged.withColumn(out, F.expr(f"IF(_holder IS NOT NULL, {record}, NULL)")).drop(
-        "_holder", "_image", "_extra", "_models", "_lora_list", "_weight_list", "_named"
-    )
-    return settle(parsed, out)
+    temporary = ("_holder", "_image", "_extra", "_models", "_lora_list", "_weight_list", "_named")
+    parsed = staged.withColumn(out, F.expr(f"IF(_holder IS NOT NULL, {record}, NULL)"))
+    return settle(parsed, out, drop=temporary)

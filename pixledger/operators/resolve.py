@@ -82,11 +82,12 @@ def resolve_records(df: DataFrame, out: str = "record") -> DataFrame:
     order = ["_swarm", "_comfy", "_novelai", "_easy", "_a1111_text", "_a1111", "_from_sidecar"]
     resolved = staged.withColumns(
         {out: F.coalesce(*order), f"{out}_error": F.col("_comfy_error")}
-    ).drop(
+    )
+    temporary = (
         "_object", "_comment", "_comment_object", "_prompt_json", "_workflow_json", "_text",
         "_sidecar", "_comfy_error", *order,
     )
-    return settle(resolved, out, f"{out}_error")
+    return settle(resolved, out, f"{out}_error", drop=temporary)
 
 
 def envelope(resolved: DataFrame, record: str = "record") -> DataFrame:

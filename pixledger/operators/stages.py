@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def settle(df: DataFrame, *names: str) -> DataFrame:
-    """Compute the named columns here, whatever is filtered on later.
+def settle(df: DataFrame, *names: str, drop: tuple[str, ...] = ()) -> DataFrame:
+    """Compute the named columns here, whatever is filtered on later, and leave
+    the columns in ``drop`` behind.
 
     A filter on a computed column is pushed below its projection by copying the
     expression into the filter. Over the staged parsers that multiplies the work
@@ -15,6 +16,6 @@ def settle(df: DataFrame, *names: str) -> DataFrame:
     output they use, so the columns go through a one-element explode; filters on
     all other columns still reach the scan.
     """
-    others = [c for c in df.columns if c not in names]
+    others = [c for c in df.columns if c not in names and c not in drop]
     packed = df.select(*others, F.explode_outer(F.array(F.struct(*names))).alias("_settled"))
     return packed.select(*others, *[F.col("_settled")[name].alias(name) for name in names])
