@@ -46,15 +46,34 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> pa.Array:
     return pc.fill_null(batch.column(column).cast(pa.large_string()), "")
 
 
-def ascii_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """All words ``[^\\x20\\x09-\\x0D]+`` of texts with A-Z lowered, and each text's word count."""
-    split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+def raw(texts: pa.Array) -> tuple[bytes, np.ndarray]:
+    """The UTF-8 bytes of all texts end to end, and each text's offset with the end of the last."""
+    n = len(texts)
+    if not n:
+        return b"", np.zeros(1, np.int64)
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + n + 1]
+    data = texts.buffers()[2]
+    return (data[int(offsets[0]) : int(offsets[-1])].to_pybytes() if data else b""), offsets - offsets[0]
+
+
+def words_by(data: bytes, offsets: np.ndarray, translate: bytes) -> tuple[pa.Array, np.ndarray]:
+    """All words of texts after a byte translation that maps what separates words to white space; each text's word count."""
+    texts = pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(np.ascontiguousarray(offsets)), pa.py_buffer(data.translate(translate)))
+    split = pc.ascii_split_whitespace(texts)
     flat, owner = split.flatten(), pc.list_parent_indices(split)
     full = pc.greater(pc.binary_length(flat), 0)
     flat, owner = flat.filter(full), owner.filter(full).to_numpy()
     return flat, np.bincount(owner, minlength=len(texts))
 
 
+_LOWER = bytes(range(256)).lower()
+
+
+def ascii_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All words ``[^\\x20\\x09-\\x0D]+`` of texts with A-Z lowered, and each text's word count."""
+    return words_by(*raw(texts), _LOWER)
+
+
 def word_hashes(words: pa.Array) -> np.ndarray:
     """A 64-bit hash per word; each distinct word of the chunk is hashed once."""
     if not len(words):

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pixledger.llm.jaccard_join import op1_jaccard_join
+from pixledger.llm.quality import op2_quality
 
 QUERIES = {
     "op1_jaccard_join": op1_jaccard_join,
+    "op2_quality": op2_quality,
 }
 
 ORACLES: dict[str, str] = {}
