@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from pixledger.llm.decontaminate import op9_decontaminate
 from pixledger.llm.jaccard_join import op1_jaccard_join
+from pixledger.llm.packing import op6_packing
 from pixledger.llm.quality import op2_quality
+from pixledger.llm.secrets import op4_secrets
 
 QUERIES = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_quality": op2_quality,
+    "op4_secrets": op4_secrets,
+    "op6_packing": op6_packing,
+    "op9_decontaminate": op9_decontaminate,
 }
 
 ORACLES: dict[str, str] = {}
