@@ -92,36 +92,62 @@ def _normal_tail(z: Column) -> Column:
     return 1 / (1 + F.exp(F.least(F.greatest(1.5976 * z + 0.07056 * z * z * z, F.lit(-700.0)), F.lit(700.0))))
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value worked out once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _two_sided(z: Column) -> Column:
+    return 2 * _normal_tail(F.abs(z))
+
+
 def likeness(token: Column) -> Column:
     """How well a token passes for random text of its encoding: the combined p-value, 0 to 1."""
     letters = token.rlike("^[A-Za-z]+$")
-    body = F.when(letters, F.lower(token)).otherwise(token)
     alphabet = F.lit(ENCODINGS[-1][2])
     for _, pattern, symbols in reversed(ENCODINGS[:-1]):
         alphabet = F.when(token.rlike(pattern), F.lit(symbols)).otherwise(alphabet)
     alphabet = F.when(letters, F.lit(_LETTERS)).otherwise(alphabet)
-    size, n = F.length(alphabet).cast("double"), F.length(token).cast("double")
-    chars = F.split(body, "(?<=.)(?=.)")
-    squares = F.aggregate(
-        F.array_distinct(chars), F.lit(0.0), lambda s, c: s + F.pow(F.length(body) - F.length(F.replace(body, c, F.lit(""))), F.lit(2.0))
-    )
-    freedom = size - 1
-    chi = squares * size / n - n
-    uniform = _normal_tail((F.pow(F.greatest(chi, F.lit(0.0)) / freedom, F.lit(1 / 3)) - (1 - 2 / (9 * freedom))) / F.sqrt(2 / (9 * freedom)))
-    codes = F.transform(chars, lambda c: F.position(c, alphabet).cast("double"))
-    pairs = F.zip_with(F.slice(codes, 1, F.length(token) - 1), F.slice(codes, 2, F.length(token) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    middle = (size + 1) / 2
-    high = F.aggregate(codes, F.lit(0.0), lambda s, c: s + (c > middle).cast("double"))
-    runs = F.aggregate(pairs, F.lit(1.0), lambda s, p: s + ((p["a"] > middle) != (p["b"] > middle)).cast("double"))
-    expected = 2 * high * (n - high) / n + 1
-    spread = (expected - 1) * (expected - 2) / (n - 1)
-    even = F.when(spread > 0, 2 * _normal_tail(F.abs(runs - expected) / F.sqrt(spread))).otherwise(F.lit(1e-6))
-    mean = F.aggregate(codes, F.lit(0.0), lambda s, c: s + c) / n
-    variance = F.aggregate(codes, F.lit(0.0), lambda s, c: s + (c - mean) * (c - mean))
-    covariance = F.aggregate(pairs, F.lit(0.0), lambda s, p: s + (p["a"] - mean) * (p["b"] - mean))
-    serial = F.when(variance > 0, 2 * _normal_tail(F.abs(covariance / variance) * F.sqrt(n))).otherwise(F.lit(1e-6))
-    half = -sum((F.log(F.greatest(p, F.lit(1e-12))) for p in (even, serial)), F.log(F.greatest(uniform, F.lit(1e-12))))
-    return F.exp(-half) * (1 + half + half * half / 2)
+    read = F.struct(F.when(letters, F.lower(token)).otherwise(token).alias("body"), alphabet.alias("alphabet"))
+
+    def coded(r: Column) -> Column:
+        chars = F.split(r["body"], "(?<=.)(?=.)")
+        return F.struct(
+            r["body"].alias("body"), F.length(r["body"]).cast("double").alias("n"), F.length(r["alphabet"]).cast("double").alias("size"),
+            chars.alias("chars"), F.transform(chars, lambda c: F.position(c, r["alphabet"]).cast("double")).alias("codes"),
+        )
+
+    def counted(r: Column) -> Column:
+        equal = F.aggregate(
+            F.array_distinct(r["chars"]), F.lit(0.0), lambda s, c: s + F.pow(r["n"] - F.length(F.replace(r["body"], c, F.lit(""))), F.lit(2.0))
+        )
+        return F.struct(
+            r["n"].alias("n"), r["size"].alias("size"), r["codes"].alias("codes"), ((r["size"] + 1) / 2).alias("middle"),
+            (equal * r["size"] / r["n"] - r["n"]).alias("chi"), (F.aggregate(r["codes"], F.lit(0.0), lambda s, c: s + c) / r["n"]).alias("mean"),
+            F.arrays_zip(F.slice(r["codes"], 1, r["n"].cast("int") - 1).alias("a"), F.slice(r["codes"], 2, r["n"].cast("int") - 1).alias("b")).alias("pairs"),
+        )
+
+    def measured(r: Column) -> Column:
+        total = lambda values, f: F.aggregate(values, F.lit(0.0), lambda s, x: s + f(x))
+        high = total(r["codes"], lambda c: (c > r["middle"]).cast("double"))
+        return F.struct(
+            r["n"].alias("n"), (r["size"] - 1).alias("freedom"), r["chi"].alias("chi"), (2 * high * (r["n"] - high) / r["n"] + 1).alias("expected"),
+            (1 + total(r["pairs"], lambda p: ((p["a"] > r["middle"]) != (p["b"] > r["middle"])).cast("double"))).alias("runs"),
+            total(r["codes"], lambda c: (c - r["mean"]) * (c - r["mean"])).alias("variance"),
+            total(r["pairs"], lambda p: (p["a"] - r["mean"]) * (p["b"] - r["mean"])).alias("covariance"),
+        )
+
+    def tested(r: Column) -> Column:
+        ratio = F.pow(F.greatest(r["chi"], F.lit(0.0)) / r["freedom"], F.lit(1 / 3))
+        uniform = _normal_tail((ratio - (1 - 2 / (9 * r["freedom"]))) / F.sqrt(2 / (9 * r["freedom"])))
+        spread = (r["expected"] - 1) * (r["expected"] - 2) / (r["n"] - 1)
+        even = F.when(spread > 0, _two_sided((r["runs"] - r["expected"]) / F.sqrt(spread))).otherwise(F.lit(0.0))
+        serial = F.when(r["variance"] > 0, _two_sided(r["covariance"] / r["variance"] * F.sqrt(r["n"]))).otherwise(F.lit(0.0))
+        log = lambda p: F.log(F.greatest(p, F.lit(1e-12)))
+        return -(log(uniform) + log(even) + log(serial))
+
+    half = _let(_let(_let(_let(read, coded), counted), measured), tested)
+    return _let(half, lambda h: F.exp(-h) * (1 + h + h * h / 2))
 
 
 def _group(token: Column) -> Column:
