@@ -17,10 +17,15 @@ CHUNK_BYTES = 4 << 20
 
 
 def stored(df: DataFrame, purpose: str) -> DataFrame:
-    """Written below the shared checkpoint folder and read again: cuts the lineage, survives lost executors."""
+    """Written below the shared checkpoint folder and read again: cuts the lineage, survives lost executors.
+
+    The shuffle files behind it are no longer needed then; Spark removes them
+    once the driver's garbage is collected, so that is asked for.
+    """
     spark = df.sparkSession
     path = shared_dir(spark, purpose)
     df.write.parquet(path)
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
