@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from pixledger.llm.decontaminate import op9_decontaminate
+from pixledger.llm.fingerprints import op3_fingerprints
 from pixledger.llm.jaccard_join import op1_jaccard_join
+from pixledger.llm.language import op10_language
 from pixledger.llm.packing import op6_packing
 from pixledger.llm.quality import op2_quality
 from pixledger.llm.secrets import op4_secrets
@@ -11,9 +13,11 @@ from pixledger.llm.secrets import op4_secrets
 QUERIES = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_quality": op2_quality,
+    "op3_fingerprints": op3_fingerprints,
     "op4_secrets": op4_secrets,
     "op6_packing": op6_packing,
     "op9_decontaminate": op9_decontaminate,
+    "op10_language": op10_language,
 }
 
 ORACLES: dict[str, str] = {}
