@@ -9,12 +9,14 @@ from pixledger.llm.language import op10_language
 from pixledger.llm.packing import op6_packing
 from pixledger.llm.quality import op2_quality
 from pixledger.llm.secrets import op4_secrets
+from pixledger.llm.url_filter import op5_url_filter
 
 QUERIES = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_quality": op2_quality,
     "op3_fingerprints": op3_fingerprints,
     "op4_secrets": op4_secrets,
+    "op5_url_filter": op5_url_filter,
     "op6_packing": op6_packing,
     "op9_decontaminate": op9_decontaminate,
     "op10_language": op10_language,
