@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pixledger.llm.decontaminate import op9_decontaminate
 from pixledger.llm.fingerprints import op3_fingerprints
+from pixledger.llm.html_text import op8_html_text
 from pixledger.llm.jaccard_join import op1_jaccard_join
 from pixledger.llm.language import op10_language
 from pixledger.llm.packing import op6_packing
+from pixledger.llm.personal_data import op7_personal_data
 from pixledger.llm.quality import op2_quality
 from pixledger.llm.secrets import op4_secrets
 from pixledger.llm.url_filter import op5_url_filter
@@ -18,6 +20,8 @@ QUERIES = {
     "op4_secrets": op4_secrets,
     "op5_url_filter": op5_url_filter,
     "op6_packing": op6_packing,
+    "op7_personal_data": op7_personal_data,
+    "op8_html_text": op8_html_text,
     "op9_decontaminate": op9_decontaminate,
     "op10_language": op10_language,
 }
