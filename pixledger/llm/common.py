@@ -33,6 +33,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def set_apart(docs: DataFrame, *names: str) -> DataFrame:
+    """``docs`` with all columns but ``names`` called by their place, so that no added column can clash with them."""
+    return docs.toDF(*[c if c in names else f"kept_{i}" for i, c in enumerate(docs.columns)])
+
+
 def chunks(batches: Iterable[pa.RecordBatch], column: str, most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the batches that hold about ``most`` bytes of ``column``, one row at least."""
     for batch in batches:

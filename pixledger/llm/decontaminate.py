@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixledger.llm.common import chunks, raw, starts_of, stored, table, texts_of, words_by
+from pixledger.llm.common import chunks, raw, set_apart, starts_of, stored, table, texts_of, words_by
 
 WINDOW = 10
 BLOCK_BYTES = 4 << 20
@@ -281,12 +281,13 @@ def _cut(batches):
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the benchmark spans in their texts; ``n_chars`` follows the text where there is one."""
-    found = contamination(docs, benchmark)
+    apart = set_apart(docs, "text", "n_chars")
+    found = contamination(apart, benchmark)
     out = found.mapInArrow(_cut, found.schema)
     if "n_chars" in docs.columns:
         count = F.when(F.size("bench_from") > 0, F.length("text")).otherwise(F.col("n_chars"))
         out = out.withColumn("n_chars", count.cast(docs.schema["n_chars"].dataType))
-    return out.select(docs.columns)
+    return out.select(apart.columns).toDF(*docs.columns)
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

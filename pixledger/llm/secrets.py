@@ -9,7 +9,7 @@ Fisher's method combines them to one likeness to random text.
 How random ordinary words look depends on their length, so the null is measured:
 over all documents, the likeness of all-letter tokens is counted by length group.
 A mixed token (letters and digits) has as its p-value the share of all-letter
-tokens of its length group, or of a shorter group where that share is larger, that
+tokens of its length group and shorter ones, which pass for random more easily, that
 look as random. Benjamini-Hochberg's rule sets one threshold per length group at the
 rate ``RATE``. Only these counts, a fixed number of bins, reach the driver.
 
@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixledger.llm.common import table
+from pixledger.llm.common import set_apart, table
 
 KINDS = ["assign", "access", "hex", "random"]
 KEYS = "(password|passwd|secret|token|api_?key)"
@@ -168,18 +168,14 @@ def thresholds(docs: DataFrame, rate: float = RATE) -> list[float]:
     words, mixed = [[0] * BINS for _ in range(GROUPS)], [[0] * BINS for _ in range(GROUPS)]
     for row in binned.collect():  # GROUPS * 2 * BINS rows at most
         (mixed if row["mixed"] else words)[row["g"]][row["bin"]] += row["n"]
-    out, worst = [], [0.0] * BINS
+    out, pooled = [], [0] * BINS
     for g in range(GROUPS):
-        above, all_words, all_mixed = 0, sum(words[g]), sum(mixed[g])
-        chosen, taken = 2.0, 0
-        tail = [0.0] * BINS
+        pooled = [x + y for x, y in zip(pooled, words[g])]
+        known, all_mixed = sum(pooled), sum(mixed[g])
+        chosen, above, taken = 2.0, 0, 0
         for b in range(BINS - 1, -1, -1):
-            above += words[g][b]
-            tail[b] = (above + 1) / (all_words + 1) if all_words else 0.0
-        worst = [max(x, y) for x, y in zip(worst, tail)]
-        for b in range(BINS - 1, -1, -1):
-            taken += mixed[g][b]
-            if taken and worst[b] * all_mixed <= rate * taken:
+            above, taken = above + pooled[b], taken + mixed[g][b]
+            if taken and (above + 1) / (known + 1) * all_mixed <= rate * taken:
                 chosen = b / BINS
         out.append(chosen)
     return out
@@ -215,7 +211,8 @@ def _written(spans: Column) -> Column:
 
 def redacted(docs: DataFrame) -> DataFrame:
     """``docs`` with every secret's span replaced in ``text``; ``n_chars`` follows where there is one and the text changed."""
-    found = with_secrets(docs, thresholds(docs))
+    apart = set_apart(docs, "text", "n_chars")
+    found = with_secrets(apart, thresholds(apart))
 
     def step(state: Column, s: Column) -> Column:
         new = s["start"] >= state["at"]
@@ -228,7 +225,7 @@ def redacted(docs: DataFrame) -> DataFrame:
     if "n_chars" in docs.columns:
         count = F.when(F.size("secret_spans") > 0, F.length("text")).otherwise(F.col("n_chars"))
         out = out.withColumn("n_chars", count.cast(docs.schema["n_chars"].dataType))
-    return out.select(docs.columns)
+    return out.select(apart.columns).toDF(*docs.columns)
 
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
