@@ -35,6 +35,8 @@ BASES = (911_382_323, 972_663_749)
 SPAN = 12
 SLOTS = 64
 _EMPTY = 0xFFFF
+#: Bytes of text at once; each takes about a hundred times as many in arrays.
+_CHUNK = 1 << 20
 
 
 @functools.lru_cache(4)
@@ -165,7 +167,7 @@ def _paired(id_type: pa.DataType):
     def rows(batches):
         """Rows come by (part, place); a row with own = 0 is the first of the next part and only ends this one."""
         part, held, done = None, None, True
-        for batch in chunks(batches, "text"):
+        for batch in chunks(batches, "text", _CHUNK):
             ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
             parts, owns = batch.column("part").to_pylist(), batch.column("own").to_pylist()
             at = 0
