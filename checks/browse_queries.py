@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from checks import fixtures as fx
 from checks import reference_sql as ref
 from checks.common import Queries, big_folders, joined
-from pixledger.operators import browse
+from checks.folder_queries import NODES
+from pixledger.operators import browse, folders
 from pixledger.operators import inventory as inv
-from pixledger.plans.browse import scan_folder
+from pixledger.plans.browse import scan_errors, scan_folder
 
 
 def images(spark, sf):
@@ -61,22 +62,22 @@ def page(spark, sf):
     ranked = browse.ranked(big_images(spark, sf))
     pages = None
     for folder in ("click", "view", "purchase", "signup", "error"):
-        one = browse.page(ranked, f"/gallery/{folder}", 50, 50)
+        one = browse.page(ranked, f"/pictures/{folder}", 50, 50)
         pages = one if pages is None else browse.load_more(pages, one)
     return pages.select("folder", "name", "position", "next_cursor", "total")
 
 
 def page_after(spark, sf):
     """The page after a given name, without ranking."""
-    return browse.page_after(big_images(spark, sf), "/gallery/click", "Img500.png", 200).select("file_id", "name")
+    return browse.page_after(big_images(spark, sf), "/pictures/click", "Img500.png", 200).select("file_id", "name")
 
 
 def load_more(spark, sf):
     """Pages appended one by one are the first rows of the order."""
-    ranked = browse.ranked(big_images(spark, sf).where("folder = '/gallery/view'"))
-    loaded = browse.page(ranked, "/gallery/view", 200, 0)
+    ranked = browse.ranked(big_images(spark, sf).where("folder = '/pictures/view'"))
+    loaded = browse.page(ranked, "/pictures/view", 200, 0)
     for cursor in (200, 400):
-        loaded = browse.load_more(loaded, browse.page(ranked, "/gallery/view", 200, cursor))
+        loaded = browse.load_more(loaded, browse.page(ranked, "/pictures/view", 200, cursor))
     return loaded.select("file_id", "position")
 
 
@@ -88,13 +89,39 @@ def union_of_pages(spark, sf):
 
 
 def scan(spark, sf):
-    """One folder as the gallery asks for it: searched, newest first, first page."""
-    _, page_rows = scan_folder(big_folders(fx.inventory(spark, sf)), "/gallery/signup", "7", "date", None, 50)
+    """One folder as a viewer asks for it: searched, newest first, first page."""
+    _, page_rows = scan_folder(big_folders(fx.inventory(spark, sf)), "/pictures/signup", "7", "date", None, 50)
     return page_rows.select("file_id", "position", "total", "next_cursor")
 
 
+def collated_desc(spark, sf):
+    return browse.ranked(big_images(spark, sf), "collated", "desc").select("file_id", "position")
+
+
+def sort_folders(spark, sf):
+    """Folders in natural order among their siblings."""
+    placed = browse.ranked_folders(folders.folder_table(fx.inventory(spark, sf)))
+    return placed.select("path", "position", "total")
+
+
+def page_of(spark, sf):
+    """One folder's page, read without ranking the others."""
+    return browse.page_of(big_images(spark, sf), "/pictures/click", limit=50, cursor=50).select("name", "position", "next_cursor", "total")
+
+
+def asked_paths(spark, sf):
+    """Folders, files, missing folders and paths outside the root, as requested."""
+    asked = fx.inventory(spark, sf).select(
+        F.expr(
+            """CASE file_id % 4 WHEN 0 THEN folder WHEN 1 THEN concat('"', folder, '/', name, '"')
+            WHEN 2 THEN concat(folder, '/missing', file_id) ELSE concat('/pictures/../other/', name) END"""
+        ).alias("path")
+    )
+    return scan_errors(asked, fx.inventory(spark, sf), "/pictures")
+
+
 def scan_sub_folders(spark, sf):
-    found, _ = scan_folder(fx.inventory(spark, sf), "/gallery/signup", "USER1")
+    found, _ = scan_folder(fx.inventory(spark, sf), "/pictures/signup", "USER1")
     return found.select("path", "image_count")
 
 
@@ -139,6 +166,30 @@ QUERIES: Queries = {
     "O1_natural_order": (natural_order, _ranked_sql("file_id, position, total", big=False)),
     "O1_natural_order_big_folders": (natural_order_big_folders, _ranked_sql("file_id, position, total")),
     "O2_collated_order": (collated_order, _ranked_sql("file_id, position")),
+    "O2_collated_desc": (collated_desc, _ranked_sql("file_id, position", "nk DESC, path DESC")),
+    "O3_sort_folders": (
+        sort_folders,
+        fx.oracle(
+            f"""SELECT path, row_number() OVER (PARTITION BY parent ORDER BY {ref.NATURAL_KEY}, path) AS position,
+              count(*) OVER (PARTITION BY parent) AS total FROM tree WHERE parent IS NOT NULL""",
+            ctes=NODES,
+            inventory=True,
+        ),
+    ),
+    "O4_page_of": (
+        page_of,
+        _ranked_sql("name, position, CASE WHEN total > 100 THEN 100 END AS next_cursor, total", where="folder = '/pictures/click' AND position > 50 AND position <= 100"),
+    ),
+    "E1_scan_errors": (
+        asked_paths,
+        fx.oracle(
+            """SELECT CASE file_id % 4 WHEN 0 THEN folder WHEN 1 THEN concat('"', folder, '/', name, '"')
+              WHEN 2 THEN concat(folder, '/missing', file_id) ELSE concat('/pictures/../other/', name) END AS path,
+              CASE file_id % 4 WHEN 1 THEN 'not_directory' WHEN 2 THEN 'not_found' WHEN 3 THEN 'permission' END AS error_type
+            FROM inventory""",
+            inventory=True,
+        ),
+    ),
     "O3_sort_by_name_desc": (sort_by_name_desc, _ranked_sql("file_id, position", "nk DESC, path")),
     "O3_sort_by_date": (
         sort_by_date,
@@ -162,13 +213,13 @@ QUERIES: Queries = {
     "O4_page_after": (
         page_after,
         fx.oracle(
-            """SELECT file_id, name FROM images WHERE folder = '/gallery/click' AND file_id >= 500
+            """SELECT file_id, name FROM images WHERE folder = '/pictures/click' AND file_id >= 500
               AND name > '' AND lower(name) <> 'img500.png' ORDER BY nk, path LIMIT 200""",
             inventory=True,
             ctes=ref.BIG_IMAGES,
         ),
     ),
-    "O5_load_more": (load_more, _ranked_sql("file_id, position", where="folder = '/gallery/view' AND position <= 600")),
+    "O5_load_more": (load_more, _ranked_sql("file_id, position", where="folder = '/pictures/view' AND position <= 600")),
     "U1_union_of_pages": (
         union_of_pages,
         fx.oracle(f"SELECT file_id, folder, name FROM inventory WHERE {ref.VISIBLE}", inventory=True),
@@ -178,7 +229,7 @@ QUERIES: Queries = {
         fx.oracle(
             f"""SELECT file_id, position, total, {NEXT_CURSOR.format(end=50)} FROM (
               SELECT *, row_number() OVER (ORDER BY mtime DESC) AS position, count(*) OVER () AS total
-              FROM inventory WHERE folder LIKE '/gallery/signup/%' AND contains(name, '7') AND {ref.VISIBLE})
+              FROM inventory WHERE folder LIKE '/pictures/signup/%' AND contains(name, '7') AND {ref.VISIBLE})
             WHERE position <= 50""",
             inventory=True,
         ),
@@ -187,7 +238,7 @@ QUERIES: Queries = {
         scan_sub_folders,
         fx.oracle(
             f"""SELECT folder AS path, count(*) FILTER (WHERE {ref.VISIBLE}) AS image_count FROM inventory
-              WHERE folder LIKE '/gallery/signup/user1%' GROUP BY folder""",
+              WHERE folder LIKE '/pictures/signup/user1%' GROUP BY folder""",
             inventory=True,
         ),
     ),

@@ -12,7 +12,7 @@ from pixledger.operators.stages import settle
 
 INVENTORY_SQL = """
 SELECT event_id AS file_id,
-       concat('/gallery/', event_type, '/user', CAST(user_id AS STRING)) AS folder,
+       concat('/pictures/', event_type, '/user', CAST(user_id AS STRING)) AS folder,
        concat(CASE WHEN event_id % 37 = 0 THEN '.' ELSE '' END, 'Img', CAST(event_id AS STRING),
               CASE event_id % 9 WHEN 0 THEN '.png' WHEN 1 THEN '.jpg' WHEN 2 THEN '.jpeg'
                 WHEN 3 THEN '.webp' WHEN 4 THEN '.gif' WHEN 5 THEN '.PNG' WHEN 6 THEN '.txt'

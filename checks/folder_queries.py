@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from checks import fixtures as fx
 from checks import reference_sql as ref
 from checks.common import Queries, joined
-from pixledger.operators import browse, folders
+from pixledger.operators import folders
 from pixledger.operators.inventory import visible_images
 
 
@@ -17,7 +17,9 @@ def image_count(spark, sf):
 
 def total_images(spark, sf):
     """Each listed image's folder total, whatever page it is on."""
-    return browse.ranked(visible_images(fx.inventory(spark, sf))).select("file_id", F.col("total").alias("total_images"))
+    images = visible_images(fx.inventory(spark, sf))
+    totals = images.groupBy("folder").agg(F.count("*").alias("total_images"))
+    return images.join(totals, "folder").select("file_id", "total_images")
 
 
 def has_children(spark, sf):
@@ -62,9 +64,27 @@ def subtree_counts(spark, sf):
     return folders.subtree_counts(fx.inventory(spark, sf))
 
 
+def _in_store(inventory):
+    """The same files in an object store, every fiftieth directly in its root."""
+    return inventory.withColumn("folder", F.expr("IF(file_id % 50 = 0, 's3a://bucket', concat('s3a://bucket', folder))"))
+
+
+def folder_table_urls(spark, sf):
+    return folders.folder_table(_in_store(fx.inventory(spark, sf))).select(
+        "path", "name", "parent", "has_children", joined("cover_images").alias("covers"), "mtime", "image_count"
+    )
+
+
+def subtree_counts_urls(spark, sf):
+    return folders.subtree_counts(_in_store(fx.inventory(spark, sf)))
+
+
+IN_STORE = """stored AS (SELECT * REPLACE (CASE WHEN file_id % 50 = 0 THEN '' ELSE folder END AS folder) FROM inventory),
+places AS (SELECT *, unnest(list_transform(range(1, len(string_split(folder, '/')) + 1),
+    lambda i: concat('s3a://bucket', array_to_string(string_split(folder, '/')[1:i], '/')))) AS path FROM stored)"""
 NODES = f"""spread AS (SELECT folder, name, mtime, unnest({ref.ANCESTORS}) AS path FROM inventory),
 tree AS (SELECT path, regexp_extract(path, '[^/]+$') AS name,
-    CASE WHEN path = '/gallery' THEN '/' ELSE regexp_replace(path, '/[^/]+$', '') END AS parent,
+    CASE path WHEN '/' THEN NULL WHEN '/pictures' THEN '/' ELSE regexp_replace(path, '/[^/]+$', '') END AS parent,
     max(mtime) AS mtime, count(*) FILTER (WHERE path = folder AND {ref.VISIBLE}) AS image_count
     FROM spread GROUP BY path)"""
 COVERS = f"""covers AS (SELECT folder, string_agg(concat(folder, '/', name), '|' ORDER BY mtime DESC, name) AS covers
@@ -128,6 +148,27 @@ QUERIES: Queries = {
             **INV,
         ),
     ),
+    "A5_folder_table_urls": (
+        folder_table_urls,
+        fx.oracle(
+            f"""SELECT p.path, regexp_extract(p.path, '[^/]+$') AS name,
+              CASE WHEN p.path <> 's3a://bucket' THEN regexp_replace(p.path, '/[^/]+$', '') END AS parent,
+              true AS has_children, coalesce(any_value(c.covers), '') AS covers, max(p.mtime) AS mtime,
+              count(*) FILTER (WHERE p.path = concat('s3a://bucket', p.folder) AND {ref.VISIBLE}) AS image_count
+            FROM places p LEFT JOIN (
+              SELECT concat('s3a://bucket', folder) AS path,
+                string_agg(concat('s3a://bucket', folder, '/', name), '|' ORDER BY mtime DESC, name) AS covers
+              FROM (SELECT * FROM stored WHERE {ref.IS_IMAGE}
+                QUALIFY row_number() OVER (PARTITION BY folder ORDER BY mtime DESC, name) <= 3) GROUP BY folder) c
+              ON c.path = p.path GROUP BY p.path""",
+            ctes=IN_STORE,
+            **INV,
+        ),
+    ),
+    "L4_subtree_counts_urls": (
+        subtree_counts_urls,
+        fx.oracle(f"SELECT path, count(*) FILTER (WHERE {ref.VISIBLE}) AS image_count FROM places GROUP BY path", ctes=IN_STORE, **INV),
+    ),
     "L4_subtree_counts": (
         subtree_counts,
         fx.oracle(

@@ -25,19 +25,19 @@ def under_root(spark, sf):
     """Paths with dots and detours, about a third of them outside the root."""
     kept = inv.with_path(fx.inventory(spark, sf))
     detour = F.expr(
-        """CASE file_id % 6 WHEN 0 THEN replace(path, '/gallery/', '/gallery/./x/../')
-             WHEN 1 THEN replace(path, '/gallery/', '/gallery/../other/')
-             WHEN 2 THEN replace(path, '/gallery/', '/gallery2/')
-             WHEN 3 THEN replace(path, '/gallery/', '/tmp/..//gallery/') ELSE path END"""
+        """CASE file_id % 6 WHEN 0 THEN replace(path, '/pictures/', '/pictures/./x/../')
+             WHEN 1 THEN replace(path, '/pictures/', '/pictures/../other/')
+             WHEN 2 THEN replace(path, '/pictures/', '/pictures2/')
+             WHEN 3 THEN replace(path, '/pictures/', '/tmp/..//pictures/') ELSE path END"""
     )
-    return inv.check_root(kept.withColumn("path", detour), "/gallery/").select("file_id", "path", "error_type")
+    return inv.check_root(kept.withColumn("path", detour), "/pictures/").select("file_id", "path", "error_type")
 
 
 UNDER_ROOT_SQL = fx.oracle(
-    """SELECT file_id, CASE file_id % 6 WHEN 0 THEN replace(path, '/gallery/', '/gallery/./x/../')
-             WHEN 1 THEN replace(path, '/gallery/', '/gallery/../other/')
-             WHEN 2 THEN replace(path, '/gallery/', '/gallery2/')
-             WHEN 3 THEN replace(path, '/gallery/', '/tmp/..//gallery/') ELSE path END AS path,
+    """SELECT file_id, CASE file_id % 6 WHEN 0 THEN replace(path, '/pictures/', '/pictures/./x/../')
+             WHEN 1 THEN replace(path, '/pictures/', '/pictures/../other/')
+             WHEN 2 THEN replace(path, '/pictures/', '/pictures2/')
+             WHEN 3 THEN replace(path, '/pictures/', '/tmp/..//pictures/') ELSE path END AS path,
          CASE WHEN file_id % 6 IN (1, 2) THEN 'permission' END AS error_type
        FROM (SELECT file_id, concat(folder, '/', name) AS path FROM inventory)""",
     inventory=True,
@@ -224,7 +224,7 @@ QUERIES: Queries = {
     "P12_breadcrumb_collapse": (
         breadcrumb_collapse,
         fx.oracle(
-            """SELECT file_id, concat('gallery|', string_split(folder, '/')[4], '|', name) AS visible,
+            """SELECT file_id, concat('pictures|', string_split(folder, '/')[4], '|', name) AS visible,
               string_split(folder, '/')[3] AS hidden FROM inventory""",
             **INV,
         ),

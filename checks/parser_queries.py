@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from checks import fixtures as fx
 from checks import reference_sql as ref
-from checks.common import Queries, joined, params_text, usable_metadata
+from checks.common import Queries, joined, metadata, params_text, usable_metadata
 from pixledger.functions import jsonvalues as jv
 from pixledger.functions import loras
 from pixledger.functions.text import strip
@@ -110,7 +110,7 @@ def parse_novelai(spark, sf):
 
 def parse_easydiffusion(spark, sf):
     tags = fx.raw_tags(spark, sf)
-    return _record(json_formats.parse_easydiffusion(tags, out="r"), "r").where("params NOT LIKE '%k_euler%'")
+    return _record(json_formats.parse_easydiffusion(tags, out="r"), "r")
 
 
 def _swarm(spark, sf):
@@ -192,7 +192,7 @@ def attach_sidecars(spark, sf):
 
 
 def resolve_metadata(spark, sf):
-    meta = usable_metadata(spark, sf)
+    meta = metadata(spark, sf)
     return meta.select(
         "file_id", "tool", "prompt", "negative_prompt", params_text().alias("params"), joined("loras").alias("loras"),
         "date", "generation_time",
@@ -200,7 +200,7 @@ def resolve_metadata(spark, sf):
 
 
 def envelope(spark, sf):
-    return usable_metadata(spark, sf).select("file_id", "tool", "width", "height", "name")
+    return metadata(spark, sf).select("file_id", "tool", "width", "height", "name")
 
 
 def invalid_on_error(spark, sf):
@@ -378,12 +378,12 @@ QUERIES: Queries = {
     "D6_resolve_metadata": (
         resolve_metadata,
         _oracle(
-            RECORD.replace("file_id,", "file_id, tool, date, generation_time,", 1) + "meta", ref.META, inventory=True
+            RECORD.replace("file_id,", "file_id, tool, date, generation_time,", 1) + "every", ref.ALL_META, inventory=True
         ),
     ),
     "D7_envelope": (
         envelope,
-        _oracle("SELECT file_id, tool, width, height, name FROM meta", ref.META, inventory=True),
+        _oracle("SELECT file_id, tool, width, height, name FROM every", ref.ALL_META, inventory=True),
     ),
     "D8_invalid_on_error": (
         invalid_on_error,
@@ -404,4 +404,4 @@ def _exif_comments(spark, sf):
     from pixledger.sources.tags import extract_tags
 
     files = image_bytes(spark, sf).where("user_comment IS NOT NULL").select("file_id", "content")
-    return extract_tags(files).select("file_id", "user_comment")
+    return extract_tags(files, "content").select("file_id", "user_comment")

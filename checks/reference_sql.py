@@ -21,8 +21,8 @@ BIG_IMAGES = f"""images AS (SELECT * REPLACE (regexp_replace(folder, '/user[0-9]
     concat(regexp_replace(folder, '/user[0-9]+$', ''), '/', name) AS path, {NATURAL_KEY} AS nk
     FROM inventory WHERE {VISIBLE})"""
 
-ANCESTORS = """list_transform(range(1, len(string_split(folder, '/'))),
-    lambda i: array_to_string(string_split(folder, '/')[1:i + 1], '/'))"""
+ANCESTORS = """list_transform(range(1, len(string_split(folder, '/')) + 1),
+    lambda i: CASE WHEN i = 1 THEN '/' ELSE array_to_string(string_split(folder, '/')[1:i], '/') END)"""
 
 PARAMS_TEXT = """coalesce(array_to_string(list_sort(list_transform(params,
     lambda p: concat(p.k, '=', p.v))), '|'), '')"""
@@ -154,8 +154,7 @@ NOVELAI = _flat(
 EASY = _flat(
     "easy",
     "list_has_all(json_keys(parameters), ['prompt', 'negative_prompt', 'width', 'height'])"
-    " AND NOT list_contains(json_keys(parameters), 'sui_image_params')"
-    " AND coalesce(parameters->>'$.Software', '') NOT LIKE '%NovelAI%'",
+    " AND NOT list_contains(json_keys(parameters), 'sui_image_params')",
     {"Seed": "seed", "Steps": "steps", "Sampler": "sampler", "CFG": "cfg_scale", "Model": "model"},
 )
 
@@ -217,3 +216,8 @@ meta AS (SELECT u.file_id, u.folder, u.mtime, u.name, u.width, u.height, coalesc
     coalesce(r.prompt, '') AS prompt, coalesce(r.negative_prompt, '') AS negative_prompt,
     coalesce(r.params, []) AS params, coalesce(r.loras, []) AS loras, r.date, r.generation_time
     FROM usable u JOIN raw_tags USING (file_id) LEFT JOIN records r USING (file_id))"""
+# The same with an error row, of size and name only, for each image beyond the limits.
+ALL_META = f"""{META},
+every AS (SELECT * FROM meta UNION ALL
+    SELECT file_id, folder, mtime, name, width, height, NULL, NULL, NULL, NULL, NULL, NULL, NULL
+    FROM inventory WHERE {IS_IMAGE} AND file_id NOT IN (SELECT file_id FROM usable))"""

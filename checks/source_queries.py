@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from checks import fixtures as fx
 from checks import reference_sql as ref
-from checks.common import Queries, params_text, usable_metadata
+from checks.common import Queries, metadata, params_text
 from pixledger.operators import resolve
 from pixledger.operators.inventory import with_path
 from pixledger.session import shared_dir
@@ -68,7 +68,7 @@ def sidecars(spark, sf):
 
 def extract_tags(spark, sf):
     content = image_bytes(spark, sf).select("file_id", "content")
-    return tags.extract_tags(content).drop("read_error")
+    return tags.extract_tags(content, "content")
 
 
 def list_html(spark, sf):
@@ -83,28 +83,28 @@ def list_html(spark, sf):
 def write_catalog(spark, sf):
     """The metadata written by tool and read back."""
     out = shared_dir(spark, "catalog")
-    sinks.write_catalog(usable_metadata(spark, sf), out)
+    sinks.write_catalog(metadata(spark, sf), out)
     return sinks.read_catalog(spark, out).select(
         "file_id", "tool", "prompt", params_text().alias("params"), "width", "height"
     )
 
 
 def as_json(spark, sf):
-    rows = usable_metadata(spark, sf).select("file_id", "tool", "negative_prompt", "date", "width")
+    rows = metadata(spark, sf).select("file_id", "tool", "negative_prompt", "date", "width")
     return sinks.as_json(rows)
 
 
 def file_metadata(spark, sf):
     """From file bytes and sidecars to metadata, as on a real tree."""
     content = with_path(image_bytes(spark, sf)).select("file_id", "path", "folder", "name", "length", "content")
-    tagged = tags.extract_tags(content)
+    tagged = tags.extract_tags(content, "content")
     named = fx.tagged_files(spark, sf).where("sidecar_text IS NOT NULL")
     texts = named.select(
         "folder",
         F.expr(r"regexp_replace(name, r'(.)\.[^.]+$', '$1')").alias("stem"),
         F.col("sidecar_text").alias("text"),
     )
-    meta = resolve.resolve_metadata(resolve.attach_sidecars(tagged, texts)).where("tool IS NOT NULL")
+    meta = resolve.resolve_metadata(resolve.attach_sidecars(tagged, texts))
     return meta.select("file_id", "tool", "prompt", params_text().alias("params"))
 
 
@@ -128,7 +128,29 @@ def stream_refresh(spark, sf):
     tagged.where("file_id % 2 = 0").write.mode("append").parquet(source)
     run()
     rows = spark.read.parquet(catalog)
-    return rows.where("tool IS NOT NULL").select("file_id", "tool", F.col(BATCH).cast("int").alias("batch"))
+    return rows.select("file_id", "tool", F.col(BATCH).cast("int").alias("batch"))
+
+
+def stream_refresh_two_sources(spark, sf):
+    """Two streams into one catalog, and one whose checkpoint is lost: no row is lost or doubled."""
+    out = shared_dir(spark, "streams")
+    catalog = f"{out}/catalog"
+    tagged = with_path(fx.tagged_files(spark, sf)).where("length % 4 = 0")
+    schema = tagged.schema
+
+    def parse(batch):
+        return batch.select("file_id", "path", "mtime", "length")
+
+    def run(source, checkpoint):
+        stream = spark.readStream.schema(schema).parquet(f"{out}/{source}")
+        refresh_stream(stream, parse, catalog, f"{out}/{checkpoint}").awaitTermination()
+
+    tagged.where("file_id % 3 <> 0").write.parquet(f"{out}/one")
+    tagged.where("file_id % 3 <> 1").write.parquet(f"{out}/two")
+    run("one", "first")
+    run("two", "second")
+    run("one", "again")
+    return spark.read.parquet(catalog).groupBy("file_id").agg(F.count("*").alias("times"))
 
 
 QUERIES: Queries = {
@@ -148,7 +170,8 @@ QUERIES: Queries = {
     "S3_extract_tags": (
         extract_tags,
         fx.oracle(
-            """SELECT file_id, width, height, parameters, prompt_json, workflow_json, user_comment
+            """SELECT file_id, width, height, parameters, prompt_json, workflow_json, user_comment,
+              CAST(NULL AS VARCHAR) AS read_error, CAST(NULL AS VARCHAR) AS oversized
             FROM inventory JOIN raw_tags USING (file_id)""",
             inventory=True,
             tags=True,
@@ -162,38 +185,42 @@ QUERIES: Queries = {
     "S5_write_catalog": (
         write_catalog,
         fx.oracle(
-            f"SELECT file_id, tool, prompt, {ref.PARAMS_TEXT} AS params, width, height FROM meta",
+            f"SELECT file_id, tool, prompt, {ref.PARAMS_TEXT} AS params, width, height FROM every",
             inventory=True,
             tags=True,
-            ctes=ref.META,
+            ctes=ref.ALL_META,
         ),
     ),
     "S5_json_rows": (
         as_json,
         fx.oracle(
             """SELECT CAST(json_object('file_id', file_id, 'tool', tool, 'negative_prompt', negative_prompt,
-              'date', date, 'width', width) AS VARCHAR) AS json FROM meta""",
+              'date', date, 'width', width) AS VARCHAR) AS json FROM every""",
             inventory=True,
             tags=True,
-            ctes=ref.META,
+            ctes=ref.ALL_META,
         ),
     ),
     "E2_file_metadata": (
         file_metadata,
         fx.oracle(
-            f"SELECT file_id, tool, prompt, {ref.PARAMS_TEXT} AS params FROM meta",
+            f"SELECT file_id, tool, prompt, {ref.PARAMS_TEXT} AS params FROM every",
             inventory=True,
             tags=True,
-            ctes=ref.META,
+            ctes=ref.ALL_META,
         ),
     ),
     "ST1_stream_refresh": (
         stream_refresh,
         fx.oracle(
-            "SELECT file_id, tool, CASE WHEN file_id % 4 <> 0 THEN 0 ELSE 1 END AS batch FROM meta",
+            "SELECT file_id, tool, CASE WHEN file_id % 4 <> 0 THEN 0 ELSE 1 END AS batch FROM every",
             inventory=True,
             tags=True,
-            ctes=ref.META,
+            ctes=ref.ALL_META,
         ),
     ),
+    "ST1_two_streams": (
+        stream_refresh_two_sources,
+        fx.oracle("SELECT file_id, 1 AS times FROM inventory WHERE length % 4 = 0", inventory=True),
+    ),
 }

@@ -10,12 +10,23 @@ lambda variables are built in one go.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from pixledger.functions.text import PY_SPACES, bind_sql, python_float_sql
 
 STRICT = {"allowSingleQuotes": "false"}
+REPEATED_KEYS = "spark.sql.variant.allowDuplicateKeys"
+
+
+def accept_repeated_keys() -> None:
+    """Let the session read objects with repeated keys inside a value, where the last one counts.
+
+    Without the setting Spark takes such a text as malformed. Nothing else hangs on it.
+    """
+    spark = SparkSession.getActiveSession()
+    if spark is not None and spark.conf.get(REPEATED_KEYS) != "true":
+        spark.conf.set(REPEATED_KEYS, "true")
 
 
 def looks_like_object(text: Column) -> Column:
@@ -28,14 +39,29 @@ def parse_strict(text: Column, element: str) -> Column:
     The brackets make trailing text after the value malformed, which the JSON
     reader would otherwise ignore, and a second value shows in the array's size.
     """
+    accept_repeated_keys()
     wrapped = F.from_json(F.concat(F.lit("["), text, F.lit("\n]")), f"array<{element}>", STRICT)
     single = F.filter(F.array(wrapped), lambda values: F.size(values) == 1)
     return F.get(F.get(single, 0), 0)
 
 
 def parse_object(text: Column, value: str = "variant") -> Column:
-    """A JSON object as a map, or NULL for anything else."""
-    return parse_strict(text, f"map<string,{value}>")
+    """A JSON object as a map, or NULL for anything else.
+
+    Of a repeated key the last value counts, at the place of the first.
+    """
+    return last_values(parse_strict(text, f"map<string,{value}>"))
+
+
+def last_values(entries: Column) -> Column:
+    """A map as the JSON reader gives it, repeated keys included, with each key's last value."""
+
+    def settled(m: Column) -> Column:
+        keys = F.map_keys(m)
+        values = F.transform(F.array_distinct(keys), lambda k: F.get(F.map_values(m), F.size(keys) - F.array_position(F.reverse(keys), k).cast("int")))
+        return F.when(F.size(F.array_distinct(keys)) == F.size(keys), m).otherwise(F.map_from_arrays(F.array_distinct(keys), values))
+
+    return F.get(F.transform(F.filter(F.array(entries), lambda m: m.isNotNull()), settled), 0)
 
 
 def is_other_json(text: Column) -> Column:

@@ -9,14 +9,32 @@ from pixledger.functions.text import js_strip
 from pixledger.schemas import ANIMATED_EXTENSIONS, IMAGE_SUFFIXES
 
 
+STORE = r"\A[A-Za-z][A-Za-z0-9+.-]*://[^/]*"
+
+
 def file_name(path: Column) -> Column:
     return F.substring_index(path, "/", -1)
 
 
+def store(path: Column) -> Column:
+    """Scheme and authority of a URL such as ``s3a://bucket``; empty for a plain path."""
+    return F.when(F.contains(path, F.lit("://")), F.regexp_extract(path, STORE, 0)).otherwise(F.lit(""))
+
+
+def top(path: Column) -> Column:
+    """The root folder above a path: ``/``, or the store of a URL."""
+    return F.coalesce(F.nullif(store(path), F.lit("")), F.lit("/"))
+
+
 def parent(path: Column) -> Column:
-    """Folder part of a path; the parent of a top-level entry is ``/``."""
+    """Folder part of a path; that of a top-level entry and of a root is the root."""
     cut = F.length(path) - F.length(file_name(path)) - 1
-    return F.when(cut <= 0, F.lit("/")).otherwise(F.substr(path, F.lit(1), cut))
+    return F.when(cut <= F.length(store(path)), top(path)).otherwise(F.substr(path, F.lit(1), cut))
+
+
+def join(folder: Column, name: Column) -> Column:
+    """The path of an entry of a folder."""
+    return F.when(F.endswith(folder, F.lit("/")), F.concat(folder, name)).otherwise(F.concat_ws("/", folder, name))
 
 
 def _last_dot(name: Column) -> Column:
@@ -46,6 +64,12 @@ def is_hidden(name: Column) -> Column:
     return F.startswith(name, F.lit("."))
 
 
+def in_hidden(path: Column, root: str = "") -> Column:
+    """Whether the path or a folder of it below ``root`` has a name that starts with a dot."""
+    below = F.substr(path, F.lit(len(root.rstrip("/")) + 1)) if root else path
+    return F.contains(below, F.lit("/."))
+
+
 def is_animated(name: Column) -> Column:
     """By the text after the last dot, so ``.gif`` alone counts here."""
     return F.lower(F.substring_index(name, ".", -1)).isin(ANIMATED_EXTENSIONS)
@@ -66,25 +90,26 @@ def last_segment(path: Column, default: str = "Albums") -> Column:
 
 
 def normalise(path: Column) -> Column:
-    """Resolve ``.``, ``..`` and doubled slashes in an absolute path, by text alone."""
+    """Resolve ``.``, ``..`` and doubled slashes in an absolute path or URL, by text alone."""
+    head = store(path)
+    rest = F.substr(path, F.length(head) + 1)
     walked = F.aggregate(
-        F.split(path, "/"),
+        F.split(rest, "/"),
         F.array().cast("array<string>"),
         lambda done, part: F.when(part.isin("", "."), done)
         .when(part == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))))
         .otherwise(F.array_append(done, part)),
     )
-    return F.when(
-        path.rlike(r"//|/\.|.+/\z"), F.concat(F.lit("/"), F.array_join(walked, "/"))
-    ).otherwise(path)
+    whole = F.concat_ws("/", head, F.array_join(walked, "/"))
+    return F.when(rest.rlike(r"//|/\.|.+/\z"), F.when((head != "") & (F.size(walked) == 0), head).otherwise(whole)).otherwise(path)
 
 
 def under_root(path: Column, root: str) -> Column:
     """Whether the path is the root or lies below it."""
-    top = normalise(F.lit(root))
-    below = F.concat(F.rtrim(top, F.lit("/")), F.lit("/"))
+    base = normalise(F.lit(root))
+    below = F.concat(F.rtrim(base, F.lit("/")), F.lit("/"))
     real = normalise(path)
-    return (real == top) | F.startswith(real, below)
+    return (real == base) | F.startswith(real, below)
 
 
 def breadcrumb(path: Column) -> Column:
@@ -123,8 +148,8 @@ def breadcrumb_hidden(crumbs: Column, most: int = 4) -> Column:
 
 
 def ancestors(folder: Column) -> Column:
-    """The folder and every folder above it, without the file system root."""
-    parts = F.filter(F.split(folder, "/"), lambda part: part != "")
-    return F.transform(
-        parts, lambda part, i: F.concat(F.lit("/"), F.array_join(F.slice(parts, F.lit(1), i + 1), "/"))
-    )
+    """The folder and every folder above it up to the root: ``/``, or the store of a URL."""
+    head = store(folder)
+    parts = F.filter(F.split(F.substr(folder, F.length(head) + 1), "/"), lambda part: part != "")
+    below = F.transform(parts, lambda part, i: F.concat(head, F.lit("/"), F.array_join(F.slice(parts, F.lit(1), i + 1), "/")))
+    return F.concat(F.array(top(folder)), below)

@@ -56,7 +56,7 @@ def natural_key(name: Column) -> Column:
 
     Text is lower-cased and compared by code point. A digit run becomes a NUL
     (which sorts before any file name character), its length without leading
-    zeros in four digits, then those digits: longer runs are larger numbers, and
+    zeros in ten digits, then those digits: longer runs are larger numbers, and
     runs of one length compare as text. So there is no limit on the number's
     size, and the key is a plain string that sorts and range-partitions fast.
     """
@@ -64,7 +64,7 @@ def natural_key(name: Column) -> Column:
 
     def encode(run: Column) -> Column:
         digits = F.ltrim(run, F.lit("0"))
-        number = F.concat(F.lit("\x00"), F.lpad(F.length(digits).cast("string"), 4, "0"), digits)
+        number = F.concat(F.lit("\x00"), F.lpad(F.length(digits).cast("string"), 10, "0"), digits)
         return F.when(F.substr(run, F.lit(1), F.lit(1)).between("0", "9"), number).otherwise(run)
 
     return F.array_join(F.transform(runs, encode), "")

@@ -6,7 +6,7 @@ folder into one task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pixledger.functions import text
@@ -46,9 +46,17 @@ def with_sort_keys(items: DataFrame, field: str = "name", order: str | None = No
 
 
 def sort_items(items: DataFrame, field: str = "name", order: str | None = None) -> DataFrame:
-    """Rows in a total order, by Spark's range-partitioned sort."""
-    keyed, keys = with_sort_keys(with_path(items), field, order)
-    return keyed.orderBy(*keys, "path").select(*items.columns)
+    """Images or folders (rows with a path) in a total order, by Spark's range-partitioned sort."""
+    whole = items if "path" in items.columns else with_path(items)
+    keyed, keys = with_sort_keys(whole, field, order)
+    turned = _turned(field, order)
+    columns = [F.desc(c) if turned else F.asc(c) for c in (*keys, "path")]
+    return keyed.orderBy(*columns).select(*items.columns)
+
+
+def _turned(field: str, order: str | None) -> bool:
+    """Collated keys have no reverse, so their descending order is the ascending one turned round, ties too."""
+    return field == "collated" and order == "desc"
 
 
 def ranked(
@@ -59,9 +67,20 @@ def ranked(
     placed = ranking.with_positions(
         keyed, ["folder"], keys, "path", neighbours_of="path" if neighbours else None
     )
+    if _turned(field, order):
+        placed = placed.withColumn("position", F.col("total") + 1 - F.col("position"))
+        if neighbours:
+            placed = placed.withColumns({"previous": F.col("next"), "next": F.col("previous")})
     return placed.drop(*keys)
 
 
+def ranked_folders(folders: DataFrame, field: str = "name", order: str | None = None) -> DataFrame:
+    """Add ``position`` (from 1) and ``total`` among the folders of one parent; roots have none and are left out."""
+    keyed, keys = with_sort_keys(folders.where("parent IS NOT NULL"), field, order)
+    placed = ranking.with_positions(keyed, ["parent"], keys, "path").drop(*keys)
+    return placed.withColumn("position", F.col("total") + 1 - F.col("position")) if _turned(field, order) else placed
+
+
 def neighbours(items: DataFrame, field: str = "name", order: str | None = None) -> DataFrame:
     """Add the previous and next path in the folder; NULL at either end."""
     return ranked(items, field, order, neighbours=True)
@@ -96,6 +115,32 @@ def page(ranked_items: DataFrame, folder: str, limit: int | None = DEFAULT_PAGE_
     )
 
 
+def page_of(
+    items: DataFrame, folder: str, field: str = "name", order: str | None = None,
+    limit: int | None = DEFAULT_PAGE_SIZE, cursor: int = 0,
+) -> DataFrame:
+    """One page of one folder, as ``page`` gives it of ``ranked`` items.
+
+    Only that folder's rows are read, twice: for the total, and for the first
+    ``cursor + limit`` rows, which each task cuts its own to. No limit ranks the folder.
+    """
+    here = items.where(F.col("folder") == folder)
+    if limit is None:
+        return page(ranked(here, field, order), folder, None, cursor)
+    _check_limit(limit)
+    keyed, keys = with_sort_keys(with_path(here), field, order)
+    turned = _turned(field, order)
+    columns = [F.desc(c) if turned else F.asc(c) for c in (*keys, "path")]
+    first = keyed.orderBy(*columns).limit(cursor + limit)
+    placed = first.withColumns(
+        {
+            "position": F.row_number().over(Window.orderBy(*columns)).cast("bigint"),  # cursor + limit rows
+            "total": here.agg(F.count(F.lit(1))).scalar(),
+        }
+    ).drop(*keys)
+    return page(placed, folder, limit, cursor)
+
+
 def page_after(items: DataFrame, folder: str, last_name: str | None, limit: int = DEFAULT_PAGE_SIZE) -> DataFrame:
     """The page after a known name in natural order: a top-k with no ranking, so
     deep pages cost the same as the first."""

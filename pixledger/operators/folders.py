@@ -36,7 +36,7 @@ def covers(inventory: DataFrame, n: int = COVER_COUNT) -> DataFrame:
     newest = Window.partitionBy("folder").orderBy(F.col("mtime").desc(), "path")
     return (
         inventory.where(_image())
-        .select("folder", "mtime", F.concat_ws("/", "folder", "name").alias("path"))
+        .select("folder", "mtime", paths.join(F.col("folder"), F.col("name")).alias("path"))
         .withColumn("_rank", F.row_number().over(newest))
         .where(F.col("_rank") <= n)
         .groupBy("folder")
@@ -77,28 +77,32 @@ def folder_nodes(inventory: DataFrame, directories: DataFrame | None = None) ->
     )
 
 
-def folder_table(inventory: DataFrame, directories: DataFrame | None = None) -> DataFrame:
-    """The folder listing: name, path, parent, has_children, covers, mtime, count."""
-    nodes = folder_nodes(inventory, directories)
+def folder_table(inventory: DataFrame, directories: DataFrame | None = None, root: str = "") -> DataFrame:
+    """The folder listing: name, path, parent, has_children, covers, mtime, count.
+
+    Folders are listed up to the file system's or store's root, whose parent is
+    NULL. What lies in a hidden folder below ``root`` is not listed.
+    """
+    nodes = folder_nodes(inventory.where(~paths.in_hidden(F.col("folder"), root)), directories)
     return (
         nodes.join(covers(inventory).withColumnRenamed("folder", "path"), "path", "left")
         .select(
             paths.file_name(F.col("path")).alias("name"),
             "path",
-            paths.parent(F.col("path")).alias("parent"),
+            F.nullif(paths.parent(F.col("path")), F.col("path")).alias("parent"),
             "has_children",
             F.coalesce("cover_images", F.array().cast("array<string>")).alias("cover_images"),
             "mtime",
             "image_count",
         )
-        .where(~paths.is_hidden(F.col("name")))
+        .where(~paths.in_hidden(F.col("path"), root))
     )
 
 
-def subtree_counts(inventory: DataFrame) -> DataFrame:
-    """Visible images in and below every folder."""
+def subtree_counts(inventory: DataFrame, root: str = "") -> DataFrame:
+    """Visible images in and below every folder up to the root; hidden folders below ``root`` are left out."""
     return (
-        image_counts(inventory)
+        image_counts(inventory.where(~paths.in_hidden(F.col("folder"), root)))
         .select("image_count", F.explode(paths.ancestors(F.col("folder"))).alias("path"))
         .groupBy("path")
         .agg(F.sum("image_count").alias("image_count"))

@@ -29,6 +29,11 @@ def param_facets(metadata: DataFrame, keys: list[str] | None = None) -> DataFram
     )
 
 
+def _weight(text: F.Column) -> F.Column:
+    """A number as Python reads it; the suffixes the JVM allows (``1f``, ``0.5d``) make none."""
+    return F.when(~text.rlike(r"[dDfF]\s*\z"), text.try_cast("double"))
+
+
 def lora_rows(metadata: DataFrame) -> DataFrame:
     """One row per LoRA mention: file_id, lora, weight (NULL if none or no number)."""
     mention = F.col("_mention")
@@ -36,7 +41,7 @@ def lora_rows(metadata: DataFrame) -> DataFrame:
     return metadata.select("file_id", F.explode("loras").alias("_mention")).select(
         "file_id",
         F.when(at > 0, F.substr(mention, F.lit(1), at - 1)).otherwise(mention).alias("lora"),
-        F.when(at > 0, F.substr(mention, at + 1)).try_cast("double").alias("weight"),
+        _weight(F.when(at > 0, F.substr(mention, at + 1))).alias("weight"),
     )
 
 
@@ -52,7 +57,7 @@ def lora_usage(metadata: DataFrame) -> DataFrame:
     )
     weights = F.transform(
         F.filter("loras", lambda mention: (name(mention) == F.col("lora")) & F.contains(mention, F.lit(":"))),
-        lambda mention: F.substr(mention, F.instr(mention, ":") + 1).try_cast("double"),
+        lambda mention: _weight(F.substr(mention, F.instr(mention, ":") + 1)),
     )
     known = F.filter("_weights", lambda w: w.isNotNull())
     mentions = F.size(F.filter("loras", lambda mention: name(mention) == F.col("lora")))

@@ -1,10 +1,11 @@
-"""The two queries behind a gallery: scan a folder, and the catalog overview."""
+"""The two end-to-end queries: scan a folder, and the catalog overview."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pixledger.functions import paths
 from pixledger.operators import browse, folders, inventory as inv
 from pixledger.schemas import DEFAULT_PAGE_SIZE
 
@@ -22,16 +23,36 @@ def scan_folder(
     """(sub-folders, one page of images) of a folder, searched and sorted.
 
     Both filters reach the scan: only rows at or below the path are read. Search
-    and sort cover the whole folder, not only the rows loaded so far.
+    and sort cover the whole folder, not only the rows loaded so far. Sub-folders
+    come in the same order as images. ``scan_errors`` tells paths that cannot be scanned.
     """
     here = F.col("folder") == path
     below = here | F.startswith("folder", F.lit(path.rstrip("/") + "/"))
     listed = folders.folder_table(
-        inventory.where(below), None if directories is None else directories.where(below)
+        inventory.where(below), None if directories is None else directories.where(below), path
     ).where(F.col("parent") == path)
     images = inv.search(inv.visible_images(inventory.where(here)), query)
-    ranked = browse.ranked(images, field, order)
-    return inv.search(listed, query), browse.page(ranked, path, limit, cursor).orderBy("position")
+    page = browse.page_of(images, path, field, order, limit, cursor)
+    return browse.sort_items(inv.search(listed, query), field, order), page.orderBy("position")
+
+
+def scan_errors(requests: DataFrame, inventory: DataFrame, root: str, directories: DataFrame | None = None) -> DataFrame:
+    """Each requested path with the error a scan of it gives, NULL for none.
+
+    ``permission`` outside ``root``, ``not_directory`` for a file, ``not_found`` for
+    what is neither. Paths are cleaned first; files and folders are joined on them.
+    """
+    asked = requests.select("path", paths.normalise(paths.clean_path(F.col("path"))).alias("_real"))
+    files = inv.with_path(inventory).select(F.col("path").alias("_real")).distinct().withColumn("_file", F.lit(True))
+    nodes = folders.folder_nodes(inventory, directories).select(F.col("path").alias("_real"), F.lit(True).alias("_folder"))
+    found = asked.join(files, "_real", "left").join(nodes, "_real", "left")
+    error = (
+        F.when(~paths.under_root(F.col("_real"), root), "permission")
+        .when(F.col("_folder"), None)
+        .when(F.col("_file"), "not_directory")
+        .otherwise("not_found")
+    )
+    return found.select("path", error.alias("error_type"))
 
 
 def folder_overview(inventory: DataFrame, metadata: DataFrame) -> DataFrame:

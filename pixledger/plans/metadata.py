@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pixledger.functions import paths
 from pixledger.operators.refresh import one_per_version, unparsed
 from pixledger.operators.resolve import attach_sidecars, resolve_metadata
 from pixledger.schemas import MAX_FILE_BYTES
@@ -12,9 +13,9 @@ from pixledger.sources import files as file_source
 from pixledger.sources.tags import extract_tags
 
 
-def file_metadata(files: DataFrame, sidecars: DataFrame, content: str | None = "content") -> DataFrame:
-    """Metadata of image files (path, folder, name, mtime, length and content, or
-    read by path) and their sidecars. Files over the byte limit are not opened."""
+def file_metadata(files: DataFrame, sidecars: DataFrame, content: str | None = None) -> DataFrame:
+    """Metadata of image files (path, folder, name, mtime, length; read by path,
+    or from ``content``) and their sidecars. Files over the byte limit are not opened."""
     small = F.col("length") <= MAX_FILE_BYTES
     tagged = extract_tags(files.where(small), content)
     large = files.where(~small)
@@ -25,16 +26,21 @@ def file_metadata(files: DataFrame, sidecars: DataFrame, content: str | None = "
 
 
 def scan_metadata(spark: SparkSession, root: str) -> DataFrame:
-    """Metadata of every visible image below a root."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    content = files.select(
-        file_source.local_path(F.col("path")).alias("path"),
-        F.col("modificationTime").cast("timestamp_ntz").alias("mtime"),
-        "length",
-        "content",
+    """Metadata of every visible image below a root, and an error row for each
+    folder that could not be listed.
+
+    The tree is listed by tasks, once; of an image only its headers are read.
+    """
+    entries = file_source.walk_tree(spark, root)
+    listing = file_source.files_of(entries)
+    texts = file_source.sidecars(file_source.read_texts(listing))
+    found = file_metadata(file_source.list_inventory(listing, root), texts)
+    failed = file_source.errors_of(entries).select(
+        F.xxhash64("path").alias("file_id"), paths.parent(F.col("path")).alias("folder"),
+        paths.file_name(F.col("path")).alias("name"), "error_type",
+        F.lit("The folder could not be listed").alias("error_message"),
     )
-    texts = file_source.sidecars(file_source.read_texts(spark, root))
-    return file_metadata(file_source.list_inventory(content), texts)
+    return found.unionByName(failed, allowMissingColumns=True)
 
 
 def new_metadata(files: DataFrame, done: DataFrame, parse=resolve_metadata) -> DataFrame:

@@ -6,29 +6,34 @@ import os
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixledger.functions import paths
 from pixledger.session import shared_dir
 
-_ENTRY = "path string, is_dir boolean, micros bigint, length bigint"
+_ENTRY = "path string, is_dir boolean, micros bigint, length bigint, error string"
 _ROWS_PER_BATCH = 10_000
 
 
 def read_listing(spark: SparkSession, root: str) -> DataFrame:
-    """path, mtime, length of all files below a root, on any file system Spark reads.
+    """path, mtime, length of all files below a root, names of every kind included.
 
-    File contents are not read. Spark leaves out names that start with ``_`` or
-    ``.``, and lists no folders; where those matter, keep a manifest table or use
-    ``walk_tree`` on a mounted file system.
+    Folders that cannot be listed have no rows here; ``walk_tree`` names them.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    return files.select(
-        local_path(F.col("path")).alias("path"),
-        F.col("modificationTime").cast("timestamp_ntz").alias("mtime"),
-        "length",
-    )
+    return files_of(walk_tree(spark, root))
+
+
+def files_of(entries: DataFrame) -> DataFrame:
+    """The files among the entries of ``walk_tree``."""
+    return entries.where("NOT is_dir AND error IS NULL").select("path", "mtime", "length")
+
+
+def errors_of(entries: DataFrame) -> DataFrame:
+    """Folders that could not be listed: path, and error as ``schemas.ERRORS`` names it."""
+    return entries.where("error IS NOT NULL").select("path", F.col("error").alias("error_type"))
 
 
 def local_path(url: F.Column) -> F.Column:
@@ -37,61 +42,93 @@ def local_path(url: F.Column) -> F.Column:
 
 
 def walk_tree(spark: SparkSession, root: str) -> DataFrame:
-    """All entries below a root of a mounted file system, hidden ones and folders
-    included: path, is_dir, mtime, length.
-
-    One job per tree level lists that level's folders in parallel; each level is
-    written to the shared folder so that no level is listed twice.
+    """All entries below a root, hidden ones and folders included: path, is_dir,
+    mtime, length, error.
+
+    A path without a scheme is one of a mounted file system; for a URL the tasks
+    use Arrow's file systems. One job per tree level lists that level's folders
+    in parallel; each level is written to the shared folder so that no level is
+    listed twice. A folder that cannot be listed, or a missing root, has a row of
+    its own with ``error``; the walk goes on. Links to folders are not followed.
     """
     out = shared_dir(spark, "walk")
     level = 0
-    folders = spark.createDataFrame([(os.path.abspath(root),)], "path string")
+    base = root.rstrip("/") or "/"
+    folders = spark.createDataFrame([(base if is_url(base) else os.path.abspath(base),)], "path string")
     while True:
         target = f"{out}/level={level}"
         width = int(spark.conf.get("spark.sql.shuffle.partitions"))
         folders.repartition(width, "path").mapInPandas(_list_folders, _ENTRY).write.parquet(target)
-        folders = spark.read.schema(_ENTRY).parquet(target).where("is_dir").select("path")
+        folders = spark.read.schema(_ENTRY).parquet(target).where("is_dir AND error IS NULL").select("path")
         if folders.isEmpty():
             break
         level += 1
     entries = spark.read.schema(_ENTRY).option("recursiveFileLookup", True).parquet(out)
     return entries.select(
-        "path", "is_dir", F.timestamp_micros("micros").cast("timestamp_ntz").alias("mtime"), "length"
+        "path", "is_dir", F.timestamp_micros("micros").cast("timestamp_ntz").alias("mtime"), "length", "error"
     )
 
 
+def is_url(path: str) -> bool:
+    return "://" in path and not path.startswith("/")
+
+
+def _entries(folder: str) -> Iterator[tuple]:
+    if is_url(folder):
+        system, inner = fs.FileSystem.from_uri(folder)
+        for info in system.get_file_info(fs.FileSelector(inner)):
+            micros = (info.mtime_ns or 0) // 1000
+            yield f"{folder.rstrip('/')}/{info.base_name}", info.type == fs.FileType.Directory, micros, info.size, None
+        return
+    with os.scandir(folder) as entries:
+        for entry in entries:
+            try:
+                stat = entry.stat()
+                micros, length = stat.st_mtime_ns // 1000, stat.st_size
+            except OSError:
+                micros, length = 0, None
+            # Links to folders are listed but not followed, so the walk ends.
+            yield entry.path, entry.is_dir(follow_symlinks=False), micros, length, None
+
+
+def _error(failure: OSError) -> str:
+    kinds = {FileNotFoundError: "not_found", NotADirectoryError: "not_directory", PermissionError: "permission"}
+    return next((name for kind, name in kinds.items() if isinstance(failure, kind)), "server_error")
+
+
 def _list_folders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    columns = ["path", "is_dir", "micros", "length"]
+    columns = ["path", "is_dir", "micros", "length", "error"]
     rows: list[tuple] = []
     for batch in batches:
         for folder in batch["path"]:
             try:
-                entries = os.scandir(folder)
-            except PermissionError:
-                continue
-            with entries:
-                for entry in entries:
-                    try:
-                        stat = entry.stat()
-                        micros, length = stat.st_mtime_ns // 1000, stat.st_size
-                    except OSError:
-                        micros, length = 0, None
-                    # Links to folders are listed but not followed, so the walk ends.
-                    rows.append((entry.path, entry.is_dir(follow_symlinks=False), micros, length))
+                for row in _entries(folder):
+                    rows.append(row)
                     if len(rows) == _ROWS_PER_BATCH:
                         yield pd.DataFrame(rows, columns=columns)
                         rows = []
+            except OSError as failure:
+                rows.append((folder, True, 0, None, _error(failure)))
     if rows:
         yield pd.DataFrame(rows, columns=columns)
 
 
-def list_inventory(listing: DataFrame) -> DataFrame:
+def open_file(path: str):
+    """A file by path or URL, for reading at any place."""
+    if is_url(path):
+        system, inner = fs.FileSystem.from_uri(path)
+        return system.open_input_file(inner)
+    return open(path, "rb")
+
+
+def list_inventory(listing: DataFrame, root: str = "") -> DataFrame:
     """Add folder and name to the visible images of a listing (path, mtime, length).
 
-    A missing time counts as the epoch. Further columns are kept.
+    Names that start with a dot, and what lies in folders named so below
+    ``root``, are left out. A missing time counts as the epoch. Further columns are kept.
     """
     name = paths.file_name(F.col("path"))
-    return listing.where(~paths.is_hidden(name) & paths.is_image(name)).withColumns(
+    return listing.where(~paths.in_hidden(F.col("path"), root) & paths.is_image(name)).withColumns(
         {
             "folder": paths.parent(F.col("path")),
             "name": name,
@@ -108,15 +145,20 @@ def list_by_suffix(listing: DataFrame, root: str, ending: str = ".html") -> Data
     ).select(F.substr("path", F.lit(len(base) + 1)).alias("url_path"))
 
 
-def read_texts(spark: SparkSession, root: str) -> DataFrame:
-    """path and content of the ``.txt`` files below a root."""
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.txt")
-        .load(root)
-    )
-    return files.select(local_path(F.col("path")).alias("path"), "content")
+def read_texts(listing: DataFrame) -> DataFrame:
+    """path and content of the ``.txt`` files of a listing; unreadable ones have no row."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                try:
+                    with open_file(path) as file:
+                        content = file.read()
+                except OSError:
+                    continue
+                yield pa.RecordBatch.from_arrays([pa.array([path], pa.string()), pa.array([content], pa.binary())], ["path", "content"])
+
+    return listing.where(F.endswith("path", F.lit(".txt"))).select("path").mapInArrow(read, "path string, content binary")
 
 
 def sidecars(texts: DataFrame) -> DataFrame:

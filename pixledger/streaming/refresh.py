@@ -4,27 +4,35 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.utils import AnalysisException
 
 from pixledger.operators.refresh import VERSION_KEY, one_per_version, unparsed
 
-BATCH = "batch"
+QUERY, BATCH = "query", "batch"
 
 
-def catalog_versions(spark, catalog: str, before: int | None = None) -> DataFrame | None:
-    """Version keys in the catalog, of batches other than ``before``; NULL if new."""
+def catalog_versions(spark: SparkSession, catalog: str, query: str | None = None, batch: int | None = None) -> DataFrame | None:
+    """Version keys in the catalog but for one batch of one query; NULL if there is no catalog yet."""
     try:
         rows = spark.read.parquet(catalog)
-    except AnalysisException:
+    except AnalysisException as failure:
+        if failure.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
-    if before is not None:
-        rows = rows.where(F.col(BATCH) != before)
+    if query is not None:
+        rows = rows.where((F.col(QUERY) != query) | (F.col(BATCH) != batch))
     return rows.select(*VERSION_KEY)
 
 
+def query_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id Spark gave the query of a checkpoint; a new checkpoint has a new one."""
+    (row,) = spark.read.schema("id string").json(f"{checkpoint}/metadata").collect()
+    return f"q-{row['id']}"
+
+
 def refresh_stream(
     files: DataFrame,
     parse: Callable[[DataFrame], DataFrame],
@@ -36,16 +44,19 @@ def refresh_stream(
 
     State lives in the catalog itself, so a back-dated file is found as surely as
     a new one and no watermark has to guess how late files come. A batch owns one
-    partition folder and overwrites it, so a batch that is run again after a
-    failure leaves no doubles. ``parse`` must keep the key columns.
+    partition folder, named after the query's id and the batch's, and overwrites
+    it, so a batch that is run again after a failure leaves no doubles, and other
+    streams or a lost checkpoint touch nothing of it. ``parse`` must keep the key
+    columns. Streams that read the same files at the same time may both parse one.
     """
 
     def append(batch: DataFrame, batch_id: int) -> None:
         fresh = one_per_version(batch)
-        done = catalog_versions(batch.sparkSession, catalog, batch_id)
+        own = query_id(batch.sparkSession, checkpoint)
+        done = catalog_versions(batch.sparkSession, catalog, own, batch_id)
         if done is not None:
             fresh = unparsed(fresh, done)
-        parse(fresh).write.mode("overwrite").parquet(f"{catalog}/{BATCH}={batch_id}")
+        parse(fresh).write.mode("overwrite").parquet(f"{catalog}/{QUERY}={own}/{BATCH}={batch_id}")
 
     return (
         files.writeStream.foreachBatch(append)
