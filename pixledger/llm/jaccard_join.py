@@ -40,6 +40,8 @@ PART, WHOLE = 4, 5
 #: The prefix under the hash order is longer by one token in so many.
 EXTRA = 20
 STAR_ROUNDS = 2
+#: Size of the bitmap of suspects' ids that tasks hold; beyond a sixteenth as many ids a join finds their texts.
+MARK_BITS = 1 << 26
 
 _POWERS = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(SHINGLE)], np.uint64)
 
@@ -95,6 +97,33 @@ def _sign(batches):
         )
 
 
+def _marks(ids: DataFrame) -> np.ndarray | None:
+    """A bitmap of hashed ids, ``MARK_BITS`` at most, or None where there are too many ids for it to sift."""
+    if ids.count() > MARK_BITS // 16:
+        return None
+    place = f"pmod(xxhash64(doc_id), {MARK_BITS})"
+    words = ids.select(F.expr(f"{place} div 64").alias("w"), F.expr(f"shiftleft(1L, CAST({place} % 64 AS INT))").alias("b"))
+    out = np.zeros(MARK_BITS // 64, np.uint64)
+    for row in words.groupBy("w").agg(F.bit_or("b").alias("b")).collect():  # MARK_BITS / 64 rows at most
+        out[row["w"]] = row["b"] % (1 << 64)
+    return out
+
+
+def _chosen_texts(read: DataFrame, ids: DataFrame) -> DataFrame:
+    """Texts of the documents with these ids; few others may be among them, which does no harm."""
+    marks = _marks(ids)
+    if marks is None:
+        return read.join(ids.hint("shuffle_hash"), "doc_id", "left_semi").select("text")
+
+    def marked(batches):
+        for batch in batches:
+            place = batch.column("place").to_numpy().astype(np.uint64)
+            here = (marks[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1)
+            yield batch.filter(pa.array(here.astype(bool))).select(["text"])
+
+    return read.select("text", F.pmod(F.xxhash64("doc_id"), F.lit(MARK_BITS)).alias("place")).mapInArrow(marked, "text string")
+
+
 def _sets(batches):
     for batch in chunks(batches, "text"):
         sets = [s for s in shingle_sets(texts_of(batch)) if len(s)]
@@ -188,8 +217,7 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     signed = stored(read.mapInArrow(_sign, f"doc_id {id_type}, n long, node binary, prefix array<bigint>"), "signed")
     suspects = stored(_suspects(signed), "suspects")
     chosen = signed.join(suspects.hint("shuffle_hash"), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
-    texts = read.join(chosen.hint("shuffle_hash"), "doc_id", "left_semi")
-    sets = texts.mapInArrow(_sets, "node binary, n long, last long, tokens array<bigint>").dropDuplicates(["node"])
+    sets = _chosen_texts(read, stored(chosen, "chosen")).mapInArrow(_sets, "node binary, n long, last long, tokens array<bigint>").dropDuplicates(["node"])
     nodes = stored(_ordered(stored(sets, "sets")), "ordered")
     posts = nodes.select("node", "n", "u", F.posexplode("p2").alias("at", "token")).select("token", "node", "n", "u", (F.col("u") + F.col("at") + 1).alias("pos"))
     edges = None

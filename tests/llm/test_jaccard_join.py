@@ -54,3 +54,15 @@ def test_components_of_chains_and_hubs(spark):
     edges = [(k, k + 1) for k in range(1, 60)] + [(100, k) for k in range(101, 160)] + [(200, 200), (300, 301), (301, 300)]
     found = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(found[k] == 1 for k in range(2, 61)) and all(found[k] == 100 for k in range(101, 160)) and found[301] == 300
+
+
+def test_texts_of_suspects_with_and_without_the_bitmap(documents, monkeypatch):
+    from pixledger.llm import jaccard_join
+
+    wanted = documents.where("doc_id % 7 = 0").select("doc_id").distinct()
+    read = documents.select("doc_id", "text")
+    expected = sorted(r["text"] or "" for r in read.where("doc_id % 7 = 0").collect())
+    by_bits = sorted(r["text"] or "" for r in jaccard_join._chosen_texts(read, wanted).collect())
+    assert by_bits == expected
+    monkeypatch.setattr(jaccard_join, "MARK_BITS", 64)
+    assert sorted(r["text"] or "" for r in jaccard_join._chosen_texts(read, wanted).collect()) == expected
