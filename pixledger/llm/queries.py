@@ -7,6 +7,7 @@ from pixledger.llm.fingerprints import op3_fingerprints
 from pixledger.llm.html_text import op8_html_text
 from pixledger.llm.jaccard_join import op1_jaccard_join
 from pixledger.llm.language import op10_language
+from pixledger.llm.oracles import ORACLES
 from pixledger.llm.packing import op6_packing
 from pixledger.llm.personal_data import op7_personal_data
 from pixledger.llm.quality import op2_quality
@@ -26,4 +27,4 @@ QUERIES = {
     "op10_language": op10_language,
 }
 
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
