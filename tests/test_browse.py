@@ -149,7 +149,7 @@ def small_tree(spark):
 
 def test_folder_facts(spark):
     table = {r.path: r for r in folders.folder_table(small_tree(spark)).collect()}
-    assert set(table) == {"/g", "/g/a", "/g/a/deep", "/g/a/deep/er", "/g/only"}
+    assert set(table) == {"/", "/g", "/g/a", "/g/a/deep", "/g/a/deep/er", "/g/only"}
     a = table["/g/a"]
     # Covers include hidden images, ties by path; the count leaves hidden ones out.
     assert a.cover_images == ["/g/a/.2.png", "/g/a/4.JPG", "/g/a/5.gif"]
@@ -182,3 +182,36 @@ def test_scan_folder(spark):
     _, found = scan_folder(small_tree(spark), "/g/a", "JPG")
     assert [r.name for r in found.collect()] == ["4.JPG"]
     assert scan_folder(small_tree(spark), "/nowhere")[1].collect() == []
+
+
+def test_collated_descending_is_the_ascending_order_turned_round(spark):
+    names = ["é2.png", "e10.png", "E1.png", "z.png", "Ä.png", "a.png"]
+    df = spark.createDataFrame([("/f", n) for n in names], "folder string, name string")
+    up = [r.name for r in browse.sort_items(df, "collated", "asc").collect()]
+    assert up == ["a.png", "Ä.png", "E1.png", "e10.png", "é2.png", "z.png"]
+    assert [r.name for r in browse.sort_items(df, "collated", "desc").collect()] == up[::-1]
+    placed = {r.name: (r.position, r.previous, r.next) for r in browse.neighbours(df, "collated", "desc").collect()}
+    assert placed["z.png"] == (1, None, "/f/é2.png") and placed["a.png"] == (6, "/f/Ä.png", None)
+
+
+def test_hidden_folders_and_the_root(spark):
+    rows = [("/", "1.png"), ("/g/.hid/sub", "2.png"), ("/g/a", "3.png")]
+    df = spark.createDataFrame(rows, "folder string, name string").withColumn("mtime", F.expr("TIMESTAMP_NTZ'2024-01-01'"))
+    table = {r.path: r for r in folders.folder_table(df).collect()}
+    assert set(table) == {"/", "/g", "/g/a"} and table["/"].cover_images == ["/1.png"] and table["/"].parent is None
+    assert {r.path: r.image_count for r in folders.subtree_counts(df).collect()} == {"/": 2, "/g": 1, "/g/a": 1}
+
+
+def test_a_page_reads_its_folder_only(spark, tmp_path):
+    rows = [(f"/p/{k % 5}", f"i{k}.png") for k in range(1000)]
+    df = spark.createDataFrame(rows, "folder string, name string").withColumn("mtime", F.expr("TIMESTAMP_NTZ'2024-01-01'"))
+    df.write.partitionBy("folder").parquet(str(tmp_path / "inv"))
+    items = spark.read.parquet(str(tmp_path / "inv"))
+    for limit, cursor in ((30, 0), (30, 180), (None, 190)):
+        found = browse.page_of(items, "/p/3", limit=limit, cursor=cursor)
+        wanted = browse.page(browse.ranked(items), "/p/3", limit, cursor)
+        columns = ["name", "position", "total", "next_cursor"]
+        assert sorted(found.select(columns).collect()) == sorted(wanted.select(columns).collect())
+    plan = browse.page_of(items, "/p/3")._jdf.queryExecution().executedPlan().toString()
+    scans = [line for line in plan.splitlines() if "FileScan parquet" in line]
+    assert scans and len(scans) <= 2 and all("PartitionFilters: [isnotnull(folder" in line for line in scans)

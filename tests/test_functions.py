@@ -154,3 +154,32 @@ def test_truth_of_values(spark):
     df = df.withColumn("d", F.expr(jv.describe_values_sql("m")))
     row = df.select(*[F.expr(jv.truthy_sql(f"d['{k}']")).alias(k) for k in [*values, "missing"]]).first().asDict()
     assert row == {**{k: bool(v) for k, v in values.items()}, "missing": False}
+
+
+def test_paths_of_stores_and_roots(spark):
+    values = ["s3a://b/p/x.png", "s3a://b/x.png", "s3a://b", "/x.png", "/", "/a/b"]
+    assert column(spark, values, paths.parent(F.col("v"))) == ["s3a://b/p", "s3a://b", "s3a://b", "/", "/", "/a"]
+    found = column(spark, values, paths.ancestors(F.col("v")))
+    assert found[0] == ["s3a://b", "s3a://b/p", "s3a://b/p/x.png"] and found[2] == ["s3a://b"]
+    assert found[4] == ["/"] and found[5] == ["/", "/a", "/a/b"]
+    detours = ["s3a://b/a/../c//d", "s3a://b/..", "/a/./b/"]
+    assert column(spark, detours, paths.normalise(F.col("v"))) == ["s3a://b/c/d", "s3a://b", "/a/b"]
+    assert column(spark, detours, paths.under_root(F.col("v"), "s3a://b")) == [True, True, False]
+    assert column(spark, ["/r/.h/x", "/r/a/.x", "/r/a"], paths.in_hidden(F.col("v"), "/r")) == [True, True, False]
+    assert column(spark, ["/.r/a/x"], paths.in_hidden(F.col("v"), "/.r")) == [False]
+
+
+def test_the_last_of_repeated_keys_counts(spark):
+    from pixledger.functions.jsonvalues import describe_values_sql, parse_object
+
+    values = ['{"b":1,"a":"x","b":{"k":1,"k":2}}', '{"a":[{"s":1,"s":"t"}]}', "[1]", "{"]
+    frame = spark.createDataFrame([(v,) for v in values], "v string").withColumn("m", parse_object(F.col("v")))
+    found = [r[0] for r in frame.selectExpr(f"{describe_values_sql('m')} AS d").collect()]
+    assert list(found[0]) == ["b", "a"] and found[0]["b"]["text"] == '{"k":2}' and found[0]["a"]["text"] == "x"
+    assert found[1]["a"]["text"] == '[{"s":"t"}]' and found[2] is None and found[3] is None
+
+
+def test_very_long_numbers_keep_their_order(spark):
+    names = ["a" + "1" * 20_000, "a" + "9" * 9_999, "a" + "2" * 20_000]
+    keys = column(spark, names, text.natural_key(F.col("v")))
+    assert sorted(range(3), key=lambda k: keys[k]) == [1, 0, 2]

@@ -73,7 +73,7 @@ IMAGES = {
     "a.bmp": (b"BM" + b"\0" * 16 + struct.pack("<ii", 8, -9) + b"\0" * 6, dict(width=8, height=9)),
     "a.tiff": (b"II*\0" + struct.pack("<IHHHIIHHII", 8, 2, 256, 3, 1, 11, 257, 4, 1, 12) + b"\0" * 4, dict(width=11, height=12)),
     "broken.png": (png()[:20], dict(read_error="invalid_file")),
-    "bomb.png": (png(packed(b"parameters", "x" * 2_000_000)), dict(read_error="invalid_file")),
+    "bomb.png": (png(packed(b"parameters", "x" * 2_000_000)), dict(width=3, parameters="x" * 2_000_000, read_error=None, oversized=None)),
     "words.png": (b"hello", dict(read_error="invalid_file")),
     "empty.png": (b"", dict(read_error="invalid_file")),
 }
@@ -86,7 +86,7 @@ def test_tags_of_every_format(spark, tmp_path, by_path):
         (tmp_path / name).write_bytes(content)
         rows.append((str(tmp_path / name), bytearray(content)))
     df = spark.createDataFrame(rows, "path string, content binary")
-    read = tags.extract_tags(df.select("path"), None) if by_path else tags.extract_tags(df)
+    read = tags.extract_tags(df.select("path")) if by_path else tags.extract_tags(df, "content")
     found = {os.path.basename(r.path): r.asDict() for r in read.collect()}
     for name, (_, wanted) in IMAGES.items():
         assert {k: found[name][k] for k in wanted} == wanted, name
@@ -103,14 +103,52 @@ def tree(tmp_path):
     (root / "a/b/bad.png").write_bytes(b"no image")
     (root / "a/.dot.png").write_bytes(png())
     (root / "a/_under.png").write_bytes(png())
+    (root / "_sub").mkdir()
+    (root / "_sub/c.png").write_bytes(png())
     (root / "a/site.HTML").write_text("<p>")
     (root / ".hidden/h.png").write_bytes(png())
     return root
 
 
+def test_an_oversized_text_costs_only_itself(spark):
+    content = png(packed(b"parameters", "x" * 5000), text(b"Comment", "y" * 90_000), packed(b"prompt", "{}"), text(b"workflow", "z" * 2000))
+    df = spark.createDataFrame([("a.png", bytearray(content))], "path string, content binary")
+    (row,) = tags.extract_tags(df, "content", max_text=1000).collect()
+    assert (row.width, row.prompt_json, row.parameters, row.workflow_json) == (3, "{}", None, None)
+    assert (row.oversized, row.read_error) == ("parameters,workflow_json", None)
+
+
+class Counted:
+    """A file that counts the bytes read from it."""
+
+    def __init__(self, content):
+        self.content, self.at, self.read_bytes = content, 0, 0
+
+    def read(self, n=-1):
+        part = self.content[self.at :] if n < 0 else self.content[self.at : self.at + n]
+        self.at += len(part)
+        self.read_bytes += len(part)
+        return part
+
+    def seek(self, to, whence=0):
+        self.at = to + (self.at if whence == 1 else 0)
+
+
+def test_only_headers_are_read():
+    pixels = os.urandom(3_000_000)
+    wide_png = png(chunk(b"iCCP", b"p" * 900_000), text(b"parameters", "a"), after=[chunk(b"IDAT", pixels)])
+    wide_webp = webp(exif(ASCII + b"w")) + b"VP8X" + struct.pack("<I", len(pixels)) + pixels
+    wide_jpeg = jpeg(exif(ASCII + b"j")) + pixels
+    profiled = b"\xff\xd8" + (b"\xff\xe2" + struct.pack(">H", 60_002) + b"c" * 60_000) * 5 + jpeg()[2:]
+    wide_tiff = IMAGES["a.tiff"][0] + pixels
+    for content in (wide_png, wide_webp, wide_jpeg, profiled, wide_tiff):
+        file = Counted(content)
+        assert "read_error" not in tags.file_tags(file) and file.read_bytes < 4096
+
+
 def test_scan_metadata(spark, tree):
     rows = {r.name: r for r in scan_metadata(spark, str(tree)).collect()}
-    assert set(rows) == {"one.png", "two.PNG", "bad.png"}
+    assert set(rows) == {"one.png", "two.PNG", "bad.png", "_under.png", "c.png"}
     assert (rows["one.png"].tool, rows["one.png"].prompt, rows["one.png"].width) == ("A1111", "a fox", 3)
     # The sidecar is read with its carriage returns and stray byte put right.
     assert (rows["two.PNG"].tool, rows["two.PNG"].negative_prompt) == ("A1111", "hen")
@@ -130,7 +168,7 @@ def test_walk_tree_lists_everything(spark, tree):
     entries = {r.path[len(str(tree)) + 1 :]: r for r in files.walk_tree(spark, str(tree)).collect()}
     assert set(entries) == {
         "a", "a/b", "empty", ".hidden", "a/one.png", "a/b/two.PNG", "a/b/two.txt", "a/b/bad.png", "a/.dot.png",
-        "a/_under.png", "a/site.HTML", ".hidden/h.png",
+        "a/_under.png", "a/site.HTML", ".hidden/h.png", "_sub", "_sub/c.png",
     }
     assert entries["empty"].is_dir and not entries["a/one.png"].is_dir
     assert entries["a/one.png"].length == (tree / "a/one.png").stat().st_size
@@ -140,11 +178,33 @@ def test_walk_tree_lists_everything(spark, tree):
 
 def test_listing_and_suffix(spark, tree):
     listing = files.read_listing(spark, str(tree))
-    images = files.list_inventory(listing)
-    assert {r.name for r in images.collect()} == {"one.png", "two.PNG", "bad.png"}
+    images = files.list_inventory(listing, str(tree))
+    assert {r.name for r in images.collect()} == {"one.png", "two.PNG", "bad.png", "_under.png", "c.png"}
     assert [r.url_path for r in files.list_by_suffix(listing, str(tree)).collect()] == ["/a/site.HTML"]
 
 
+def test_what_cannot_be_listed_is_named(spark, tree):
+    (missing,) = files.walk_tree(spark, str(tree / "none")).collect()
+    assert (missing.path, missing.error) == (str(tree / "none"), "not_found")
+    (no_folder,) = files.errors_of(files.walk_tree(spark, str(tree / "a/one.png"))).collect()
+    assert no_folder.error_type == "not_directory"
+    (row,) = scan_metadata(spark, str(tree / "none")).collect()
+    assert (row.name, row.folder, row.error_type, row.tool) == ("none", str(tree), "not_found", None)
+
+
+def test_a_tree_by_url(spark, tree):
+    found = files.read_listing(spark, f"file://{tree}").select(F.regexp_replace("path", "^file://", "").alias("path"), "length")
+    assert sorted(found.collect()) == sorted(files.read_listing(spark, str(tree)).select("path", "length").collect())
+    rows = {r.name: r for r in scan_metadata(spark, f"file://{tree}").collect()}
+    assert rows["one.png"].tool == "A1111" and rows["two.PNG"].negative_prompt == "hen"
+
+
+def test_links_to_folders_are_not_followed(spark, tree):
+    os.symlink(tree / "a", tree / "again")
+    names = [r.name for r in scan_metadata(spark, str(tree)).collect()]
+    assert names.count("one.png") == 1
+
+
 def tagged(spark, rows):
     df = spark.createDataFrame(rows, "file_id long, name string, length long, day int, parameters string")
     df = df.select("file_id", F.lit("/f").alias("folder"), "name", "length", F.lit(1).alias("width"), F.lit(1).alias("height"),
