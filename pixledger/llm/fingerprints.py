@@ -36,7 +36,8 @@ SPAN = 12
 SLOTS = 64
 _EMPTY = 0xFFFF
 #: Bytes of text at once; each takes about a hundred times as many in arrays.
-_CHUNK = 1 << 20
+_CHUNK = 1 << 19
+_POWERS_KEPT = 1 << 21
 
 
 @functools.lru_cache(4)
@@ -49,7 +50,7 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    return _powers(base, 1 << max(10, int(n).bit_length()))[:n]
+    return _powers(base, max(_POWERS_KEPT, 1 << int(n).bit_length()))[:n]
 
 
 def code_points(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -87,11 +88,6 @@ class PrefixHashes:
         return low
 
 
-@functools.lru_cache(4)
-def _inverse_powers(n: int) -> np.ndarray:
-    return powers(pow(BASES[0], PRIME - 2, PRIME), n)
-
-
 def sketches(hashes: PrefixHashes, starts: np.ndarray) -> np.ndarray:
     """For each text the bins' smallest span hashes, 16 bits each; ``starts`` are the texts' first places with the end."""
     sizes = np.diff(starts)
@@ -101,7 +97,7 @@ def sketches(hashes: PrefixHashes, starts: np.ndarray) -> np.ndarray:
     end = np.minimum(place + SPAN, starts[1:][owner])
     whole = (end - place == SPAN) | (place == starts[:-1][owner])
     place, end, owner = place[whole], end[whole], owner[whole]
-    inverse = _inverse_powers(1 << max(10, total.bit_length()))
+    inverse = powers(pow(BASES[0], PRIME - 2, PRIME), total)
     value = mixed(((hashes.sums[end] - hashes.sums[place]) % PRIME * inverse[place] % PRIME).astype(np.uint64) + np.uint64(1))
     slot = (value >> np.uint64(58)).astype(np.int64)
     rank = ((value >> np.uint64(20)) & np.uint64(0xFFFFFFFF)).astype(np.int64)
