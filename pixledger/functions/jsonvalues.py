@@ -55,13 +55,20 @@ def parse_object(text: Column, value: str = "variant") -> Column:
 
 def last_values(entries: Column) -> Column:
     """A map as the JSON reader gives it, repeated keys included, with each key's last value."""
+    return F.get(F.transform(F.filter(F.array(entries), lambda m: m.isNotNull()), _settled), 0)
 
-    def settled(m: Column) -> Column:
-        keys = F.map_keys(m)
-        values = F.transform(F.array_distinct(keys), lambda k: F.get(F.map_values(m), F.size(keys) - F.array_position(F.reverse(keys), k).cast("int")))
-        return F.when(F.size(F.array_distinct(keys)) == F.size(keys), m).otherwise(F.map_from_arrays(F.array_distinct(keys), values))
 
-    return F.get(F.transform(F.filter(F.array(entries), lambda m: m.isNotNull()), settled), 0)
+def _settled(m: Column) -> Column:
+    keys = F.map_keys(m)
+    values = F.transform(F.array_distinct(keys), lambda k: F.get(F.map_values(m), F.size(keys) - F.array_position(F.reverse(keys), k).cast("int")))
+    return F.when(F.size(F.array_distinct(keys)) == F.size(keys), m).otherwise(F.map_from_arrays(F.array_distinct(keys), values))
+
+
+def last_values_sql(entries: str) -> str:
+    """SQL for ``last_values``."""
+    last = "get(map_values(m), size(map_keys(m)) - CAST(array_position(reverse(map_keys(m)), k) AS INT))"
+    once = "array_distinct(map_keys(m))"
+    return bind_sql(entries, "m", f"IF(m IS NULL OR size({once}) = size(map_keys(m)), m, map_from_arrays({once}, transform({once}, k -> {last})))")
 
 
 def is_other_json(text: Column) -> Column:

@@ -68,7 +68,7 @@ _DESCRIBED_SQL = f"""transform(_parsed, (e, pos) -> named_struct(
     'pos', pos,
     'id', coalesce(e.key, try_variant_get(e.node.id, '$', 'string')),
     'type', {_TYPE_SQL},
-    'inputs', {jv.describe_values_sql('e.node.inputs')},
+    'inputs', {jv.describe_values_sql(jv.last_values_sql('e.node.inputs'))},
     'bad_inputs', {_TYPE_SQL} IN ({jv.sql_list(READ_TYPES)}) AND e.node.inputs IS NULL
       AND get_json_object(e.value, '$.inputs') IS NOT NULL))"""
 _NODES_SQL = """transform(_described, n -> named_struct(

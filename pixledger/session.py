@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -10,8 +12,13 @@ from pyspark.sql import SparkSession
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 
-def get_session(master: str | None = None, shuffle_partitions: int | None = None, **conf: str) -> SparkSession:
-    """A session in UTC with AQE; on a cluster leave ``master`` to spark-submit."""
+def get_session(
+    master: str | None = None, shuffle_partitions: int | None = None, checkpoint_dir: str | None = None, **conf: str
+) -> SparkSession:
+    """A session in UTC with AQE; on a cluster leave ``master`` to spark-submit.
+
+    ``checkpoint_dir`` is a folder that all executors share.
+    """
     builder = SparkSession.builder.appName("pixledger")
     if master:
         builder = builder.master(master)
@@ -24,6 +31,8 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     }
     if shuffle_partitions:
         settings["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    if checkpoint_dir:
+        settings[CHECKPOINT_KEY] = checkpoint_dir
     settings.update(conf)
     for key, value in settings.items():
         builder = builder.config(key, value)
@@ -34,12 +43,13 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder below the cluster's checkpoint folder.
 
     Only where no such folder is named (tests, a laptop) is a local one taken,
-    and only if Spark itself runs locally.
+    and only if Spark itself runs locally; it is removed when Python ends.
     """
     base = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError(f"set {CHECKPOINT_KEY} to a folder all executors share")
-        base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        base = tempfile.mkdtemp(prefix="spark-")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
         spark.conf.set(CHECKPOINT_KEY, base)
     return f"{base.rstrip('/')}/pixledger/{purpose}-{uuid.uuid4().hex}"

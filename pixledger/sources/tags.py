@@ -176,7 +176,10 @@ def _webp(file) -> dict:
     tags: dict = {}
     at = 12
     while True:
-        file.seek(at)
+        try:
+            file.seek(at)
+        except (OSError, ValueError):  # padding past the end, which some readers refuse to seek to
+            break
         head = file.read(8)
         if len(head) < 8:
             break

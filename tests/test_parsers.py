@@ -266,3 +266,19 @@ def test_filters_on_the_result_do_not_copy_the_parsers(spark):
     filtered = resolved.where("tool = 'A1111' AND prompt <> ''")
     assert len(filtered._jdf.queryExecution().optimizedPlan().toString()) < 1.2 * plain
     assert filtered.count() == 1
+
+
+def test_the_last_of_repeated_keys_counts_in_every_format(spark):
+    graph = '{"1":{"class_type":"CLIPTextEncode","inputs":{"text":"oldlonger"}},"1":{"class_type":"CLIPTextEncode","inputs":{"text":"x","text":"new"}}}'
+    (r,) = records(comfy.parse_comfy(tags(spark, [{"prompt_json": graph}]), out="r"))
+    assert (r["prompt"], r["negative_prompt"]) == ("new", "")
+    flat = '{"Software":"NovelAI","prompt":"a","prompt":"b","steps":1,"steps":2}'
+    (r,) = records(json_formats.parse_novelai_json(tags(spark, [{"parameters": flat}]), out="r"))
+    assert r["prompt"] == "b" and r["params"]["Steps"] == "2"
+    easy = '{"prompt":"a","negative_prompt":"n","width":1,"height":2,"seed":1,"prompt":"b","seed":7}'
+    (r,) = records(json_formats.parse_easydiffusion(tags(spark, [{"parameters": easy}]), out="r"))
+    assert r["prompt"] == "b" and r["params"]["Seed"] == "7"
+    swarm = '{"sui_image_params":{"prompt":"p","seed":1,"seed":2},"other":{"k":1,"k":2}}'
+    rows = resolve.resolve_records(tags(spark, [{"parameters": swarm}, {"user_comment": swarm}]))
+    for r in records(rows, "record"):
+        assert r["tool"] == "SwarmUI" and r["params"]["Seed"] == "2"
