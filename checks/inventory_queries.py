@@ -11,6 +11,7 @@ from pixledger.functions import paths
 from pixledger.operators import errors
 from pixledger.operators import inventory as inv
 from pixledger.operators import refresh
+from pixledger.schemas import ERRORS
 
 
 def is_image(spark, sf):
@@ -90,19 +91,18 @@ def classify_error(spark, sf):
     return errors.classify_errors(rows)
 
 
+def _quoted(value) -> str:
+    return str(value).lower() if isinstance(value, bool) else "'" + value.replace("'", "''") + "'"
+
+
+_ERROR_ROWS = ", ".join(f"({', '.join(map(_quoted, row))})" for row in ERRORS)
 CLASSIFY_ERROR_SQL = fx.oracle(
-    """SELECT file_id, d.* FROM (SELECT file_id, CASE WHEN length > 78643200
+    f"""SELECT file_id, d.* FROM (SELECT file_id, CASE WHEN length > 78643200
              OR CAST(width AS BIGINT) * height > 104857600 THEN 'invalid_file'
            WHEN file_id % 7 >= 5 THEN 'server_error'
            ELSE ['not_found', 'not_directory', 'permission', 'timeout', 'network'][1 + file_id % 7] END AS error_type
          FROM inventory) JOIN (VALUES
-           ('not_found', 'Folder not found', 'The folder may have been moved or deleted.', false),
-           ('not_directory', 'Not a folder', 'The selected path is not a valid folder.', false),
-           ('permission', 'Access denied', 'You don''t have permission to access this folder.', false),
-           ('invalid_file', 'Invalid file', 'This file type is not supported.', false),
-           ('timeout', 'Taking too long', 'The folder has too many files. Try a smaller folder.', true),
-           ('server_error', 'Something went wrong', 'An unexpected error occurred. Please try again.', true),
-           ('network', 'Can''t connect to server', 'Check if the backend is running and try again.', true)
+           {_ERROR_ROWS}
          ) d(error_type, title, suggestion, can_retry) USING (error_type)""",
     inventory=True,
 )

@@ -43,6 +43,7 @@ def distinct_in_order(items: str) -> str:
     return f"list_filter({items}, lambda x, i: list_position({items}, x) = i)"
 
 
+# The texts that parameters are written in, in the order they are looked for.
 _A1111_PATTERNS = {
     "Steps": r"Steps:\s*(\d+)",
     "Sampler": r"Sampler:\s*([^,\n]+?)(?:,|\n|$)",

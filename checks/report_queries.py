@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from checks import fixtures as fx
 from checks import reference_sql as ref
-from checks.folder_queries import COVERS, NODES
 from checks.common import Queries, joined, metadata, usable_metadata
+from checks.folder_queries import COVERS, NODES
+from pixledger import schemas
 from pixledger.operators import reports, sections
 from pixledger.plans.browse import folder_overview
 
@@ -44,12 +45,12 @@ def lora_usage(spark, sf):
     return usage.select("lora", "files", "mentions", F.round("mean_weight", 6).alias("mean_weight"))
 
 
-_CORE = "['Seed', 'Steps', 'CFG', 'Sampler', 'Scheduler', 'AspectRatio']"
-_SECONDARY = (
-    "['clip_skip', 'hires_upscale', 'hires_steps', 'denoising_strength', 'vae', 'model_hash', 'ensd', 'aesthetic_score']"
-)
-_LABELS = "['Clip Skip', 'Hires Upscale', 'Hires Steps', 'Denoising', 'VAE', 'Model Hash', 'ENSD', 'Aesthetic']"
-_OTHER = "['Model', 'Lora', 'Width', 'Height', 'SwarmVersion']"
+def _listed(values) -> str:
+    return f"[{', '.join(repr(v) for v in values)}]"
+
+
+_CORE, _OTHER = _listed(schemas.CORE_KEYS), _listed(schemas.OTHER_KNOWN_KEYS)
+_SECONDARY, _LABELS = _listed(schemas.SECONDARY_LABELS), _listed(schemas.SECONDARY_LABELS.values())
 _KEYS = "list_transform(params, lambda p: p.k)"
 # The number of models by file, zero where there are none.
 _MODELS = """model_counts AS (SELECT file_id, count(*) AS models FROM swarm_models GROUP BY ALL)"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-# --- Fixed values: these must equal what existing catalogs hold -------------
+# --- Fixed values: endings, limits, keys and texts that results must show exactly so ---
 
 # File name endings that make a file an image; ".tif" is not among them.
 IMAGE_SUFFIXES = [".jpg", ".jpeg", ".png", ".gif", ".bmp", ".webp", ".tiff"]
