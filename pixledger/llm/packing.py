@@ -29,7 +29,7 @@ from pixledger.llm.tokens import encoder
 SEQUENCE = 2048
 END = 1
 DIMENSIONS, BITS, BUCKETS = 4, 10, 64
-_CHUNK = 8 << 20
+_CHUNK = 2 << 20
 
 
 def _signs() -> np.ndarray:
@@ -114,7 +114,7 @@ def _keyed(mean, scale, bounds=None):
 def _pieces(begins: dict[int, int], width: int, with_ids: bool):
     def rows(batches):
         part, at = None, 0
-        for batch in batches:
+        for batch in chunks(batches, "ids", _CHUNK):
             out = {k: [] for k in ("row", "start", "length", "crc", "tokens", "sequence", "offset", "ids")}
             parts, sizes, blobs = batch.column("part").to_pylist(), batch.column("n").to_pylist(), batch.column("ids")
             for i, (p, n) in enumerate(zip(parts, sizes)):
