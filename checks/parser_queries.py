@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from checks import fixtures as fx
 from checks import reference_sql as ref
-from checks.common import Queries, joined, metadata, params_text, usable_metadata
+from checks.common import Queries, joined, metadata, params_text
 from pixledger.functions import jsonvalues as jv
 from pixledger.functions import loras
 from pixledger.functions.text import strip
