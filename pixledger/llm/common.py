@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from pixledger.session import shared_dir
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def stored(df: DataFrame, purpose: str) -> DataFrame:
@@ -49,6 +49,7 @@ def chunks(batches: Iterable[pa.RecordBatch], column: str, most: int = CHUNK_BYT
             stop = max(start + 1, int(np.searchsorted(ends, before + most, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
+            pa.default_memory_pool().release_unused()  # workers outlive their tasks
 
 
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> pa.Array:

@@ -32,6 +32,7 @@ from pixledger.llm.common import chunks, raw, set_apart, starts_of, stored, tabl
 WINDOW = 10
 BLOCK_BYTES = 4 << 20
 SAMPLED = 16
+SHARD_BYTES = 2 << 20
 
 _WORD_BYTES = np.zeros(256, bool)
 _WORD_BYTES[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
@@ -219,9 +220,9 @@ def _spans(mask: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.flatnonzero(first), np.flatnonzero(last) + 1
 
 
-def _searched(vocabulary: pa.Array, windows: dict):
+def _searched(vocabulary: pa.Array, windows: dict, cut: bool):
     def found(batches):
-        for batch in chunks(batches, "text"):
+        for batch in chunks(batches, "text", SHARD_BYTES):
             data, offsets = raw(texts_of(batch))
             words, counts = words_of(data, offsets)
             starts = starts_of(counts)
@@ -240,13 +241,17 @@ def _searched(vocabulary: pa.Array, windows: dict):
                 "bench_to": pa.ListArray.from_arrays(at, pa.array((last - starts[document]).astype(np.int64))),
                 "bench_items": pa.array(named, pa.list_(pa.string())),
             }
-            yield pa.RecordBatch.from_arrays([new.get(n, batch.column(n)) for n in batch.schema.names], batch.schema.names)
+            out = pa.RecordBatch.from_arrays([new.get(n, batch.column(n)) for n in batch.schema.names], batch.schema.names)
+            yield from _cut([out]) if cut else (out,)
 
     return found
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` with bench_words (the word count), bench_from and bench_to (word spans filled by windows) and bench_items."""
+def contamination(docs: DataFrame, benchmark: DataFrame, cut: bool = False) -> DataFrame:
+    """``docs`` with bench_words (the word count), bench_from and bench_to (word spans filled by windows) and bench_items.
+
+    With ``cut`` the spans are taken out of the texts once all blocks are searched.
+    """
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = -(-size // (BLOCK_BYTES // 2)) if size > BLOCK_BYTES else 1
@@ -256,7 +261,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     for block in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()  # about BLOCK_BYTES at most
         vocabulary, windows = windows_of([(r["item_id"], r["text"]) for r in rows])
-        out = out.mapInArrow(_searched(vocabulary, windows), out.schema)
+        out = out.mapInArrow(_searched(vocabulary, windows, cut and block + 1 == blocks), out.schema)
         if block + 1 < blocks:
             out = stored(out, "contamination")
     return out
@@ -282,8 +287,7 @@ def _cut(batches):
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the benchmark spans in their texts; ``n_chars`` follows the text where there is one."""
     apart = set_apart(docs, "text", "n_chars")
-    found = contamination(apart, benchmark)
-    out = found.mapInArrow(_cut, found.schema)
+    out = contamination(apart, benchmark, cut=True)
     if "n_chars" in docs.columns:
         count = F.when(F.size("bench_from") > 0, F.length("text")).otherwise(F.col("n_chars"))
         out = out.withColumn("n_chars", count.cast(docs.schema["n_chars"].dataType))

@@ -84,6 +84,7 @@ def _tokenised(path: str):
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(counts + 1), vectors, pa.array(spread, pa.int64()), data], ["doc_id", "n", "at", "spread", "ids"]
             )
+        encoder(path).known.clear()  # the worker may serve other tasks next
 
     return rows
 

@@ -24,7 +24,7 @@ _OTHER, _LETTER, _NUMBER, _BLANK, _SPACE, _UNKNOWN = range(6)
 _BLANKS = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 #: The endings that the pattern cuts off after an apostrophe.
 _ENDINGS = ["s", "t", "re", "ve", "m", "ll", "d"]
-_CACHED = 100_000
+_CACHED = 50_000
 
 
 @functools.cache
