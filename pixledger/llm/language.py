@@ -35,6 +35,8 @@ WORD_BOUND = 6.0
 #: A script belongs to a language that writes at least this share of its letters in it.
 SCRIPT_SHARE = 0.02
 UNKNOWN = "und"
+#: Bytes of text decoded side by side; Viterbi takes one array step per word of the longest text among them.
+_CHUNK = 4 << 20
 
 #: First and last code points of script ranges; letters outside belong to the last class.
 SCRIPTS = {
@@ -103,7 +105,7 @@ def letters_of(texts: pa.Array) -> dict[str, np.ndarray]:
 def _counted(batches):
     """Trigram and script counts by language of one task."""
     grams, scripts = {}, {}
-    for batch in chunks(batches, "text"):
+    for batch in chunks(batches, "text", _CHUNK):
         found = letters_of(texts_of(batch))
         langs = np.array(batch.column("lang").to_pylist(), object)
         of_word = langs[found["text"]]
@@ -181,7 +183,7 @@ def best_paths(scores: np.ndarray, counts: np.ndarray, penalty: float = SWITCH)
 def _predicted(model: dict | None, with_spans: bool):
     def rows(batches):
         names = model["names"] if model else []
-        for batch in chunks(batches, "text"):
+        for batch in chunks(batches, "text", _CHUNK):
             n = batch.num_rows
             langs, scores, spans = [UNKNOWN] * n, np.zeros(n), [[] for _ in range(n)]
             if model:
