@@ -1,4 +1,4 @@
-"""Secret scans: fixed patterns, and a battery of randomness tests on other tokens. DataFrame functions only.
+"""Secret scans: fixed patterns, and a battery of randomness tests on other tokens. Rows meet DataFrame functions only.
 
 Tokens of 20 or more characters from the alphabets of encoded data are tested. For
 the encoding inferred from its characters, a token gets the p-values of three tests
@@ -6,12 +6,16 @@ of randomness: chi-squared uniformity over the alphabet, the number of runs belo
 and above the alphabet's middle, and the correlation of neighbouring characters.
 Fisher's method combines them to one likeness to random text.
 
-How random ordinary words look depends on their length, so the null is measured:
-over all documents, the likeness of all-letter tokens is counted by length group.
-A mixed token (letters and digits) has as its p-value the share of all-letter
-tokens of its length group and shorter ones, which pass for random more easily, that
-look as random. Benjamini-Hochberg's rule sets one threshold per length group at the
-rate ``RATE``. Only these counts, a fixed number of bins, reach the driver.
+How random ordinary words look depends on their length and on the encoding they are read
+in, so the null is measured: over all documents the letter pairs of words too short to be
+tested are counted, on top of a fixed list of common words (``COMMON``), so that a null
+stands in the smallest corpus too. ``DRAWS`` strings drawn from these pairs show, for each
+encoding and length, how random running words look there. A mixed token (letters and
+digits) has as its p-value the share of them that look as random; Benjamini-Hochberg's
+rule sets one threshold per group of encoding and length at the rate ``RATE``. Tokens whose
+own tests reject randomness, by the same rule, stay below it in any case; words cannot
+be written in hex, so there the tests alone decide. Only these counts, a fixed number of
+bins and pairs, reach the driver; the null is drawn there with a fixed seed.
 
 Null text counts as empty in the scan and stays null in ``redacted``. Equal rows get
 equal spans. Offsets count code points, the end is exclusive. Other columns pass.
@@ -19,6 +23,9 @@ equal spans. Offsets count code points, the end is exclusive. Other columns pass
 
 from __future__ import annotations
 
+from collections import Counter
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,9 +42,22 @@ BASE = {
 }
 LEAST = 20
 TOKEN = f"[A-Za-z0-9+/_=-]{{{LEAST},}}"
-GROUPS, GROUP_WIDTH = 8, 4
+LENGTHS, GROUP_WIDTH = 8, 4
 BINS = 200
+#: Bins by halves below 1 / BINS; all that is smaller falls into the last.
+HALVES = 60
 RATE = 0.01
+DRAWS = 20_000
+#: Common words whose letter pairs the null begins with.
+COMMON = (
+    "the and that have for not with you this but his from they say her she will one all would there their what out about who get which when make can like"
+    " time just him know take people into year your good some could them see other than then now look only come its over think also back after use two how"
+    " our work first well way even new want because any these give day most between through during without system number information however government"
+    " und der die das nicht ein sich mit dem auf eine auch werden aus hat dass sie nach wird bei einer noch wie einem haben nur oder aber zeit kann dieser"
+    " durch wenn schon zwischen mehr immer sehr unter arbeit gesellschaft entwicklung les des est une dans que pour qui pas sur plus par avec tout faire"
+    " son mettre autre mais nous comme avoir leur deux homme temps encore aussi celui entre vivre depuis toujours los las del por con para como pero sus"
+    " hasta donde quien desde todo nos durante todos uno ellos contra otros ese eso ante esta estado tiempo mismo yo otro tanto trabajo siempre"
+)
 REPLACEMENT = "[SECRET]"
 
 _SPAN = "array<struct<start:int,kind:int,end:int>>"
@@ -53,6 +73,8 @@ ENCODINGS = [
     ("base64", ".", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_="),
 ]
 _LETTERS = "abcdefghijklmnopqrstuvwxyz"
+#: One group per encoding and length.
+GROUPS = len(ENCODINGS) * LENGTHS
 
 
 def _walk(text: Column, pattern: str, group: int, kind: str, made) -> Column:
@@ -151,34 +173,114 @@ def likeness(token: Column) -> Column:
 
 
 def _group(token: Column) -> Column:
-    return F.least(F.floor((F.length(token) - LEAST) / GROUP_WIDTH), F.lit(GROUPS - 1)).cast("int")
+    encoding = F.lit(len(ENCODINGS) - 1)
+    for k in range(len(ENCODINGS) - 2, -1, -1):
+        encoding = F.when(token.rlike(ENCODINGS[k][1]), F.lit(k)).otherwise(encoding)
+    return (encoding * LENGTHS + F.least(F.floor((F.length(token) - LEAST) / GROUP_WIDTH), F.lit(LENGTHS - 1))).cast("int")
 
 
 def _is_mixed(token: Column) -> Column:
     return token.rlike("[A-Za-z]") & token.rlike("[0-9]")
 
 
+def letter_pairs(docs: DataFrame) -> np.ndarray:
+    """Counts of letters by the letter before in words too short to be tested; the last place stands for a word's ends."""
+    text = F.lower(F.when(F.col("text").rlike(TOKEN), F.regexp_replace("text", TOKEN, " ")).otherwise(F.col("text")))
+    words = docs.select(F.explode(F.split(text, "[^a-z]+")).alias("word")).where("word <> ''").groupBy("word").agg(F.count("*").alias("n"))
+    padded = F.concat(F.lit(" "), "word", F.lit(" "))
+    pair = F.explode(F.transform(F.sequence(F.lit(1), F.length("word") + 1), lambda k: F.substring(padded, k, F.lit(2))))
+    places = f"{_LETTERS} "
+    out = np.zeros((len(places), len(places)))
+    for word in COMMON.split():
+        for x, y in zip(f" {word}", f"{word} "):
+            out[places.index(x), places.index(y)] += 1
+    for row in words.select(pair.alias("pair"), "n").groupBy("pair").agg(F.sum("n").alias("n")).collect():  # 27 * 27 rows at most
+        out[places.index(row["pair"][0]), places.index(row["pair"][1])] += row["n"]
+    return out
+
+
+def drawn(pairs: np.ndarray) -> np.ndarray:
+    """``DRAWS`` strings of running words without breaks, as numbers of letters; as long as the longest group's least length."""
+    share = pairs / np.maximum(pairs.sum(1, keepdims=True), 1)
+    share = share[:, :-1] + share[:, -1:] * share[-1:, :-1]
+    share[share.sum(1) == 0] = share[-1]
+    ends = np.cumsum(share / share.sum(1, keepdims=True), axis=1)
+    ends[:, -1] = 1
+    rng = np.random.default_rng(0)
+    out, now = np.zeros((DRAWS, LEAST + GROUP_WIDTH * (LENGTHS - 1)), np.int64), np.full(DRAWS, len(pairs) - 1)
+    for k in range(out.shape[1]):
+        out[:, k] = now = (ends[now] < rng.random((DRAWS, 1))).sum(1)
+    return out
+
+
+def likeness_of(codes: np.ndarray, size: int) -> np.ndarray:
+    """``likeness`` of strings of one length, given as their characters' places (from 1) in an alphabet of ``size``."""
+    n, freedom = codes.shape[1], size - 1
+    tail = lambda z: 1 / (1 + np.exp(np.clip(1.5976 * z + 0.07056 * z**3, -700, 700)))
+    chi = sum(((codes == c).sum(1) ** 2 for c in range(1, size + 1)), np.zeros(len(codes))) * size / n - n
+    uniform = tail((np.cbrt(np.maximum(chi, 0) / freedom) - (1 - 2 / (9 * freedom))) / np.sqrt(2 / (9 * freedom)))
+    above = codes > (size + 1) / 2
+    high, runs = above.sum(1), 1 + (above[:, 1:] != above[:, :-1]).sum(1)
+    expected = 2 * high * (n - high) / n + 1
+    spread = (expected - 1) * (expected - 2) / (n - 1)
+    even = np.where(spread > 0, 2 * tail(np.abs(runs - expected) / np.sqrt(np.where(spread > 0, spread, 1))), 0)
+    off = codes - codes.mean(1, keepdims=True)
+    variance = (off * off).sum(1)
+    serial = np.where(variance > 0, 2 * tail(np.abs((off[:, 1:] * off[:, :-1]).sum(1)) / np.where(variance > 0, variance, 1) * np.sqrt(n)), 0)
+    half = -sum(np.log(np.maximum(p, 1e-12)) for p in (uniform, even, serial))
+    return np.exp(-half) * (1 + half + half * half / 2)
+
+
+def _null(words: np.ndarray, group: int) -> np.ndarray | None:
+    """The sorted likeness of drawn words in a group's encoding and least length; None where words cannot be written in it."""
+    alphabet = ENCODINGS[group // LENGTHS][2]
+    places = np.array([1 + max(alphabet.find(c), alphabet.find(c.upper())) for c in _LETTERS])
+    if not places.all():
+        return None
+    return np.sort(likeness_of(places[words[:, : LEAST + GROUP_WIDTH * (group % LENGTHS)]], len(alphabet)))
+
+
+def _bin(p: Column) -> Column:
+    """Bins of equal width from 1 / BINS on, below that by halves, which count from -1 down."""
+    low = F.least(F.floor(F.log2(F.greatest(p * BINS, F.lit(2.0**-HALVES)))), F.lit(-1))
+    return F.when(p * BINS >= 1, F.least(F.floor(p * BINS), F.lit(BINS - 1))).otherwise(F.greatest(low, F.lit(-HALVES))).cast("int")
+
+
+def _edge(b: int) -> float:
+    """The least value in bin ``b``."""
+    return b / BINS if b > 0 else 2.0**b / BINS if b > -HALVES else 0.0
+
+
+def _limit(tested: Counter, words: np.ndarray | None, rate: float) -> float:
+    """The least likeness at which tokens are taken: words seldom enough look so random, and the tokens' own tests do not reject it."""
+    bins, total = [b for b in range(-HALVES, BINS) if b], sum(tested.values())
+    chosen, taken = 2.0 if words is not None else 0.0, 0
+    for b in reversed(bins) if words is not None else ():
+        taken += tested[b]
+        above = len(words) - np.searchsorted(words, _edge(b))
+        if taken and (above + 1) / (len(words) + 1) * total <= rate * taken:
+            chosen = _edge(b)
+    below = 0
+    for b, after in zip(bins, [*bins[1:], BINS]):
+        below += tested[b]
+        if below and _edge(after) * total <= rate * below:
+            chosen = max(chosen, _edge(after))
+    return chosen
+
+
 def thresholds(docs: DataFrame, rate: float = RATE) -> list[float]:
-    """The least likeness of a token taken for a secret, for each length group; above 1 where none is."""
+    """The least likeness of a token taken for a secret, for each group; above 1 where none is."""
     text = F.col("text")
     tokens = docs.where(text.rlike(TOKEN)).select(F.explode(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))).alias("token"))
-    tokens = tokens.where(F.col("token").rlike("[A-Za-z]"))
-    marked = tokens.select(_group(F.col("token")).alias("g"), _is_mixed(F.col("token")).alias("mixed"), likeness(F.col("token")).alias("p"))
-    binned = marked.groupBy("g", "mixed", F.least(F.floor(F.col("p") * BINS), F.lit(BINS - 1)).cast("int").alias("bin")).agg(F.count("*").alias("n"))
-    words, mixed = [[0] * BINS for _ in range(GROUPS)], [[0] * BINS for _ in range(GROUPS)]
-    for row in binned.collect():  # GROUPS * 2 * BINS rows at most
-        (mixed if row["mixed"] else words)[row["g"]][row["bin"]] += row["n"]
-    out, pooled = [], [0] * BINS
-    for g in range(GROUPS):
-        pooled = [x + y for x, y in zip(pooled, words[g])]
-        known, all_mixed = sum(pooled), sum(mixed[g])
-        chosen, above, taken = 2.0, 0, 0
-        for b in range(BINS - 1, -1, -1):
-            above, taken = above + pooled[b], taken + mixed[g][b]
-            if taken and (above + 1) / (known + 1) * all_mixed <= rate * taken:
-                chosen = b / BINS
-        out.append(chosen)
-    return out
+    tokens = tokens.where(_is_mixed(F.col("token")))
+    binned = tokens.groupBy(_group(F.col("token")).alias("g"), _bin(likeness(F.col("token"))).alias("bin")).agg(F.count("*").alias("n"))
+    tested = {}
+    for row in binned.collect():  # GROUPS * (BINS + HALVES) rows at most
+        tested.setdefault(row["g"], Counter())[row["bin"]] += row["n"]
+    if not tested:
+        return [2.0] * GROUPS
+    words = drawn(letter_pairs(docs))
+    return [_limit(tested[g], _null(words, g), rate) if g in tested else 2.0 for g in range(GROUPS)]
 
 
 def random_spans(text: Column, limits: list[float], base: Column) -> Column:

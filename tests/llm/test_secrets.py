@@ -43,6 +43,42 @@ def test_spans_and_redaction(spark):
             assert clean[r["doc_id"]]["text"] == r["text"]
 
 
+def planted(spark, keys, copies=1):
+    """The random spans' texts where each key stands in a text of short words."""
+    rows = [(i, f"we saw the cat and the dog run by {key} on the way to town") for i, key in enumerate([*keys] * copies)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = secrets.with_secrets(docs, secrets.thresholds(docs)).collect()
+    return {r["text"][s["start"] : s["end"]] for r in found for s in r["secret_spans"] if s["kind"] == 3}
+
+
+def keys(alphabet, length, n):
+    rng = random.Random(11)
+    return ["".join(rng.choices(alphabet, k=length)) for _ in range(n)]
+
+
+BASE62 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+
+
+def test_a_key_is_found_at_every_size_of_corpus(spark):
+    ordinary = ["the-annual-report-of-the-year-2021", "aaaaaaaaaaaaaaaaaaaa1111111111111111"]
+    one = keys(BASE62, 40, 1)
+    for copies in (1, 50):
+        assert planted(spark, one + ordinary, copies) == set(one)
+    many = keys(BASE62, 24, 20)
+    assert len(planted(spark, many) & set(many)) >= 16
+
+
+def test_the_null_is_scored_as_tokens_are(spark):
+    import numpy as np
+
+    alphabet = next(x for name, _, x in secrets.ENCODINGS if name == "base62")
+    tokens = keys(alphabet, 30, 20) + ["aB3" + "the" * 9]
+    frame = spark.createDataFrame([(t,) for t in tokens], "token string").select("token", secrets.likeness(secrets.F.col("token")).alias("p"))
+    found = {r["token"]: r["p"] for r in frame.collect()}
+    own = secrets.likeness_of(np.array([[alphabet.index(c) + 1 for c in t] for t in tokens]), len(alphabet))
+    assert np.allclose([found[t] for t in tokens], own, rtol=1e-6)
+
+
 def test_edge_rows(spark, documents, no_documents):
     limits = secrets.thresholds(documents)
     assert secrets.with_secrets(documents.select("doc_id", "text"), limits).count() == documents.count()
