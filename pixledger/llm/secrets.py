@@ -10,11 +10,13 @@ How random ordinary words look depends on their length and on the encoding they
 in, so the null is measured: over all documents the letter pairs of words too short to be
 tested are counted, on top of a fixed list of common words (``COMMON``), so that a null
 stands in the smallest corpus too. ``DRAWS`` strings drawn from these pairs show, for each
-encoding and length, how random running words look there. A mixed token (letters and
-digits) has as its p-value the share of them that look as random; Benjamini-Hochberg's
-rule sets one threshold per group of encoding and length at the rate ``RATE``. Tokens whose
-own tests reject randomness, by the same rule, stay below it in any case; words cannot
-be written in hex, so there the tests alone decide. Only these counts, a fixed number of
+encoding and length, how random running words look there; no tested token is among them.
+Every token, of letters or digits alone too, has as its p-value the share of them that
+look as random; Benjamini-Hochberg's rule sets one threshold per group of encoding and
+length at the rate ``RATE``. Tokens whose own tests reject randomness, by the same rule,
+stay below it in any case; words cannot be written in hex, so there the tests alone
+decide. Letters of one case (a first capital apart) are read in 26 letters, where short
+keys differ least from words and many are missed at this rate. Only these counts, a fixed number of
 bins and pairs, reach the driver; the null is drawn there with a fixed seed.
 
 Null text counts as empty in the scan and stays null in ``redacted``. Equal rows get
@@ -62,8 +64,11 @@ REPLACEMENT = "[SECRET]"
 
 _SPAN = "array<struct<start:int,kind:int,end:int>>"
 _TOKEN_SPAN = "array<struct<start:int,token:string>>"
-#: name, pattern, alphabet
+_LETTERS = "abcdefghijklmnopqrstuvwxyz"
+#: name, pattern, alphabet; the first that fits is inferred. Letters of one case are read in lower case.
 ENCODINGS = [
+    ("letters", "^([A-Za-z][a-z]*|[A-Z]+)$", _LETTERS),
+    ("base52", "^[A-Za-z]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"),
     ("hex", "^[0-9a-f]+$", "0123456789abcdef"),
     ("HEX", "^[0-9A-F]+$", "0123456789ABCDEF"),
     ("base32", "^[A-Z2-7]+=*$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
@@ -72,7 +77,6 @@ ENCODINGS = [
     ("base62", "^[A-Za-z0-9]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"),
     ("base64", ".", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_="),
 ]
-_LETTERS = "abcdefghijklmnopqrstuvwxyz"
 #: One group per encoding and length.
 GROUPS = len(ENCODINGS) * LENGTHS
 
@@ -125,11 +129,10 @@ def _two_sided(z: Column) -> Column:
 
 def likeness(token: Column) -> Column:
     """How well a token passes for random text of its encoding: the combined p-value, 0 to 1."""
-    letters = token.rlike("^[A-Za-z]+$")
+    letters = token.rlike(ENCODINGS[0][1])
     alphabet = F.lit(ENCODINGS[-1][2])
     for _, pattern, symbols in reversed(ENCODINGS[:-1]):
         alphabet = F.when(token.rlike(pattern), F.lit(symbols)).otherwise(alphabet)
-    alphabet = F.when(letters, F.lit(_LETTERS)).otherwise(alphabet)
     read = F.struct(F.when(letters, F.lower(token)).otherwise(token).alias("body"), alphabet.alias("alphabet"))
 
     def coded(r: Column) -> Column:
@@ -179,10 +182,6 @@ def _group(token: Column) -> Column:
     return (encoding * LENGTHS + F.least(F.floor((F.length(token) - LEAST) / GROUP_WIDTH), F.lit(LENGTHS - 1))).cast("int")
 
 
-def _is_mixed(token: Column) -> Column:
-    return token.rlike("[A-Za-z]") & token.rlike("[0-9]")
-
-
 def letter_pairs(docs: DataFrame) -> np.ndarray:
     """Counts of letters by the letter before in words too short to be tested; the last place stands for a word's ends."""
     text = F.lower(F.when(F.col("text").rlike(TOKEN), F.regexp_replace("text", TOKEN, " ")).otherwise(F.col("text")))
@@ -272,7 +271,6 @@ def thresholds(docs: DataFrame, rate: float = RATE) -> list[float]:
     """The least likeness of a token taken for a secret, for each group; above 1 where none is."""
     text = F.col("text")
     tokens = docs.where(text.rlike(TOKEN)).select(F.explode(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))).alias("token"))
-    tokens = tokens.where(_is_mixed(F.col("token")))
     binned = tokens.groupBy(_group(F.col("token")).alias("g"), _bin(likeness(F.col("token"))).alias("bin")).agg(F.count("*").alias("n"))
     tested = {}
     for row in binned.collect():  # GROUPS * (BINS + HALVES) rows at most
@@ -285,10 +283,7 @@ def thresholds(docs: DataFrame, rate: float = RATE) -> list[float]:
 
 def random_spans(text: Column, limits: list[float], base: Column) -> Column:
     """Spans of tokens that pass for random and touch no base span."""
-    tokens = _walk(
-        text, TOKEN, 0, _TOKEN_SPAN,
-        lambda start, match, value: F.when(_is_mixed(match), F.array(F.struct(start.alias("start"), match.alias("token")))).otherwise(_none(_TOKEN_SPAN)),
-    )
+    tokens = _walk(text, TOKEN, 0, _TOKEN_SPAN, lambda start, match, value: F.array(F.struct(start.alias("start"), match.alias("token"))))
     limited = F.array(*[F.lit(float(x)) for x in limits])
     kept = F.filter(
         tokens,
@@ -296,7 +291,7 @@ def random_spans(text: Column, limits: list[float], base: Column) -> Column:
         & ~F.exists(base, lambda b: (b["start"] < t["start"] + F.length(t["token"])) & (b["end"] > t["start"])),
     )
     spans = F.transform(kept, lambda t: F.struct(t["start"].alias("start"), F.lit(len(BASE)).alias("kind"), (t["start"] + F.length(t["token"])).alias("end")))
-    return F.when(text.rlike(TOKEN) & text.rlike("[0-9]"), spans.cast(_SPAN)).otherwise(_none(_SPAN))
+    return F.when(text.rlike(TOKEN), spans.cast(_SPAN)).otherwise(_none(_SPAN))
 
 
 def with_secrets(docs: DataFrame, limits: list[float]) -> DataFrame:

@@ -68,6 +68,12 @@ def test_a_key_is_found_at_every_size_of_corpus(spark):
     assert len(planted(spark, many) & set(many)) >= 16
 
 
+def test_keys_of_letters_alone_are_found(spark):
+    lower, both, long_ = keys("abcdefghijklmnopqrstuvwxyz", 80, 20), keys(BASE62[:52], 32, 20), ["incomprehensibilities", "Wirtschaftswissenschaften"]
+    found = planted(spark, lower + both + long_)
+    assert len(found & set(lower)) >= 12 and len(found & set(both)) >= 18 and not found & set(long_)
+
+
 def test_the_null_is_scored_as_tokens_are(spark):
     import numpy as np
 
