@@ -1,8 +1,8 @@
 """Main text of web pages by a linear-chain conditional random field over leaf blocks.
 
 A page is read once into leaf blocks: stretches of text between block-level tags
-and line breaks, each with its open ancestors. Scripts, styles, comments and the
-head never become blocks. Features of a block are its ancestors' tags and the words
+and line breaks, each with its open ancestors. Scripts, styles, comments, drawings and
+the head never become blocks; the text of formulas does. The head's end tag may be absent. Features of a block are its ancestors' tags and the words
 of their classes and ids, and its text's form: length, links, sentence ends, place.
 
 Labelled pages are those that mark their article themselves (``article`` or ``main``):
@@ -38,7 +38,10 @@ WIDTH = 2048
 #: Elements without content, elements whose content is not markup, elements that begin a new block.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style title textarea xmp noframes".split())
-HIDDEN = frozenset("script style title xmp noframes head noscript template svg math iframe object canvas".split())
+HIDDEN = frozenset("script style title xmp noframes head noscript template svg annotation annotation-xml iframe object canvas".split())
+#: What may stand in a head, whose end any other start tag or text implies; roots of markup in which a closing slash counts.
+HEAD = frozenset("html head base basefont bgsound link meta title noscript noframes script style template".split())
+FOREIGN = frozenset("svg math".split())
 BLOCK = frozenset(
     "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head"
     " header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul".split()
@@ -52,6 +55,8 @@ ASIDE_WORDS = frozenset(
 
 _TAG = re.compile(r"""<(/?)([A-Za-z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>""")
 _NAMES = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+#: A slash that ends an attribute's bare value closes nothing.
+_BARE = re.compile(r"""=\s*[^\s"'>]*/$""")
 _WORD = re.compile(r"[A-Za-z]+")
 _SENTENCE = re.compile(r"[.!?…]\s|[.!?…]$")
 
@@ -113,6 +118,8 @@ def leaf_blocks(page: str) -> list[Block]:
         tag = page.find("<", at)
         if tag < 0:
             tag = size
+        if tag > at and stack[-1].tag == "head" and not page[at:tag].isspace():
+            close("head")
         if tag > at and not hidden:
             parts.append(page[at:tag])
             linked += (tag - at) * (in_link > 0)
@@ -143,8 +150,12 @@ def leaf_blocks(page: str) -> list[Block]:
         if found[1]:
             close(name)
             continue
+        if counts["head"] and name not in HEAD and not counts["template"] and (name == "body" or not counts["noscript"]):
+            close("head")
         if name in VOID:
             continue
+        if found[3].endswith("/") and (name in FOREIGN or any(counts[x] for x in FOREIGN)) and not _BARE.search(found[3]):
+            continue
         if name in BLOCK:
             if any(x.tag == "p" for x in stack[-4:]):
                 close("p")

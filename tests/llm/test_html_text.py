@@ -20,6 +20,25 @@ def test_blocks_and_labels():
     assert h.marked_labels(blocks) == [0, 0, 1, 1, 1, 1, 0, 0, 0, 0]
 
 
+def texts(page):
+    return [b.text for b in h.leaf_blocks(page)]
+
+
+def test_heads_without_an_end_tag():
+    for start in ("<body>", "", "<body><div>", "<p>", "<br>"):
+        assert texts(f"<html><head><title>t</title><meta charset='x'>{start}<article>Whole</article>") == ["Whole"], start
+    assert texts("<head><title>t</title> Bare text") == ["Bare text"]
+    assert texts("<head><noscript><img src=x>no</noscript><title>t</title><template><p>no</p></template></head><body>Yes") == ["Yes"]
+    assert texts("<head><noscript><p>no<body><article>Yes</article>") == ["Yes"]
+
+
+def test_drawings_and_formulas():
+    assert texts("<div><svg width='1' />Seen <svg/>too <svg><g/><text>no</text></svg>here</div>") == ["Seen too here"]
+    assert texts("<div><svg><title/><path/></svg>Seen</div>") == ["Seen"]
+    assert texts("<article><p>Let <math><mi>x</mi><mo>=</mo><mspace/><mn>2</mn><annotation>x=2</annotation></math> hold.</p></article>") == ["Let x=2 hold."]
+    assert texts("<div><svg width=1/><text>no</text></svg>Seen</div>") == ["Seen"]
+
+
 def test_viterbi_is_the_best_path():
     rng = np.random.default_rng(3)
     model = {"node": rng.normal(size=(h.WIDTH, 2)), "chain": rng.normal(size=(2, 2))}
