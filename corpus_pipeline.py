@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pixledger.llm.common import stored, table
 from pixledger.llm.decontaminate import decontaminated
-from pixledger.llm.jaccard_join import one_per_group
+from pixledger.llm.jaccard_join import one_row_per_group
 from pixledger.llm.packing import packed
 from pixledger.llm.quality import good_documents
 from pixledger.llm.secrets import redacted
@@ -19,7 +19,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
-    return one_per_group(docs)
+    return one_row_per_group(docs)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixledger.llm.common import ascii_words, chunks, components, mixed, starts_of, stored, table, texts_of, word_hashes
+from pixledger.llm.common import ascii_words, chunks, components, mixed, set_apart, starts_of, stored, table, texts_of, word_hashes
 
 SHINGLE = 5
 #: The similarity as a fraction, so that tests on counts are exact.
@@ -246,5 +246,31 @@ def one_per_group(docs: DataFrame) -> DataFrame:
     return docs.join(keep, docs["doc_id"].eqNullSafe(keep["doc_id"]), "left_semi")
 
 
+def _noded(batches):
+    for batch in chunks(batches, "text"):
+        sets = shingle_sets(texts_of(batch))
+        nodes = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(nodes, pa.binary())], ["doc_id", "key", "node"])
+
+
+def one_row_per_group(docs: DataFrame) -> DataFrame:
+    """One row of each component: that of the smallest id (nulls last), among rows of that id the one whose text's digest is smallest.
+
+    Texts without words link with nothing; of their rows, one of each id and text stays.
+    """
+    apart = set_apart(docs, "doc_id", "text").withColumn("row_key", F.sha2(F.col("text").cast("binary"), 256))
+    _, edges = links(docs)
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    read = apart.select("doc_id", "text", F.col("row_key").alias("key"))
+    rows = read.mapInArrow(_noded, f"doc_id {id_type}, key string, node binary").distinct()
+    rooted = rows.join(components(edges), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    alone = F.when(F.col("root").isNull(), F.struct("doc_id", "key"))
+    least = rooted.groupBy("root", alone.alias("alone")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("c"))
+    keep = stored(least.select(F.col("c.doc_id").alias("keep_id"), F.col("c.key").alias("keep_key")), "kept")
+    once = apart.dropDuplicates(["doc_id", "row_key"])  # copies are dropped before the shuffle, in each task
+    match = once["doc_id"].eqNullSafe(keep["keep_id"]) & once["row_key"].eqNullSafe(keep["keep_key"])
+    return once.join(keep, match, "left_semi").drop("row_key").toDF(*docs.columns)
+
+
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
