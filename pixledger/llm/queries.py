@@ -9,8 +9,10 @@ from pixledger.llm.jaccard_join import op1_jaccard_join
 from pixledger.llm.language import op10_language
 from pixledger.llm.oracles import ORACLES
 from pixledger.llm.packing import op6_packing
+from pixledger.llm.periodic_runs import op11_periodic_runs
 from pixledger.llm.personal_data import op7_personal_data
 from pixledger.llm.quality import op2_quality
+from pixledger.llm.repeats import op13_substring_dedup
 from pixledger.llm.secrets import op4_secrets
 from pixledger.llm.url_filter import op5_url_filter
 
@@ -25,6 +27,8 @@ QUERIES = {
     "op8_html_text": op8_html_text,
     "op9_decontaminate": op9_decontaminate,
     "op10_language": op10_language,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op13_substring_dedup": op13_substring_dedup,
 }
 
 __all__ = ["ORACLES", "QUERIES"]
