@@ -7,6 +7,7 @@ from pixledger.llm.fingerprints import op3_fingerprints
 from pixledger.llm.html_text import op8_html_text
 from pixledger.llm.jaccard_join import op1_jaccard_join
 from pixledger.llm.language import op10_language
+from pixledger.llm.manifest import op12_manifest
 from pixledger.llm.oracles import ORACLES
 from pixledger.llm.packing import op6_packing
 from pixledger.llm.periodic_runs import op11_periodic_runs
@@ -28,6 +29,7 @@ QUERIES = {
     "op9_decontaminate": op9_decontaminate,
     "op10_language": op10_language,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_manifest": op12_manifest,
     "op13_substring_dedup": op13_substring_dedup,
 }
 
