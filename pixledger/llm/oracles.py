@@ -49,13 +49,13 @@ _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 PERIODIC_RUNS = rf"""
 WITH marked AS (SELECT doc_id, w, len(w) AS n, h, h // 10 AS g FROM (SELECT doc_id, {_WORDS} AS w, {_CRC} AS h FROM documents)),
 shifted AS (SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN g % n ELSE n END AS a FROM marked),
-texts AS (SELECT doc_id, n, list_transform(range(n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) AS w
+texts AS (SELECT doc_id, n, list_transform(range(n), lambda i: w[CAST(1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END AS BIGINT)]) AS w
     FROM (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM shifted)),
 words AS (SELECT doc_id, n, unnest(range(n)) AS i, unnest(w) AS word FROM texts),
 -- A run holds four words q apart, at multiples of q: they name the lags worth a full comparison.
-combs AS (SELECT doc_id, q, w[i * q + 1] AS word, i, lead(w[i * q + 1], 1) OVER r AS w1, lead(w[i * q + 1], 2) OVER r AS w2, lead(w[i * q + 1], 3) OVER r AS w3
-    FROM (SELECT doc_id, w, q, unnest(range((n - 1) // q + 1)) AS i FROM (SELECT doc_id, w, n, unnest(range(1, n // 4 + 1)) AS q FROM texts))
-    WINDOW r AS (PARTITION BY doc_id, q ORDER BY i)),
+lattice AS (SELECT doc_id, q, unnest(range((n - 1) // q + 1)) * q AS i FROM (SELECT doc_id, n, unnest(range(1, n // 4 + 1)) AS q FROM texts)),
+combs AS (SELECT doc_id, q, word, lead(word, 1) OVER r AS w1, lead(word, 2) OVER r AS w2, lead(word, 3) OVER r AS w3
+    FROM lattice JOIN words USING (doc_id, i) WINDOW r AS (PARTITION BY doc_id, q ORDER BY i)),
 lags AS (SELECT DISTINCT doc_id, q FROM combs WHERE word = w1 AND word = w2 AND word = w3),
 same AS (SELECT doc_id, q, x.i, row_number() OVER (PARTITION BY doc_id, q ORDER BY x.i) AS k
     FROM lags JOIN words x USING (doc_id) JOIN words y USING (doc_id) WHERE y.i = x.i + q AND x.word = y.word),
