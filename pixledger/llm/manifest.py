@@ -54,9 +54,9 @@ class BlockSweep:
     ``first`` is the place of the block's first node, ``n`` the number of nodes of its level in the whole tree.
     """
 
-    def __init__(self, digests: list[str], first: int, n: int):
+    def __init__(self, digests: list[str], first: int, n: int, bits: int = BITS):
         self.first, self.counts = first, [n]
-        while self.counts[-1] > 1 and len(self.counts) <= BITS:
+        while self.counts[-1] > 1 and len(self.counts) <= bits:
             self.counts.append(-(-self.counts[-1] // 2))
         self.nodes: dict[tuple[int, int], str] = {}
         queue = [(0, first + i, d) for i, d in enumerate(digests)]  # sorted, so a heap
@@ -117,33 +117,36 @@ def _numbered(leaves: DataFrame, *order: str) -> DataFrame:
     return placed.join(trees, "tree").withColumn("place", F.col("place") - F.col("first")).drop("first")
 
 
-def _blocked(nodes: DataFrame) -> DataFrame:
-    return nodes.withColumn("block", F.shiftright("place", BITS))
+def _blocked(nodes: DataFrame, bits: int) -> DataFrame:
+    return nodes.withColumn("block", F.shiftright("place", bits))
 
 
-def _sweep(rows: pa.Table) -> tuple[pa.Table, BlockSweep]:
+def _sweep(rows: pa.Table, bits: int) -> tuple[pa.Table, BlockSweep]:
     rows = rows.sort_by("place")
-    return rows, BlockSweep(rows.column("digest").to_pylist(), rows.column("place")[0].as_py(), rows.column("n")[0].as_py())
+    return rows, BlockSweep(rows.column("digest").to_pylist(), rows.column("place")[0].as_py(), rows.column("n")[0].as_py(), bits)
 
 
-def _tops(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-    _, sweep = _sweep(rows)
-    level, place = sweep.top
-    return pa.table({"tree": pa.array([key[0].as_py()], pa.string()), "place": pa.array([place], pa.int64()), "n": pa.array([sweep.counts[level]], pa.int64()), "digest": [sweep.digest]})
+def _tops(bits: int):
+    def top(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        _, sweep = _sweep(rows, bits)
+        level, place = sweep.top
+        return pa.table({"tree": pa.array([key[0].as_py()], pa.string()), "place": pa.array([place], pa.int64()), "n": pa.array([sweep.counts[level]], pa.int64()), "digest": [sweep.digest]})
 
+    return top
 
-def _risen(nodes: DataFrame) -> list[DataFrame]:
+
+def _risen(nodes: DataFrame, bits: int) -> list[DataFrame]:
     """The nodes of each pass, from the given ones to one node a tree."""
     passes = [nodes]
     while (passes[-1].agg(F.max("n")).first()[0] or 0) > 1:
-        tops = _blocked(passes[-1]).select("tree", "block", "place", "n", "digest").groupBy("tree", "block")
-        passes.append(stored(tops.applyInArrow(_tops, "tree string, place bigint, n bigint, digest string"), "nodes"))
+        tops = _blocked(passes[-1], bits).select("tree", "block", "place", "n", "digest").groupBy("tree", "block")
+        passes.append(stored(tops.applyInArrow(_tops(bits), "tree string, place bigint, n bigint, digest string"), "nodes"))
     return passes
 
 
-def _delivered(names: list[str]):
+def _delivered(names: list[str], bits: int):
     def proofs(rows: pa.Table, messages: pa.Table) -> pa.Table:
-        rows, sweep = _sweep(rows)
+        rows, sweep = _sweep(rows, bits)
         message = messages.slice(0, 1).to_pylist()[0]
         columns = {c: rows.column(c) for c in names}
         columns["proof"] = pa.array(sweep.proofs(message["proof"]), _PROOF)
@@ -154,28 +157,28 @@ def _delivered(names: list[str]):
     return proofs
 
 
-def _fallen(passes: list[DataFrame], above: DataFrame) -> DataFrame:
+def _fallen(passes: list[DataFrame], above: DataFrame, bits: int) -> DataFrame:
     """The nodes of the first pass with proof, subroot and root, from those of each tree's top in ``above``."""
     for nodes in reversed(passes[:-1]):
         fields = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in nodes.schema.fields), f"proof array<{_STEP}>, subroot string, root string"])
         messages = above.select("tree", F.col("place").alias("block"), "proof", "subroot", "root").groupBy("tree", "block")
-        above = _blocked(nodes).groupBy("tree", "block").cogroup(messages).applyInArrow(_delivered(nodes.columns), fields)
+        above = _blocked(nodes, bits).groupBy("tree", "block").cogroup(messages).applyInArrow(_delivered(nodes.columns, bits), fields)
     return above
 
 
-def with_proofs(leaves: DataFrame, *order: str) -> DataFrame:
+def with_proofs(leaves: DataFrame, *order: str, bits: int = BITS) -> DataFrame:
     """``leaves`` (tree, digest and columns of their own) with their proof, their tree's subroot and the root.
 
     ``order`` names the columns that order the leaves of a tree before their digests; trees go by name. A
     proof lists a step a level: the digest beside the path, null where there is none, and whether it is on the left.
     """
-    passes = _risen(stored(_numbered(leaves, *order, "digest"), "leaves"))
+    passes = _risen(stored(_numbered(leaves, *order, "digest"), "leaves"), bits)
     subroots = passes[-1].select(F.lit("").alias("tree"), F.col("tree").alias("name"), "digest")
-    forest = _risen(stored(_numbered(subroots, "name"), "subroots"))
+    forest = _risen(stored(_numbered(subroots, "name"), "subroots"), bits)
     top = forest[-1].withColumns({"proof": F.array().cast(f"array<{_STEP}>"), "subroot": F.lit(""), "root": F.col("digest")})
-    tops = _fallen(forest, top).select(F.col("name").alias("tree"), F.col("digest").alias("subroot"), "proof", "root")
+    tops = _fallen(forest, top, bits).select(F.col("name").alias("tree"), F.col("digest").alias("subroot"), "proof", "root")
     joined = passes[-1].join(tops, "tree")
-    return _fallen(passes, joined).drop("n", "place", "block")
+    return _fallen(passes, joined, bits).drop("n", "place", "block")
 
 
 def folded(leaf: Column, proof: Column) -> Column:
@@ -184,10 +187,10 @@ def folded(leaf: Column, proof: Column) -> Column:
     return F.aggregate(proof, leaf, step)
 
 
-def dataset_manifest(docs: DataFrame) -> DataFrame:
+def dataset_manifest(docs: DataFrame, bits: int = BITS) -> DataFrame:
     """doc_id, digest (of the leaf), proof, subroot and root of every document."""
     tree = F.coalesce(F.concat(F.lit("+"), F.col("lang")), F.lit(""))
-    return with_proofs(docs.select(tree.alias("tree"), "doc_id", leaf_digest().alias("digest")), "doc_id").drop("tree")
+    return with_proofs(docs.select(tree.alias("tree"), "doc_id", leaf_digest().alias("digest")), "doc_id", bits=bits).drop("tree")
 
 
 def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -174,9 +174,9 @@ def _with_repeats(docs: DataFrame, size: int) -> DataFrame:
     """All columns of ``docs`` (id and text as named, none clashing), n_words, spans and kept."""
     read = docs.select("doc_id", "text", F.xxhash64("text").alias("mark")).where("doc_id IS NOT NULL AND text IS NOT NULL")
     fields = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, mark bigint"
-    posts = read.mapInArrow(_anchored(size), f"anchor bigint, {fields}")
+    posts = stored(read.mapInArrow(_anchored(size), f"anchor bigint, {fields}"), "anchor-posts")
     suspects = stored(_met(posts, "anchor", F.lit(True)), "anchors")
-    posts = read.join(suspects, ["doc_id", "mark"]).mapInArrow(_windowed(size), f"window bigint, {fields}")
+    posts = stored(read.join(suspects, ["doc_id", "mark"]).mapInArrow(_windowed(size), f"window bigint, {fields}"), "window-posts")
     hits = stored(_met(posts, "window", F.col("doc_id") > F.col("least")), "windows")
     joined = docs.withColumn("mark", F.xxhash64("text")).join(hits, ["doc_id", "mark"], "left")
     names = docs.columns
