@@ -100,7 +100,7 @@ def collated_desc(spark, sf):
 
 def sort_folders(spark, sf):
     """Folders in natural order among their siblings."""
-    placed = browse.ranked_folders(folders.folder_table(fx.inventory(spark, sf)))
+    placed = browse.ranked_folders(folders.folder_table(fx.inventory(spark, sf), "/"))
     return placed.select("path", "position", "total")
 
 

@@ -31,7 +31,7 @@ def covers(spark, sf):
 
 
 def folder_table(spark, sf):
-    return folders.folder_table(fx.inventory(spark, sf)).select(
+    return folders.folder_table(fx.inventory(spark, sf), "/").select(
         "path", "name", "parent", "has_children", joined("cover_images").alias("covers"), "mtime", "image_count"
     )
 
@@ -46,22 +46,22 @@ def folder_table_with_directories(spark, sf):
             F.expr("TIMESTAMP_NTZ'2025-02-02 00:00:00'").alias("mtime"),
         )
     )
-    table = folders.folder_table(files, directories)
+    table = folders.folder_table(files, "/", directories)
     return table.where(F.col("path").contains("/user")).select("path", "has_children", "mtime", "image_count")
 
 
 def scan_summary(spark, sf):
-    table = folders.folder_table(fx.inventory(spark, sf))
+    table = folders.folder_table(fx.inventory(spark, sf), "/")
     loaded = table.select("path", F.lit(7).cast("bigint").alias("loaded_count")).where("path LIKE '%/click%'")
     return folders.scan_summary(table, loaded)
 
 
 def child_folders(spark, sf):
-    return folders.child_folders(folders.folder_table(fx.inventory(spark, sf)))
+    return folders.child_folders(folders.folder_table(fx.inventory(spark, sf), "/"))
 
 
 def subtree_counts(spark, sf):
-    return folders.subtree_counts(fx.inventory(spark, sf))
+    return folders.subtree_counts(fx.inventory(spark, sf), "/")
 
 
 def _in_store(inventory):
@@ -70,13 +70,13 @@ def _in_store(inventory):
 
 
 def folder_table_urls(spark, sf):
-    return folders.folder_table(_in_store(fx.inventory(spark, sf))).select(
+    return folders.folder_table(_in_store(fx.inventory(spark, sf)), "/").select(
         "path", "name", "parent", "has_children", joined("cover_images").alias("covers"), "mtime", "image_count"
     )
 
 
 def subtree_counts_urls(spark, sf):
-    return folders.subtree_counts(_in_store(fx.inventory(spark, sf)))
+    return folders.subtree_counts(_in_store(fx.inventory(spark, sf)), "/")
 
 
 IN_STORE = """stored AS (SELECT * REPLACE (CASE WHEN file_id % 50 = 0 THEN '' ELSE folder END AS folder) FROM inventory),

@@ -27,7 +27,7 @@ def joined_sorted(values):
 
 
 def overview(spark, sf):
-    table = folder_overview(fx.inventory(spark, sf), metadata(spark, sf))
+    table = folder_overview(fx.inventory(spark, sf), metadata(spark, sf), "/")
     return table.select(
         "path", "has_children", joined("cover_images").alias("covers"), "image_count", "parsed_files", "main_tool"
     )

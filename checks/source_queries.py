@@ -53,7 +53,7 @@ def listing(spark, sf):
 
 
 def list_inventory(spark, sf):
-    return files.list_inventory(listing(spark, sf)).select("folder", "name", "mtime", "length")
+    return files.list_inventory(listing(spark, sf), "/").select("folder", "name", "mtime", "length")
 
 
 def sidecars(spark, sf):

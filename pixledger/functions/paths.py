@@ -64,9 +64,9 @@ def is_hidden(name: Column) -> Column:
     return F.startswith(name, F.lit("."))
 
 
-def in_hidden(path: Column, root: str = "") -> Column:
+def in_hidden(path: Column, root: str) -> Column:
     """Whether the path or a folder of it below ``root`` has a name that starts with a dot."""
-    below = F.substr(path, F.lit(len(root.rstrip("/")) + 1)) if root else path
+    below = F.substr(path, F.lit(len(root.rstrip("/")) + 1))
     return F.contains(below, F.lit("/."))
 
 

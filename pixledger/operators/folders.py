@@ -77,14 +77,16 @@ def folder_nodes(inventory: DataFrame, directories: DataFrame | None = None) ->
     )
 
 
-def folder_table(inventory: DataFrame, directories: DataFrame | None = None, root: str = "") -> DataFrame:
+def folder_table(inventory: DataFrame, root: str, directories: DataFrame | None = None, links: DataFrame | None = None) -> DataFrame:
     """The folder listing: name, path, parent, has_children, covers, mtime, count.
 
     Folders are listed up to the file system's or store's root, whose parent is
-    NULL. What lies in a hidden folder below ``root`` is not listed.
+    NULL. What lies in a hidden folder below ``root`` is not listed; ``/`` as the root
+    hides by every folder's name. ``links`` (path, target) adds a row for each link to a listed
+    folder: named as the link, in the link's folder, with the target's path and facts.
     """
     nodes = folder_nodes(inventory.where(~paths.in_hidden(F.col("folder"), root)), directories)
-    return (
+    table = (
         nodes.join(covers(inventory).withColumnRenamed("folder", "path"), "path", "left")
         .select(
             paths.file_name(F.col("path")).alias("name"),
@@ -97,9 +99,16 @@ def folder_table(inventory: DataFrame, directories: DataFrame | None = None, roo
         )
         .where(~paths.in_hidden(F.col("path"), root))
     )
+    return table if links is None else table.unionByName(linked_folders(table, links.where(~paths.in_hidden(F.col("path"), root))))
+
+
+def linked_folders(folders: DataFrame, links: DataFrame) -> DataFrame:
+    """The rows of a folder table that links (path, target) lead to, named and placed as the links."""
+    at = links.select(F.col("path").alias("_link"), F.col("target").alias("path"))
+    return folders.join(at, "path").withColumns({"name": paths.file_name(F.col("_link")), "parent": paths.parent(F.col("_link"))}).select(*folders.columns)
 
 
-def subtree_counts(inventory: DataFrame, root: str = "") -> DataFrame:
+def subtree_counts(inventory: DataFrame, root: str) -> DataFrame:
     """Visible images in and below every folder up to the root; hidden folders below ``root`` are left out."""
     return (
         image_counts(inventory.where(~paths.in_hidden(F.col("folder"), root)))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pixledger.functions import paths, text
 from pixledger.schemas import MAX_FILE_BYTES, MAX_PIXELS
+from pixledger.session import stored
 
 
 def with_path(inventory: DataFrame) -> DataFrame:
@@ -35,11 +36,49 @@ def search(nodes: DataFrame, query: str) -> DataFrame:
     return nodes.where(text.lower_contains(F.col("name"), query))
 
 
-def check_root(entries: DataFrame, root: str, path: str = "path") -> DataFrame:
-    """Mark paths outside ``root`` with the ``permission`` error."""
-    return entries.withColumn(
-        "error_type", F.when(~paths.under_root(F.col(path), root), F.lit("permission"))
-    )
+def check_root(entries: DataFrame, root: str, path: str = "path", links: DataFrame | None = None) -> DataFrame:
+    """Mark paths outside ``root`` with the ``permission`` error.
+
+    With ``links`` (path, target) a path counts as what it resolves to, so one that leaves
+    the root through a link is marked, and one that comes back into it is not. A circle of
+    links is outside of everything.
+    """
+    real = F.col(path)
+    if links is not None:
+        entries = links_followed(entries, links, path)
+        real = F.col("resolved")
+    outside = ~F.coalesce(paths.under_root(real, root), F.lit(False))
+    return entries.withColumn("error_type", F.when(outside, F.lit("permission"))).drop("resolved")
+
+
+#: As many links in one path as operating systems follow.
+MOST_LINKS = 40
+
+
+def links_followed(entries: DataFrame, links: DataFrame, path: str = "path") -> DataFrame:
+    """Add ``resolved``: the path with every link in it replaced by its target; NULL for a circle.
+
+    ``links`` (path, target) holds links to files or folders, with absolute targets that may pass through
+    links themselves. Each round joins the ancestors of the paths still open with the links and replaces
+    the uppermost link; ``..`` is resolved by text after each. Rounds end when no path changes.
+    """
+    apart = "resolved_from"
+    asked = entries.select(F.col(path).alias(apart)).where(F.col(apart).isNotNull()).distinct()
+    state = asked.withColumns({"resolved": paths.normalise(F.col(apart)), "open": F.lit(True)})
+    links = links.select(F.col("path").alias("link"), F.col("target").alias("to")).distinct()
+    for _ in range(MOST_LINKS + 1):
+        above = state.where("open").select(apart, "resolved", F.explode(paths.ancestors(F.col("resolved"))).alias("link"))
+        first = above.join(links, "link").groupBy(apart).agg(F.min_by(F.struct("link", "to"), F.length("link")).alias("hit"))
+        tail = F.substr("resolved", F.length("hit.link") + 1)
+        moved = paths.normalise(F.concat(F.rtrim(F.col("hit.to"), F.lit("/")), tail))
+        met = F.col("hit").isNotNull()
+        state = stored(
+            state.join(first, apart, "left").select(apart, F.when(met, moved).otherwise(F.col("resolved")).alias("resolved"), (met & F.col("open")).alias("open")), "links"
+        )
+        if state.where("open").isEmpty():
+            break
+    done = state.select(apart, F.when(~F.col("open"), F.col("resolved")).alias("resolved"))
+    return entries.join(done, F.col(path) == F.col(apart), "left").drop(apart)
 
 
 def check_limits(files: DataFrame) -> DataFrame:
@@ -53,7 +92,8 @@ def check_limits(files: DataFrame) -> DataFrame:
     kind = F.when(message.isNotNull(), F.lit("invalid_file"))
     if "read_error" in files.columns:
         kind = F.coalesce(kind, F.col("read_error"))
-        message = F.coalesce(message, F.when(F.col("read_error").isNotNull(), F.lit("Not a valid image file")))
+        wrong = F.when(F.col("read_error") == "invalid_file", "Not a valid image file").otherwise("The file could not be read")
+        message = F.coalesce(message, F.when(F.col("read_error").isNotNull(), wrong))
     return files.withColumns(
         {
             "error_type": kind,

@@ -19,17 +19,19 @@ def scan_folder(
     limit: int | None = DEFAULT_PAGE_SIZE,
     cursor: int = 0,
     directories: DataFrame | None = None,
+    links: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(sub-folders, one page of images) of a folder, searched and sorted.
 
     Both filters reach the scan: only rows at or below the path are read. Search
     and sort cover the whole folder, not only the rows loaded so far. Sub-folders
-    come in the same order as images. ``scan_errors`` tells paths that cannot be scanned.
+    come in the same order as images; a link (path, target) here to a folder below the
+    path is one of them. ``scan_errors`` tells paths that cannot be scanned.
     """
     here = F.col("folder") == path
     below = here | F.startswith("folder", F.lit(path.rstrip("/") + "/"))
     listed = folders.folder_table(
-        inventory.where(below), None if directories is None else directories.where(below), path
+        inventory.where(below), path, None if directories is None else directories.where(below), links
     ).where(F.col("parent") == path)
     images = inv.search(inv.visible_images(inventory.where(here)), query)
     page = browse.page_of(images, path, field, order, limit, cursor)
@@ -55,7 +57,7 @@ def scan_errors(requests: DataFrame, inventory: DataFrame, root: str, directorie
     return found.select("path", error.alias("error_type"))
 
 
-def folder_overview(inventory: DataFrame, metadata: DataFrame) -> DataFrame:
+def folder_overview(inventory: DataFrame, metadata: DataFrame, root: str) -> DataFrame:
     """Folder facts with the number of files and the most used tool below them."""
     per_tool = (
         metadata.where(F.col("tool").isNotNull())
@@ -67,4 +69,4 @@ def folder_overview(inventory: DataFrame, metadata: DataFrame) -> DataFrame:
             F.max_by("tool", F.struct("files", "tool")).alias("main_tool"),
         )
     )
-    return folders.folder_table(inventory).join(per_tool, "path", "left")
+    return folders.folder_table(inventory, root).join(per_tool, "path", "left")

@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
@@ -53,3 +53,10 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
         atexit.register(shutil.rmtree, base, ignore_errors=True)
         spark.conf.set(CHECKPOINT_KEY, base)
     return f"{base.rstrip('/')}/pixledger/{purpose}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, purpose: str) -> DataFrame:
+    """Written to a fresh folder below the shared one and read again: cuts the lineage and survives lost executors."""
+    path = shared_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from pixledger.sources.files import open_file
+from pixledger.sources.stores import Stores, error_of, open_file
 
 _NUMBERS = ["width", "height"]
 _TEXTS = ["parameters", "prompt_json", "workflow_json", "user_comment", "read_error", "oversized"]
@@ -34,14 +34,15 @@ _NOT_FRAMES = {0xC4, 0xC8, 0xCC}
 
 
 def extract_tags(
-    files: DataFrame, content: str | None = None, path: str = "path", max_text: int = MAX_TEXT_BYTES
+    files: DataFrame, content: str | None = None, path: str = "path", max_text: int = MAX_TEXT_BYTES, stores: Stores | None = None
 ) -> DataFrame:
     """Add tags, pixel size, read_error and oversized to files.
 
     Files are opened by path or URL and only their headers read; with ``content``
     the bytes of that column are used, and replaced. A text tag of more than
     ``max_text`` bytes is left out and named in ``oversized``; the file keeps its
-    size and other tags. Tags of other keywords are not decoded at all.
+    size and other tags. Tags of other keywords are not decoded at all. A file that cannot
+    be opened has the file system's error as ``read_error``, whatever the store.
     """
     keep = [c for c in files.columns if c != content]
     if not content:
@@ -53,7 +54,7 @@ def extract_tags(
             if content:
                 found = [file_tags(pa.BufferReader(data.as_buffer()), max_text) for data in batch.column(content)]
             else:
-                found = [_tags_of_path(name.as_py(), max_text) for name in batch.column(path)]
+                found = [_tags_of_path(name.as_py(), max_text, stores) for name in batch.column(path)]
             tags = pa.RecordBatch.from_pylist(found, _TAG_SCHEMA)
             columns = [batch.column(c) for c in keep] + tags.columns
             yield pa.RecordBatch.from_arrays(columns, keep + tags.schema.names)
@@ -61,12 +62,12 @@ def extract_tags(
     return files.mapInArrow(read, schema)
 
 
-def _tags_of_path(path: str, max_text: int) -> dict:
+def _tags_of_path(path: str, max_text: int, stores: Stores | None) -> dict:
     try:
-        with open_file(path) as file:
+        with open_file(path, stores) as file:
             return file_tags(file, max_text)
-    except OSError:
-        return {"read_error": "not_found"}
+    except OSError as failure:
+        return {"read_error": error_of(failure)}
 
 
 def file_tags(file, max_text: int = MAX_TEXT_BYTES) -> dict:

@@ -148,7 +148,7 @@ def small_tree(spark):
 
 
 def test_folder_facts(spark):
-    table = {r.path: r for r in folders.folder_table(small_tree(spark)).collect()}
+    table = {r.path: r for r in folders.folder_table(small_tree(spark), "/").collect()}
     assert set(table) == {"/", "/g", "/g/a", "/g/a/deep", "/g/a/deep/er", "/g/only"}
     a = table["/g/a"]
     # Covers include hidden images, ties by path; the count leaves hidden ones out.
@@ -163,7 +163,7 @@ def test_directory_manifest_adds_empty_folders(spark):
     dirs = spark.createDataFrame([("/g/none",), ("/g/a",)], "folder string").select(
         "folder", F.timestamp_seconds(F.lit(100)).cast("timestamp_ntz").alias("mtime")
     )
-    table = {r.path: r for r in folders.folder_table(small_tree(spark), dirs).collect()}
+    table = {r.path: r for r in folders.folder_table(small_tree(spark), "/", dirs).collect()}
     assert table["/g/none"].has_children is False and table["/g/none"].image_count == 0
     assert table["/g/a"].mtime.second == 40 and table["/g/only"].mtime.second == 3
 
@@ -171,7 +171,7 @@ def test_directory_manifest_adds_empty_folders(spark):
 def test_counts_add_up(skewed):
     rows, df = skewed
     per_folder = folders.image_counts(df).agg(F.sum("image_count")).first()[0]
-    subtree = {r.path: r.image_count for r in folders.subtree_counts(df).collect()}
+    subtree = {r.path: r.image_count for r in folders.subtree_counts(df, "/").collect()}
     assert per_folder == subtree["/g"] == len(rows)
 
 
@@ -197,9 +197,9 @@ def test_collated_descending_is_the_ascending_order_turned_round(spark):
 def test_hidden_folders_and_the_root(spark):
     rows = [("/", "1.png"), ("/g/.hid/sub", "2.png"), ("/g/a", "3.png")]
     df = spark.createDataFrame(rows, "folder string, name string").withColumn("mtime", F.expr("TIMESTAMP_NTZ'2024-01-01'"))
-    table = {r.path: r for r in folders.folder_table(df).collect()}
+    table = {r.path: r for r in folders.folder_table(df, "/").collect()}
     assert set(table) == {"/", "/g", "/g/a"} and table["/"].cover_images == ["/1.png"] and table["/"].parent is None
-    assert {r.path: r.image_count for r in folders.subtree_counts(df).collect()} == {"/": 2, "/g": 1, "/g/a": 1}
+    assert {r.path: r.image_count for r in folders.subtree_counts(df, "/").collect()} == {"/": 2, "/g": 1, "/g/a": 1}
 
 
 def test_a_page_reads_its_folder_only(spark, tmp_path):

@@ -5,12 +5,14 @@ import struct
 import zlib
 
 import pytest
+from pyarrow import fs
 from pyspark.sql import functions as F
 
-from pixledger.operators import refresh, resolve
+from pixledger.operators import folders, inventory, refresh, resolve
 from pixledger.operators.inventory import with_path
 from pixledger.plans.metadata import file_metadata, new_metadata, scan_metadata
-from pixledger.sources import files, sinks, tags
+from pixledger.plans.browse import scan_folder
+from pixledger.sources import files, sinks, stores, tags
 from pixledger.streaming.refresh import refresh_stream
 
 A1111 = "a fox\nNegative prompt: hen\nSteps: 9, Seed: 4"
@@ -271,3 +273,102 @@ def test_catalog_round_trip(spark, tmp_path):
     assert sorted(back.select(metadata.columns).collect(), key=key) == sorted(metadata.collect(), key=key)
     json_row = sinks.as_json(metadata.where("file_id = 2").select("file_id", "date", "params")).first().json
     assert json_row == '{"file_id":2,"date":null,"params":{}}'
+
+
+def test_a_catalog_below_a_hidden_folder(spark, tree):
+    inside = tree / ".hidden/album"
+    (inside / "sub").mkdir(parents=True)
+    (inside / "sub/x.png").write_bytes(png())
+    (inside / ".off").mkdir()
+    (inside / ".off/y.png").write_bytes(png())
+    listed = files.list_inventory(files.read_listing(spark, str(inside)), str(inside))
+    assert [r.name for r in listed.collect()] == ["x.png"]
+    table = {r.path[len(str(inside)) :]: r.image_count for r in folders.folder_table(listed, str(inside)).collect() if r.path.startswith(str(inside))}
+    assert table == {"": 0, "/sub": 1}
+    assert {r.path[len(str(inside)) :]: r.image_count for r in folders.subtree_counts(listed, str(inside)).collect()}[""] == 1
+
+
+@pytest.mark.parametrize("root", ["zzz://box/pics", "dbfs:/pics", "viewfs://none/pics"])
+def test_a_store_nothing_opens_is_an_error_row(spark, root):
+    (row,) = files.walk_tree(spark, root).collect()
+    assert (row.path, row.is_dir) == (root, True) and row.error in ("server_error", "not_found")
+    df = spark.createDataFrame([(f"{root}/a.png",)], "path string")
+    assert tags.extract_tags(df).first().read_error == row.error
+    assert files.read_texts(spark.createDataFrame([(f"{root}/a.txt",)], "path string")).collect() == []
+
+
+def test_bucket_urls_reach_arrows_system():
+    asked = []
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(stores, "_arrow_system", lambda store, kind: (asked.append((store, kind)), fs.LocalFileSystem())[1])
+        assert stores.opened("s3a://box/a/b.png")[1] == "box/a/b.png"
+        assert stores.opened("gs://box")[1] == "box/"
+        assert stores.opened("abfss://part@account.dfs.core.windows.net/a")[1] == "part/a"
+    assert asked == [("s3a://box", "s3a"), ("gs://box", "gs"), ("abfss://part@account.dfs.core.windows.net/", "abfss")]
+    assert [stores.scheme(p) for p in ("/a://b", "a/b", "S3A://b", "dbfs:/x", "file:/x", "C:\\x")] == [None, None, "s3a", "dbfs", "file", None]
+    assert not stores.tasks_can_open("zzz://box") and not stores.tasks_can_open("dbfs:/x") and stores.tasks_can_open("/x")
+
+
+def boxed(tree):
+    """A store of the caller's own: ``box://pics/...`` is a folder of this machine."""
+    return {"box": lambda url: (fs.SubTreeFileSystem(tree, fs.LocalFileSystem()), url.removeprefix("box://pics").strip("/"))}
+
+
+def test_a_store_of_the_callers_own(spark, tree):
+    mine = {r.path.removeprefix("box://pics"): (r.is_dir, r.length) for r in files.walk_tree(spark, "box://pics", boxed(str(tree))).where("NOT is_dir").collect()}
+    assert mine == {r.path.removeprefix(str(tree)): (r.is_dir, r.length) for r in files.walk_tree(spark, str(tree)).where("NOT is_dir").collect()}
+    rows = {r.name: r for r in scan_metadata(spark, "box://pics", boxed(str(tree))).collect()}
+    assert set(rows) == {"one.png", "two.PNG", "bad.png", "_under.png", "c.png"}
+    assert rows["one.png"].tool == "A1111" and rows["two.PNG"].negative_prompt == "hen"
+
+
+def test_a_store_that_only_spark_opens(spark, tree):
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.album.link./in", f"file://{tree}")
+    rows = {r.name: r for r in scan_metadata(spark, "viewfs://album/in").collect()}
+    assert set(rows) == {"one.png", "two.PNG", "bad.png"}  # Spark leaves out names with an underscore
+    assert rows["one.png"].tool == "A1111" and rows["one.png"].folder == "viewfs://album/in/a"
+    assert rows["two.PNG"].negative_prompt == "hen" and rows["bad.png"].error_type == "invalid_file"
+
+
+def test_links_are_resolved_and_kept_inside(spark, tree, tmp_path):
+    (tmp_path / "outside").mkdir()
+    (tmp_path / "outside/o.png").write_bytes(png())
+    os.symlink(tree / "a", tree / "again")
+    os.symlink(tree / "a/one.png", tree / "empty/copy.png")
+    os.symlink(tmp_path / "outside", tree / "away")
+    os.symlink(tree / "gone", tree / "lost")
+    os.symlink(tree / "round", tree / "round")
+    os.symlink("../_sub", tree / "a/side")
+    cut = len(str(tree)) + 1
+    entries = {r.path[cut:]: r for r in files.walk_tree(spark, str(tree)).collect()}
+    assert {p: (r.error, r.is_dir, r.target and r.target[cut:]) for p, r in entries.items() if r.target or r.error} == {
+        "again": (None, True, "a"), "empty/copy.png": (None, False, "a/one.png"), "a/side": (None, True, "_sub"),
+        "away": ("permission", False, str(tmp_path / "outside")[cut:]), "lost": ("not_found", False, None), "round": ("not_found", False, None),
+    }
+    assert not any("o.png" in p or p.startswith(("again/", "a/side/")) for p in entries)
+    names = [r.name for r in scan_metadata(spark, str(tree)).where("error_type IS NULL OR error_type <> 'permission'").collect()]
+    assert names.count("one.png") == 1 and names.count("copy.png") == 1 and names.count("c.png") == 1
+    errors = {r.name: r.error_type for r in scan_metadata(spark, str(tree)).collect()}
+    assert errors["away"] == "permission"
+
+    walked = files.walk_tree(spark, str(tree))
+    listed = files.list_inventory(files.files_of(walked), str(tree))
+    shown, _ = scan_folder(listed, str(tree), links=files.links_of(walked))
+    found = {r.name: (r.path[cut:], r.image_count) for r in shown.collect()}
+    assert found["again"] == ("a", 2) and found["a"] == ("a", 2) and "away" not in found
+
+
+def test_paths_resolve_through_links(spark):
+    links = spark.createDataFrame(
+        [("/r/in", "/r/deep/x"), ("/r/deep/x/out", "/else"), ("/else/back", "/r/home"), ("/r/loop", "/r/loop/more"), ("/r/one", "/r/two"), ("/r/two", "/r/one"), ("/r/up", "/r/a/../b")],
+        "path string, target string",
+    )
+    asked = ["/r/in/p.png", "/r/in/out/q.png", "/r/in/out/back/z", "/r/plain", "/r", "/r/loop/x", "/r/one/x", "/r/up/c", "/r/../etc", "/elsewhere", None]
+    df = spark.createDataFrame([(p,) for p in asked], "path string")
+    found = {r.path: r.resolved for r in inventory.links_followed(df, links).collect()}
+    assert found == {
+        "/r/in/p.png": "/r/deep/x/p.png", "/r/in/out/q.png": "/else/q.png", "/r/in/out/back/z": "/r/home/z", "/r/plain": "/r/plain", "/r": "/r",
+        "/r/loop/x": None, "/r/one/x": None, "/r/up/c": "/r/b/c", "/r/../etc": "/etc", "/elsewhere": "/elsewhere", None: None,
+    }
+    marked = {r.path for r in inventory.check_root(df, "/r", links=links).collect() if r.error_type == "permission"}
+    assert marked == {"/r/in/out/q.png", "/r/loop/x", "/r/one/x", "/r/../etc", "/elsewhere", None}
