@@ -113,7 +113,8 @@ def _chosen_texts(read: DataFrame, ids: DataFrame) -> DataFrame:
     """Texts of the documents with these ids; few others may be among them, which does no harm."""
     marks = _marks(ids)
     if marks is None:
-        return read.join(ids.hint("shuffle_hash"), "doc_id", "left_semi").select("text")
+        ids = ids.withColumnRenamed("doc_id", "chosen_id")  # null is an id like others here
+        return read.join(ids.hint("shuffle_hash"), read["doc_id"].eqNullSafe(ids["chosen_id"]), "left_semi").select("text")
 
     def marked(batches):
         for batch in batches:

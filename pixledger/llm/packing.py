@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixledger.llm.common import chunks, mixed, starts_of, stored, table, texts_of
-from pixledger.llm.tokens import encoder
+from pixledger.llm.tokens import encoder, id_type
 
 SEQUENCE = 2048
 END = 1
@@ -144,7 +144,7 @@ def _pieces(begins: dict[int, int], width: int, with_ids: bool):
 def packed(docs: DataFrame, tokenizer: str | None = None, with_ids: bool = True) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and ids (little-endian unsigned 32-bit)."""
     path = tokenizer or public_tokenizers.path("byte_bpe_50k.json")
-    width = encoder(path).kind(0).itemsize
+    width = id_type(path).itemsize
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n long, at array<double>, spread long, ids binary"
     tokens = stored(docs.select("doc_id", "text").mapInArrow(_tokenised(path), schema), "tokens")

@@ -11,9 +11,10 @@ where the bracket is negative, its gradient is turned round.
 
 Features describe form, not topic or language: frequencies of pairs of
 character classes, and ratios of words, lines and lengths. They are computed in
-bounded Arrow chunks of whole texts. At most about ``SAMPLE`` positives and as
-many unlabelled rows, drawn by a hash of the id, reach the driver for the fit;
-every document is scored.
+bounded Arrow chunks of whole texts. The prior is a statistic of the corpus: its scores
+come from all unlabelled documents outside the held-out fold that the first fit did not see, as one
+histogram of ``BINS`` bins. At most about ``SAMPLE`` positives and as many unlabelled rows, drawn by a
+hash of the id, reach the driver for the two fits; every document is scored.
 
 A null text counts as empty; empty texts get a score as well. Repeated rows
 get equal scores. An id is a positive if any of its label rows says 1. Without
@@ -32,6 +33,8 @@ from pixledger.llm.common import ascii_words, chunks, raw, table, texts_of
 SAMPLE = 10_000
 THRESHOLD = 0.3
 FOLDS, HELD_OUT = 5, 0
+#: Bins of the first model's scores from which the class prior is taken.
+BINS = 4096
 
 #: Character classes of bytes; bytes of 128 and more belong to letters.
 _CLASSES = ["\n", " \t\r\x0b\x0c", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", ".", ",;:", "!?", "#$%&*", "|", "\"'`", "()[]{}<>", "-_~=+", "@/\\^"]
@@ -74,8 +77,15 @@ def features(texts: pa.Array) -> np.ndarray:
 def _described(batches):
     for batch in chunks(batches, "text"):
         rows = features(texts_of(batch))
-        values = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * N_FEATURES, pa.int32()), pa.array(rows.ravel()))
-        yield pa.RecordBatch.from_arrays([values], ["features"])
+        values = pa.FixedSizeListArray.from_arrays(pa.array(rows.ravel()), N_FEATURES).cast(pa.list_(pa.float32()))
+        yield pa.RecordBatch.from_arrays([batch.column("apart"), values], ["apart", "features"])
+
+
+def _fetched(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Features of the rows, and which are kept apart from the first fit; as Arrow, since lists of Python floats take ten times the memory."""
+    found = df.mapInArrow(_described, "apart boolean, features array<float>").toArrow()
+    rows = found.column("features").combine_chunks().flatten().to_numpy().reshape(-1, N_FEATURES)
+    return rows, found.column("apart").to_numpy()
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -92,65 +102,106 @@ def _descend(gradient, size: int, steps: int, rate: float) -> np.ndarray:
     return w
 
 
+def bins_of(at: np.ndarray) -> np.ndarray:
+    """Bins of logits, 0 to ``BINS`` - 1."""
+    return np.minimum((_sigmoid(at) * BINS).astype(np.int64), BINS - 1)
+
+
 def class_prior(positive: np.ndarray, unlabelled: np.ndarray, chance: float = 0.05) -> float:
-    """The best bin's share of positives among the unlabelled, from scores of rows not trained on."""
-    p, u = np.sort(positive), np.sort(unlabelled)
-    cuts = np.unique(np.quantile(p, np.linspace(0.02, 0.9, 80)))
-    above_p = 1 - np.searchsorted(p, cuts) / len(p)
-    above_u = 1 - np.searchsorted(u, cuts) / len(u)
-    margin = np.sqrt(np.log(4 / chance) / 2) * (1 / np.sqrt(len(p)) + 1 / np.sqrt(len(u)))
-    best = np.argmin((above_u + margin) / above_p)
+    """The best bin's share of positives among the unlabelled, from histograms over ``BINS`` bins of rows not trained on."""
+    n_p, n_u = positive.sum(), unlabelled.sum()
+    if min(n_p, n_u) <= 10:
+        return 0.5
+    above_p, above_u = (np.concatenate([np.cumsum(h[::-1])[::-1], [0]]) / h.sum() for h in (positive, unlabelled))
+    cuts = np.flatnonzero((above_p >= 0.1) & (above_p <= 0.98))
+    if not len(cuts):
+        cuts = np.flatnonzero(above_p > 0)[-1:]
+    margin = np.sqrt(np.log(4 / chance) / 2) * (1 / np.sqrt(n_p) + 1 / np.sqrt(n_u))
+    best = cuts[np.argmin((above_u[cuts] + margin) / above_p[cuts])]
     return float(np.clip(above_u[best] / above_p[best], 0.05, 0.95))
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, steps: int = 400, rate: float = 0.05, ridge: float = 1e-4) -> dict:
-    """The model: mean, scale and weights, with the prior it was fitted under."""
+def contrast(positive: np.ndarray, unlabelled: np.ndarray, apart_p: np.ndarray, apart_u: np.ndarray, rate: float = 0.05) -> dict:
+    """Mean, scale and weights of a first model that tells positives from unlabelled rows, fitted on the rows not ``apart``."""
     both = np.vstack([positive, unlabelled])
     mean, scale = both.mean(0), both.std(0) + 1e-3
     mean[-1], scale[-1] = 0, 1
-    p, u = (positive - mean) / scale, (unlabelled - mean) / scale
-    p, u = np.clip(p, -6, 6), np.clip(u, -6, 6)
+    model = {"mean": mean, "scale": scale}
+    p, u = (standardised(model, rows[~apart] if (~apart).any() else rows) for rows, apart in ((positive, apart_p), (unlabelled, apart_u)))
 
     def against(w):
-        return (_sigmoid(p[::2] @ w) - 1) @ p[::2] / len(p[::2]) + _sigmoid(u[::2] @ w) @ u[::2] / len(u[::2]) + 0.01 * w
+        return (_sigmoid(p @ w) - 1) @ p / len(p) + _sigmoid(u @ w) @ u / len(u) + 0.01 * w
+
+    return model | {"weights": _descend(against, p.shape[1], 200, rate)}
+
+
+def risk(w: np.ndarray, p: np.ndarray, u: np.ndarray, prior: float) -> tuple[float, float]:
+    """The two parts of the unbiased risk: ``prior`` times that of the positives, and that of the negatives, which can fall below 0."""
+    good, bad = np.logaddexp(0, -(p @ w)).mean(), np.logaddexp(0, p @ w).mean()
+    return prior * good, np.logaddexp(0, u @ w).mean() - prior * bad
 
-    first = _descend(against, p.shape[1], 200, rate)
-    prior = class_prior(p[1::2] @ first, u[1::2] @ first) if min(len(p), len(u)) > 20 else 0.5
 
-    def risk(w):
-        at_p, at_u = p @ w, u @ w
-        good, bad = (_sigmoid(at_p) - 1) @ p / len(p), _sigmoid(at_p) @ p / len(p)
-        rest = np.logaddexp(0, at_u).mean() - prior * np.logaddexp(0, at_p).mean()
-        rest_g = _sigmoid(at_u) @ u / len(u) - prior * bad
-        return prior * good + rest_g + ridge * w if rest >= 0 else -rest_g + ridge * w
+def risk_gradient(w: np.ndarray, p: np.ndarray, u: np.ndarray, prior: float) -> np.ndarray:
+    """The gradient of the non-negative risk; where the negatives' part is below 0, the way back up for it alone."""
+    at_p, at_u = p @ w, u @ w
+    good, bad = (_sigmoid(at_p) - 1) @ p / len(p), _sigmoid(at_p) @ p / len(p)
+    rest = np.logaddexp(0, at_u).mean() - prior * np.logaddexp(0, at_p).mean()
+    rest_g = _sigmoid(at_u) @ u / len(u) - prior * bad
+    return prior * good + rest_g if rest >= 0 else -rest_g
 
-    return {"mean": mean, "scale": scale, "weights": _descend(risk, p.shape[1], steps, rate), "prior": prior}
+
+def fit(first: dict, positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 400, rate: float = 0.05, ridge: float = 1e-4) -> dict:
+    """The model that minimises the non-negative risk under ``prior``, with the mean and scale of ``first``."""
+    p, u = standardised(first, positive), standardised(first, unlabelled)
+    weights = _descend(lambda w: risk_gradient(w, p, u, prior) + ridge * w, p.shape[1], steps, rate)
+    return first | {"weights": weights, "prior": prior}
+
+
+def standardised(model: dict, rows: np.ndarray) -> np.ndarray:
+    return np.clip((rows - model["mean"]) / model["scale"], -6, 6)
 
 
 def scores(model: dict | None, rows: np.ndarray) -> np.ndarray:
     if model is None:
         return np.full(len(rows), 0.5)
-    return _sigmoid(np.clip((rows - model["mean"]) / model["scale"], -6, 6) @ model["weights"])
+    return _sigmoid(standardised(model, rows) @ model["weights"])
 
 
-def _drawn(ids: DataFrame, most: int, seed: int) -> DataFrame:
-    """About ``most`` of the distinct ids at most, by a hash of the id."""
-    total = ids.count()
+def _drawn(total: int, most: int, seed: int):
+    """Whether an id is among about ``most`` of ``total``, by its hash."""
     share = min(1.0, most / max(total, 1))
-    return ids.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000))
+    return F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000)
+
+
+def _histogram(first: dict):
+    def counted(batches):
+        total = np.zeros(BINS, np.int64)
+        for batch in chunks(batches, "text"):
+            total += np.bincount(bins_of(standardised(first, features(texts_of(batch))) @ first["weights"]), minlength=BINS)
+        full = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(total[full])], ["bin", "n"])
+
+    return counted
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict | None:
-    """Fit on positives and unlabelled rows outside the held-out fold."""
+    """Fit on positives and unlabelled rows outside the held-out fold; the prior is taken over all of these."""
     read = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull() & ~_held_out())
+    read = read.withColumn("apart", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(2)) == 0)
     known = labels.where("quality = 1").select("doc_id").where(F.col("doc_id").isNotNull() & ~_held_out()).distinct()
-    chosen = F.broadcast(_drawn(known, sample, 1))  # about ``sample`` ids
-    collect = lambda df: np.array([r[0] for r in df.select("text").mapInArrow(_described, "features array<float>").collect()], np.float32)
-    positive = collect(read.join(chosen, "doc_id", "left_semi"))
+    chosen = F.broadcast(known.where(_drawn(known.count(), sample, 1)))  # about ``sample`` ids
+    positive, apart_p = _fetched(read.join(chosen, "doc_id", "left_semi"))
     if not len(positive):
         return None
-    unlabelled = collect(_drawn(read, sample, 2))
-    return fit(positive, unlabelled)
+    drawn = _drawn(read.count(), sample, 2)
+    unlabelled, apart_u = _fetched(read.where(drawn))
+    first = contrast(positive, unlabelled, apart_p, apart_u)
+    unseen = read.where(~drawn | F.col("apart")).select("text").mapInArrow(_histogram(first), "bin int, n bigint")
+    counts = np.zeros(BINS, np.int64)
+    for row in unseen.groupBy("bin").agg(F.sum("n").alias("n")).collect():  # a row a bin
+        counts[row["bin"]] = row["n"]
+    seen = bins_of(standardised(first, positive[apart_p]) @ first["weights"])
+    return fit(first, positive, unlabelled, class_prior(np.bincount(seen, minlength=BINS), counts))
 
 
 def _held_out():

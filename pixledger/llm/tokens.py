@@ -80,7 +80,7 @@ class Encoder:
         ranks = {bytes(symbols[c] for c in token): i for token, i in held["model"]["vocab"].items() if token not in self.special}
         self.pieces = tiktoken.Encoding("pieces", pat_str=".", mergeable_ranks=ranks, special_tokens={})
         self.known: dict[bytes, np.ndarray] = {}
-        self.kind = np.uint16 if self.exact.get_vocab_size() <= 1 << 16 else np.uint32
+        self.kind = id_type(path).type
 
     def _piece(self, piece: bytes) -> np.ndarray:
         found = self.known.get(piece)
@@ -136,6 +136,15 @@ class Encoder:
         return np.concatenate(parts), starts
 
 
+@functools.cache
+def id_type(path: str) -> np.dtype:
+    """The narrowest type that holds the ids of a vocabulary file; the tokenizer is not made."""
+    with open(path, encoding="utf-8") as file:
+        held = json.load(file)
+    most = max([*held["model"]["vocab"].values(), *(t["id"] for t in held["added_tokens"])])
+    return np.dtype(np.uint16 if most < 1 << 16 else np.uint32)
+
+
 @functools.cache
 def encoder(path: str) -> Encoder:
     """One encoder per Python worker."""

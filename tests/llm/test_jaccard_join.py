@@ -1,6 +1,8 @@
 import re
 from collections import defaultdict
 
+import pytest
+
 from pixledger.llm.common import components
 from pixledger.llm.jaccard_join import jaccard_components, one_per_group
 
@@ -66,3 +68,15 @@ def test_texts_of_suspects_with_and_without_the_bitmap(documents, monkeypatch):
     assert by_bits == expected
     monkeypatch.setattr(jaccard_join, "MARK_BITS", 64)
     assert sorted(r["text"] or "" for r in jaccard_join._chosen_texts(read, wanted).collect()) == expected
+
+
+@pytest.mark.parametrize("bits", [1 << 26, 64])
+def test_near_copies_linked_through_a_null_id(spark, monkeypatch, bits):
+    """With the bitmap of ids and without it, a text without an id carries links."""
+    from pixledger.llm import jaccard_join
+
+    monkeypatch.setattr(jaccard_join, "MARK_BITS", bits)
+    base = [f"w{k}" for k in range(120)]
+    chain = [(1, base), (None, base[:-8] + [f"x{k}" for k in range(8)]), (2, base[8:-8] + [f"x{k}" for k in range(16)])]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in chain] + [(9, "some other text that nobody else has at all")], "doc_id long, text string")
+    assert {(r["doc_id"], r["component_id"]) for r in jaccard_components(docs).collect()} == {(1, 1), (2, 1), (None, 1), (9, 9)}
