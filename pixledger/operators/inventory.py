@@ -51,34 +51,50 @@ def check_root(entries: DataFrame, root: str, path: str = "path", links: DataFra
     return entries.withColumn("error_type", F.when(outside, F.lit("permission"))).drop("resolved")
 
 
-#: As many links in one path as operating systems follow.
-MOST_LINKS = 40
+#: 2 ** 6 links lead from one to the next at most; operating systems follow 40.
+_LINK_ROUNDS = 6
+
+
+def _link_replaced(state: DataFrame, links: DataFrame, key: str) -> DataFrame:
+    """``state`` (key, resolved, open) with the uppermost link of each open path replaced; those without one are closed."""
+    above = state.where("open").select(key, "resolved", F.explode(paths.ancestors(F.col("resolved"))).alias("link"))
+    first = above.join(links, "link").groupBy(key).agg(F.min_by(F.struct("link", "to"), F.length("link")).alias("hit"))
+    tail = F.substr("resolved", F.length("hit.link") + 1)
+    moved = paths.normalise(F.concat(F.rtrim(F.col("hit.to"), F.lit("/")), tail))
+    met = F.col("hit").isNotNull()
+    found = state.join(first, key, "left").select(key, F.when(met, moved).otherwise(F.col("resolved")).alias("resolved"), (met & F.col("open")).alias("open"))
+    return stored(found, "links")
+
+
+def links_settled(links: DataFrame) -> DataFrame:
+    """link and ``to``, its target with all links in it replaced; NULL for a circle. ``links`` has path and target.
+
+    Each round replaces by what the round before has found, so that chains shorten by half.
+    """
+    state = links.select(F.col("path").alias("start"), paths.normalise(F.col("target")).alias("resolved"), F.lit(True).alias("open")).dropDuplicates(["start"])
+    for _ in range(_LINK_ROUNDS):
+        state = _link_replaced(state, state.select(F.col("start").alias("link"), F.col("resolved").alias("to")), "start")
+        if state.where("open").isEmpty():
+            break
+    return state.select(F.col("start").alias("link"), F.when(~F.col("open"), F.col("resolved")).alias("to"))
 
 
 def links_followed(entries: DataFrame, links: DataFrame, path: str = "path") -> DataFrame:
     """Add ``resolved``: the path with every link in it replaced by its target; NULL for a circle.
 
     ``links`` (path, target) holds links to files or folders, with absolute targets that may pass through
-    links themselves. Each round joins the ancestors of the paths still open with the links and replaces
-    the uppermost link; ``..`` is resolved by text after each. Rounds end when no path changes.
+    links themselves and are settled first. Each round joins the ancestors of the paths still open with the
+    links and replaces the uppermost; ``..`` is resolved by text. Rounds end when no path changes.
     """
-    apart = "resolved_from"
-    asked = entries.select(F.col(path).alias(apart)).where(F.col(apart).isNotNull()).distinct()
-    state = asked.withColumns({"resolved": paths.normalise(F.col(apart)), "open": F.lit(True)})
-    links = links.select(F.col("path").alias("link"), F.col("target").alias("to")).distinct()
-    for _ in range(MOST_LINKS + 1):
-        above = state.where("open").select(apart, "resolved", F.explode(paths.ancestors(F.col("resolved"))).alias("link"))
-        first = above.join(links, "link").groupBy(apart).agg(F.min_by(F.struct("link", "to"), F.length("link")).alias("hit"))
-        tail = F.substr("resolved", F.length("hit.link") + 1)
-        moved = paths.normalise(F.concat(F.rtrim(F.col("hit.to"), F.lit("/")), tail))
-        met = F.col("hit").isNotNull()
-        state = stored(
-            state.join(first, apart, "left").select(apart, F.when(met, moved).otherwise(F.col("resolved")).alias("resolved"), (met & F.col("open")).alias("open")), "links"
-        )
-        if state.where("open").isEmpty():
+    key = "resolved_from"
+    settled = stored(links_settled(links), "settled")
+    asked = entries.select(F.col(path).alias(key)).where(F.col(key).isNotNull()).distinct()
+    state = asked.withColumns({"resolved": paths.normalise(F.col(key)), "open": F.lit(True)})
+    while True:
+        state = _link_replaced(state, settled, key)
+        if state.where("open AND resolved IS NOT NULL").isEmpty():
             break
-    done = state.select(apart, F.when(~F.col("open"), F.col("resolved")).alias("resolved"))
-    return entries.join(done, F.col(path) == F.col(apart), "left").drop(apart)
+    return entries.join(state.select(key, "resolved"), F.col(path) == F.col(key), "left").drop(key)
 
 
 def check_limits(files: DataFrame) -> DataFrame:

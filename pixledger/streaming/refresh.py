@@ -4,27 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from pixledger.operators.refresh import VERSION_KEY, one_per_version, unparsed
-
-QUERY, BATCH = "query", "batch"
-
-
-def catalog_versions(spark: SparkSession, catalog: str, query: str | None = None, batch: int | None = None) -> DataFrame | None:
-    """Version keys in the catalog but for one batch of one query; NULL if there is no catalog yet."""
-    try:
-        rows = spark.read.parquet(catalog)
-    except AnalysisException as failure:
-        if failure.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None
-    if query is not None:
-        rows = rows.where((F.col(QUERY) != query) | (F.col(BATCH) != batch))
-    return rows.select(*VERSION_KEY)
+from pixledger.operators.refresh import one_per_version, unparsed
+from pixledger.streaming.versions import BATCH, BUCKETS, QUERY, add_versions, complete_versions, known_versions
 
 
 def query_id(spark: SparkSession, checkpoint: str) -> str:
@@ -39,24 +23,30 @@ def refresh_stream(
     catalog: str,
     checkpoint: str,
     trigger: dict | None = None,
+    buckets: int = BUCKETS,
 ) -> StreamingQuery:
     """Parse each (path, mtime, length) once and append it to the catalog.
 
-    State lives in the catalog itself, so a back-dated file is found as surely as
+    State lives in the catalog itself, its version keys in ``buckets`` by the path's hash, of which a
+    batch reads those of its own paths. So a back-dated file is found as surely as
     a new one and no watermark has to guess how late files come. A batch owns one
     partition folder, named after the query's id and the batch's, and overwrites
     it, so a batch that is run again after a failure leaves no doubles, and other
     streams or a lost checkpoint touch nothing of it. ``parse`` must keep the key
-    columns. Streams that read the same files at the same time may both parse one.
+    columns. Streams that read the same files at the same time may both parse one. Keys are written
+    after the data; what a stop between the two leaves without keys gets them when a stream starts.
     """
+    complete_versions(files.sparkSession, catalog, buckets)
 
     def append(batch: DataFrame, batch_id: int) -> None:
         fresh = one_per_version(batch)
         own = query_id(batch.sparkSession, checkpoint)
-        done = catalog_versions(batch.sparkSession, catalog, own, batch_id)
+        done = known_versions(fresh, catalog, own, batch_id, buckets)
         if done is not None:
             fresh = unparsed(fresh, done)
-        parse(fresh).write.mode("overwrite").parquet(f"{catalog}/{QUERY}={own}/{BATCH}={batch_id}")
+        target = f"{catalog}/{QUERY}={own}/{BATCH}={batch_id}"
+        parse(fresh).write.mode("overwrite").parquet(target)
+        add_versions(batch.sparkSession.read.parquet(target), catalog, own, batch_id, buckets)
 
     return (
         files.writeStream.foreachBatch(append)
