@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from checks import fixtures as fx
@@ -94,8 +95,55 @@ def scan(spark, sf):
     return page_rows.select("file_id", "position", "total", "next_cursor")
 
 
+#: Names with accents, in mixed case, and many that differ in leading zeros or case alone.
+MIXED_NAME = """concat(CASE file_id % 6 WHEN 0 THEN 'img' WHEN 1 THEN 'IMG' WHEN 2 THEN 'ímg' WHEN 3 THEN 'Imh' WHEN 4 THEN 'img0' ELSE 'Ímg00' END,
+    CAST(file_id % 40 AS STRING), CASE WHEN file_id % 7 = 0 THEN '.PNG' ELSE '.png' END)"""
+
+
+def mixed_images(spark, sf):
+    """Two levels of folders, so that no two files of one folder have the same name."""
+    moved = big_images(spark, sf).withColumn("folder", F.expr("concat(folder, '/', file_id div 840)"))
+    return moved.withColumn("name", F.expr(MIXED_NAME)).dropDuplicates(["folder", "name"])
+
+
 def collated_desc(spark, sf):
-    return browse.ranked(big_images(spark, sf), "collated", "desc").select("file_id", "position")
+    return browse.ranked(mixed_images(spark, sf), "collated", "desc").select("path", "position")
+
+
+def collated_asc(spark, sf):
+    return browse.ranked(mixed_images(spark, sf), "collated").select("path", "position")
+
+
+def collated_sorted(spark, sf):
+    """One folder by the plain sort; the place in it is part of the row."""
+    rows = browse.sort_items(mixed_images(spark, sf).where("folder = '/pictures/click/0'"), "collated", "desc")
+    return rows.withColumn("place", F.monotonically_increasing_id()).select("name", F.row_number().over(Window.orderBy("place")).alias("position"))
+
+
+def _seek(spark, sf, field, order):
+    """Five pages of 60, each from the last one's cursor."""
+    daily = big_images(spark, sf).withColumn("mtime", F.date_trunc("day", "mtime").cast("timestamp_ntz"))
+    cursor, pages = None, None
+    for number in range(5):
+        page = browse.page_from(daily, "/pictures/view", cursor, field, order, 60).withColumn("page", F.lit(number))
+        pages = page if pages is None else browse.load_more(pages, page)
+        last = page.orderBy(F.monotonically_increasing_id().desc()).select("cursor").first()
+        if last is None:
+            break
+        cursor = last["cursor"]
+    return pages.select("file_id", "page")
+
+
+def seek_date_desc(spark, sf):
+    return _seek(spark, sf, "date", "desc")
+
+
+def seek_date_asc(spark, sf):
+    return _seek(spark, sf, "date", "asc")
+
+
+def seek_name_desc(spark, sf):
+    return _seek(spark, sf, "name", "desc")
 
 
 def sort_folders(spark, sf):
@@ -160,13 +208,36 @@ def _ranked_sql(columns: str, order: str = "nk, path", where: str = "true", big:
     )
 
 
+def _mixed_sql(direction: str, columns: str = "path, position") -> str:
+    """Letters, then accents, then the number, then what follows; ties by natural order and path."""
+    return fx.oracle(
+        f"""SELECT {columns} FROM (SELECT *, row_number() OVER (PARTITION BY folder
+            ORDER BY letters {direction}, accent {direction}, number {direction}, nk, path) AS position FROM (
+          SELECT folder, name, concat(folder, '/', name) AS path, left(strip_accents(lower(name)), 3) AS letters,
+            left(lower(name), 1) = 'í' AS accent, CAST(regexp_extract(name, '[0-9]+') AS INT) AS number, nk
+          FROM (SELECT *, {ref.NATURAL_KEY.replace("path", "concat(folder, '/', name)")} AS nk FROM (
+            SELECT DISTINCT concat(folder, '/', file_id // 840) AS folder, {MIXED_NAME.replace('STRING', 'VARCHAR')} AS name FROM images))))""",
+        inventory=True,
+        ctes=ref.BIG_IMAGES,
+    )
+
+
+def _seek_sql(order: str) -> str:
+    return _ranked_sql("file_id, (position - 1) // 60 AS page", order, "folder = '/pictures/view' AND position <= 300")
+
+
 NEXT_CURSOR = "CASE WHEN {end} < total THEN {end} END AS next_cursor"
 PAGE_END = "((position - 1) // 200 + 1) * 200"
 QUERIES: Queries = {
     "O1_natural_order": (natural_order, _ranked_sql("file_id, position, total", big=False)),
     "O1_natural_order_big_folders": (natural_order_big_folders, _ranked_sql("file_id, position, total")),
     "O2_collated_order": (collated_order, _ranked_sql("file_id, position")),
-    "O2_collated_desc": (collated_desc, _ranked_sql("file_id, position", "nk DESC, path DESC")),
+    "O2_collated_desc": (collated_desc, _mixed_sql("DESC")),
+    "O2_collated_ties": (collated_asc, _mixed_sql("ASC")),
+    "O2_sorted_desc": (collated_sorted, f"SELECT name, position FROM ({_mixed_sql('DESC', 'path, name, folder, position')}) WHERE folder = '/pictures/click/0'"),
+    "O5_seek_date_desc": (seek_date_desc, _seek_sql("date_trunc('day', mtime) DESC, nk, path")),
+    "O5_seek_date_asc": (seek_date_asc, _seek_sql("date_trunc('day', mtime), nk, path")),
+    "O5_seek_name_desc": (seek_name_desc, _seek_sql("nk DESC, path")),
     "O3_sort_folders": (
         sort_folders,
         fx.oracle(

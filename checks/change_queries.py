@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from checks import fixtures as fx
-from checks.common import Queries
+from checks import reference_sql as ref
+from checks.common import Queries, joined
+from pixledger.operators import folders, tree_diff
 from pixledger.operators import inventory as inv
-from pixledger.operators import tree_diff
 
 #: The inventory some time later: in folders of every third user files are deleted, changed, moved and added.
 LATER_SQL = """
@@ -36,6 +37,13 @@ def applied_changes(spark, sf):
     return tree_diff.applied(before.select(columns), changes, parsed)
 
 
+def folder_table_after(spark, sf):
+    """The folder table after the changes, from the facts kept before and the changes alone."""
+    before, after = _both(spark, sf)
+    partials = folders.partials_after(folders.folder_partials(before), tree_diff.file_changes(before, after), after)
+    return folders.folder_table_of(partials, "/").select("path", "parent", "has_children", joined("cover_images").alias("covers"), "mtime", "image_count")
+
+
 def changed_folders(spark, sf):
     return tree_diff.changed_folders(*(tree_diff.folder_digests(side) for side in _both(spark, sf)))
 
@@ -55,6 +63,16 @@ UNION ALL SELECT 'insert', path, NULL, mtime, length FROM fresh WHERE path NOT I
 UNION ALL SELECT 'update', path, NULL, y.mtime, y.length FROM x JOIN y USING (path) WHERE (x.mtime, x.length) <> (y.mtime, y.length)
 """
 
+LATER_TABLE_SQL = f"""
+WITH inventory AS ({fx.INVENTORY_SQL}), later AS ({LATER_SQL}),
+above AS (SELECT *, unnest({ref.ANCESTORS}) AS path FROM later),
+top AS (SELECT folder AS path, string_agg(concat(folder, '/', name), '|' ORDER BY mtime DESC, concat(folder, '/', name)) AS covers FROM (
+    SELECT * FROM later WHERE {ref.IS_IMAGE} QUALIFY row_number() OVER (PARTITION BY folder ORDER BY mtime DESC, concat(folder, '/', name)) <= 3) GROUP BY folder)
+SELECT path, CASE WHEN path = '/' THEN NULL WHEN regexp_matches(path, '^/[^/]+$') THEN '/' ELSE regexp_replace(path, '/[^/]+$', '') END AS parent,
+  true AS has_children, coalesce(any_value(covers), '') AS covers, max(mtime) AS mtime, count(*) FILTER (WHERE folder = path AND {ref.VISIBLE}) AS image_count
+FROM above LEFT JOIN top USING (path) GROUP BY path
+"""
+
 FOLDERS_SQL = f"""
 WITH inventory AS ({fx.INVENTORY_SQL}), {_SIDES}
 SELECT DISTINCT folder AS path FROM ((SELECT * FROM x EXCEPT SELECT * FROM y) UNION ALL (SELECT * FROM y EXCEPT SELECT * FROM x))
@@ -93,6 +111,7 @@ LINKED_SQL = fx.oracle(
 QUERIES: Queries = {
     "ST1_deleted_files": (deleted_files, CHANGES_SQL),
     "ST1_applied_changes": (applied_changes, fx.oracle(f"SELECT concat(folder, '/', name) AS path, folder, name, mtime, length FROM ({LATER_SQL})", inventory=True)),
+    "A5_folder_table_after": (folder_table_after, LATER_TABLE_SQL),
     "ST1_changed_folders": (changed_folders, FOLDERS_SQL),
     "P3_linked_paths": (linked_paths, LINKED_SQL),
 }

@@ -6,6 +6,9 @@ folder into one task.
 
 from __future__ import annotations
 
+import base64
+import json
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,7 +29,11 @@ def toggle_sort(field: str, order: str, picked: str) -> tuple[str, str]:
 
 def with_sort_keys(items: DataFrame, field: str = "name", order: str | None = None) -> tuple[DataFrame, list[str]]:
     """Add ascending key columns for the order; only the leading key is reversed
-    by ``desc``, ties keep natural name order, then path."""
+    by ``desc``, ties keep natural name order, then path.
+
+    A collated key has no reverse: its descending order is the ascending one turned round, whose
+    ties are therefore reversed beforehand. Items have a path.
+    """
     order = order or DEFAULT_ORDER.get(field, "asc")
     natural = text.natural_key(F.col("name"))
     if field == "name":
@@ -41,7 +48,11 @@ def with_sort_keys(items: DataFrame, field: str = "name", order: str | None = No
             ["_k0", "_k1"],
         )
     if field == "collated":
-        return items.withColumn("_k0", text.collated_key(F.col("name"))), ["_k0"]
+        keyed = items.withColumn("_k0", text.collated_key(F.col("name")))
+        if order == "asc":
+            return keyed.withColumn("_k1", natural), ["_k0", "_k1"]
+        ties = {"_k1": text.reversed_key(natural), "_k2": text.reversed_key(F.col("path"))}
+        return keyed.withColumns(ties), ["_k0", *ties]
     raise ValueError(f"unknown sort field {field!r}")
 
 
@@ -55,7 +66,7 @@ def sort_items(items: DataFrame, field: str = "name", order: str | None = None)
 
 
 def _turned(field: str, order: str | None) -> bool:
-    """Collated keys have no reverse, so their descending order is the ascending one turned round, ties too."""
+    """Whether the order is that of the keys turned round."""
     return field == "collated" and order == "desc"
 
 
@@ -153,6 +164,42 @@ def page_after(items: DataFrame, folder: str, last_name: str | None, limit: int
     return keyed.orderBy(*keys, "path").limit(limit).select(*items.columns)
 
 
+def _cursor() -> F.Column:
+    """What a page needs of its last row to go on: opaque text."""
+    micros = F.unix_micros(F.col("mtime").cast("timestamp"))
+    return F.base64(F.encode(F.to_json(F.struct("name", micros.alias("micros"), "path"), {"ignoreNullFields": "false"}), "UTF-8"))
+
+
+def page_from(
+    items: DataFrame, folder: str, cursor: str | None = None, field: str = "name", order: str | None = None,
+    limit: int = DEFAULT_PAGE_SIZE,
+) -> DataFrame:
+    """The next ``limit`` rows of a folder after the row that ``cursor`` comes from, in any order, with each row's own ``cursor``.
+
+    A top-k of the rows beyond the cursor's keys: nothing is ranked or counted, so deep pages cost the same as the
+    first, and rows that come or go elsewhere shift no page. By date, rows of other times are
+    left out at the scan already. The rows' paths are added.
+    """
+    _check_limit(limit)
+    keyed, keys = with_sort_keys(with_path(items.where(F.col("folder") == folder)), field, order)
+    turned = _turned(field, order)
+    if cursor is not None:
+        spark = items.sparkSession
+        last = json.loads(base64.b64decode(cursor))
+        types = {"name": "string", "micros": "bigint", "path": "string"}
+        edge = spark.createDataFrame([(last["name"], last["micros"], last["path"])], ", ".join(f"{c} {t}" for c, t in types.items()))
+        edge = edge.withColumn("mtime", F.timestamp_micros("micros").cast("timestamp_ntz"))
+        edge, _ = with_sort_keys(edge, field, order)
+        row, bound = F.struct(*keys, "path"), edge.select(F.struct(*keys, "path")).scalar()
+        if field == "date":
+            at = F.timestamp_micros(F.lit(last["micros"] or 0)).cast("timestamp_ntz")
+            down = (order or DEFAULT_ORDER["date"]) == "desc"
+            keyed = keyed.where(F.col("mtime").isNull() | ((F.col("mtime") <= at) if down else (F.col("mtime") >= at)))
+        keyed = keyed.where(row < bound if turned else row > bound)
+    columns = [F.desc(c) if turned else F.asc(c) for c in (*keys, "path")]
+    return keyed.orderBy(*columns).limit(limit).withColumn("cursor", _cursor()).drop(*keys)
+
+
 def load_more(loaded: DataFrame, next_page: DataFrame) -> DataFrame:
     """Append a page to the rows loaded before."""
     return loaded.unionByName(next_page)

@@ -215,3 +215,75 @@ def test_a_page_reads_its_folder_only(spark, tmp_path):
     plan = browse.page_of(items, "/p/3")._jdf.queryExecution().executedPlan().toString()
     scans = [line for line in plan.splitlines() if "FileScan parquet" in line]
     assert scans and len(scans) <= 2 and all("PartitionFilters: [isnotnull(folder" in line for line in scans)
+
+
+@pytest.mark.parametrize("field, order", [("name", "asc"), ("name", "desc"), ("date", "asc"), ("date", "desc"), ("collated", "asc"), ("collated", "desc")])
+def test_pages_by_cursor_are_the_ranked_pages(skewed, field, order):
+    """Ties of names and times included; the last page is short, and there is none after it."""
+    _, df = skewed
+    hot = df.where("folder = '/g/hot'").withColumn("mtime", F.when(F.col("file_id") % 11 > 0, F.col("mtime")))
+    wanted = [r.path for r in sorted(browse.ranked(hot, field, order).collect(), key=lambda r: r.position)]
+    cursor, found = None, []
+    while True:
+        rows = browse.page_from(df.withColumn("mtime", F.when(F.col("file_id") % 11 > 0, F.col("mtime"))), "/g/hot", cursor, field, order, 800).collect()
+        if not rows:
+            break
+        found += [r.path for r in rows]
+        cursor = rows[-1].cursor
+    assert found == wanted
+    assert [r.path for r in browse.sort_items(hot.withColumn("path", F.concat_ws("/", "folder", "name")), field, order).collect()] == wanted
+
+
+def test_a_cursor_by_date_reaches_the_scan(spark, tmp_path):
+    rows = [(i, "/f", f"a{i}.png", i) for i in range(100)]
+    spark.createDataFrame(rows, "file_id long, folder string, name string, day int").select(
+        "file_id", "folder", "name", F.expr("TIMESTAMP_NTZ'2024-01-01' + make_dt_interval(day)").alias("mtime")
+    ).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    cursor = browse.page_from(df, "/f", None, "date", "desc", 5).collect()[-1].cursor
+    second = browse.page_from(df, "/f", cursor, "date", "desc", 5)
+    assert [r.file_id for r in second.collect()] == [94, 93, 92, 91, 90]
+    assert "LessThanOrEqual(mtime" in second._jdf.queryExecution().executedPlan().toString()
+
+
+def test_collated_ties_keep_their_order_both_ways(spark):
+    names = ["b", "a1", "a01", "A1", "á1", "a2"]
+    df = spark.createDataFrame([(i, "/f", n, None) for i, n in enumerate(names)], "file_id long, folder string, name string, mtime timestamp_ntz")
+    placed = lambda order: [r.name for r in sorted(browse.ranked(df, "collated", order).collect(), key=lambda r: r.position)]
+    assert placed("asc") == ["A1", "a01", "a1", "a2", "á1", "b"]
+    assert placed("desc") == ["b", "á1", "a2", "A1", "a01", "a1"]
+
+
+def test_facts_after_changes_equal_the_full_ones(spark):
+    from pixledger.operators import tree_diff
+
+    rng = random.Random(8)
+    schema = "folder string, name string, mtime timestamp_ntz, length long"
+    listed = lambda files: spark.createDataFrame([(*k, t, n) for k, (t, n) in files.items()], "folder string, name string, s int, length long").select(
+        "folder", "name", F.timestamp_seconds("s").cast("timestamp_ntz").alias("mtime"), "length"
+    )
+    names = [f"{'.' if k % 9 == 0 else ''}f{k}{'.txt' if k % 4 == 0 else '.png'}" for k in range(150)]
+    before = {(f"/g/{rng.choice(['a', 'b', 'hot', 'hot', '.h'])}", n): (rng.randrange(30), k) for k, n in enumerate(names)}
+    before["/g/last", "only.png"] = (1, 1)
+    after = dict(before)
+    del after["/g/last", "only.png"]
+    for key in rng.sample(sorted(before), 30):
+        if key not in after:
+            continue
+        time, length = after.pop(key)
+        fate = rng.randrange(4)
+        if fate == 1:
+            after[key] = (rng.randrange(60), length + 1000)
+        elif fate == 2:
+            after["/g/new/deep", key[1]] = (time, length)
+        elif fate == 3:
+            after[key[0], "n" + key[1]] = (time + 50, length + 500)
+            after[key] = (time, length)
+    x, y = listed(before), listed(after)
+    found = folders.partials_after(folders.folder_partials(x), tree_diff.file_changes(x, y), y)
+    plain = lambda df: sorted((r.folder, r.images, r.entries, r.newest, [tuple(c) for c in r.covers]) for r in df.collect())
+    assert plain(found) == plain(folders.folder_partials(y))
+    rows = lambda df: sorted(map(repr, df.collect()))
+    assert rows(folders.folder_table_of(found, "/g")) == rows(folders.folder_table(y, "/g"))
+    none = spark.createDataFrame([], schema)
+    assert plain(folders.partials_after(folders.folder_partials(none), tree_diff.file_changes(none, y), y)) == plain(folders.folder_partials(y))
