@@ -10,7 +10,7 @@ from checks.common import Queries, metadata, params_text
 from pixledger.operators import resolve
 from pixledger.operators.inventory import with_path
 from pixledger.session import shared_dir
-from pixledger.sources import files, sinks, tags
+from pixledger.sources import files, sinks, snapshots, tags
 from pixledger.streaming.refresh import BATCH, refresh_stream
 
 
@@ -89,6 +89,24 @@ def write_catalog(spark, sf):
     )
 
 
+def catalog_versions(spark, sf):
+    """Two appends and a replacement; each version is read after all of them."""
+    out = shared_dir(spark, "versions")
+    sinks.write_catalog(metadata(spark, sf).select("file_id", "tool", "prompt"), f"{out}/all")
+    rows = sinks.read_catalog(spark, f"{out}/all")
+    catalog = f"{out}/catalog"
+    snapshots.commit(rows.where("file_id % 2 = 0"), catalog)
+    snapshots.commit(rows.where("file_id % 2 = 1"), catalog)
+    newest = snapshots.read_version(spark, catalog)
+    snapshots.commit(newest.where("tool = 'A1111'"), catalog, replace=True, onto=2)
+    found = None
+    for version in snapshots.versions(spark, catalog):
+        per_tool = snapshots.read_version(spark, catalog, version).groupBy("tool").agg(F.count("*").alias("files"), F.count("prompt").alias("prompts"))
+        per_tool = per_tool.withColumn("version", F.lit(version))
+        found = per_tool if found is None else found.union(per_tool)
+    return found
+
+
 def as_json(spark, sf):
     rows = metadata(spark, sf).select("file_id", "tool", "negative_prompt", "date", "width")
     return sinks.as_json(rows)
@@ -191,6 +209,16 @@ QUERIES: Queries = {
             ctes=ref.ALL_META,
         ),
     ),
+    "S5_catalog_versions": (
+        catalog_versions,
+        fx.oracle(
+            """SELECT tool, count(*) AS files, count(prompt) AS prompts, version FROM every, (VALUES (1), (2), (3)) v(version)
+            WHERE version = 2 OR (version = 1 AND file_id % 2 = 0) OR (version = 3 AND tool = 'A1111') GROUP BY tool, version""",
+            inventory=True,
+            tags=True,
+            ctes=ref.ALL_META,
+        ),
+    ),
     "S5_json_rows": (
         as_json,
         fx.oracle(

@@ -12,7 +12,7 @@ from pixledger.operators import folders, inventory, refresh, resolve
 from pixledger.operators.inventory import with_path
 from pixledger.plans.metadata import file_metadata, new_metadata, scan_metadata
 from pixledger.plans.browse import scan_folder
-from pixledger.sources import files, sinks, stores, tags
+from pixledger.sources import files, sinks, snapshots, stores, tags
 from pixledger.streaming.refresh import refresh_stream
 
 A1111 = "a fox\nNegative prompt: hen\nSteps: 9, Seed: 4"
@@ -372,3 +372,37 @@ def test_paths_resolve_through_links(spark):
     }
     marked = {r.path for r in inventory.check_root(df, "/r", links=links).collect() if r.error_type == "permission"}
     assert marked == {"/r/in/out/q.png", "/r/loop/x", "/r/one/x", "/r/../etc", "/elsewhere", None}
+
+
+def test_versions_of_a_catalog(spark, tmp_path, monkeypatch):
+    catalog = str(tmp_path / "catalog")
+    rows = lambda first, last: spark.range(first, last).select("id", F.when(F.col("id") % 2 == 0, "A1111").alias("tool"))
+    ids = lambda version=None: sorted(r.id for r in snapshots.read_version(spark, catalog, version).collect())
+    assert snapshots.versions(spark, catalog) == []
+    with pytest.raises(ValueError):
+        snapshots.read_version(spark, catalog)
+    assert snapshots.commit(rows(0, 4), catalog) == 1
+    pinned = snapshots.read_version(spark, catalog)
+    assert snapshots.commit(rows(4, 6), catalog) == 2
+    assert ids() == list(range(6)) and sorted(r.id for r in pinned.collect()) == [0, 1, 2, 3] == ids(1)
+    with pytest.raises(snapshots.Conflict):
+        snapshots.commit(rows(0, 1), catalog, replace=True, onto=1)
+    with pytest.raises(ValueError):
+        snapshots.commit(spark.range(3), catalog)
+    assert snapshots.commit(rows(9, 9), catalog, replace=True, onto=2) == 3 and ids() == []
+
+    # Another writer commits between reading the newest version and writing the manifest.
+    create, raced = snapshots._create, []
+
+    def late(session, path, text):
+        if not raced:
+            raced.append(path)
+            monkeypatch.setattr(snapshots, "_create", create)
+            snapshots.commit(rows(20, 22), catalog)
+        return create(session, path, text)
+
+    monkeypatch.setattr(snapshots, "_create", late)
+    assert snapshots.commit(rows(30, 31), catalog) == 5
+    assert ids() == [20, 21, 30] and ids(2) == list(range(6))
+    assert snapshots.drop_unused(spark, catalog, 2) == 2
+    assert snapshots.versions(spark, catalog) == [4, 5] and ids() == [20, 21, 30] and ids(4) == [20, 21]
