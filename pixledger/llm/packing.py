@@ -29,7 +29,7 @@ from pixledger.llm.tokens import encoder, id_type
 SEQUENCE = 2048
 END = 1
 DIMENSIONS, BITS, BUCKETS = 4, 10, 64
-_CHUNK = 2 << 20
+_CHUNK = 1 << 20
 
 
 def _signs() -> np.ndarray:

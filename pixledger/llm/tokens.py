@@ -72,7 +72,7 @@ class Encoder:
     """Ids of texts by the vocabulary file at ``path``."""
 
     def __init__(self, path: str):
-        self.exact = Tokenizer.from_file(path)
+        self.path = path
         with open(path, encoding="utf-8") as file:
             held = json.load(file)
         self.special = [t["content"] for t in held["added_tokens"]]
@@ -91,6 +91,11 @@ class Encoder:
             self.known[piece] = found
         return found
 
+    @functools.cached_property
+    def exact(self) -> Tokenizer:
+        """The tokenizer itself, made when a text needs it."""
+        return Tokenizer.from_file(self.path)
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All texts' ids end to end, and the number of each text's."""
         n = len(texts)
