@@ -12,6 +12,8 @@ from pixledger.operators import errors
 from pixledger.operators import inventory as inv
 from pixledger.operators import refresh
 from pixledger.schemas import ERRORS
+from pixledger.session import shared_dir
+from pixledger.sources import name_index
 
 
 def is_image(spark, sf):
@@ -49,6 +51,17 @@ def search(spark, sf):
     return inv.search(fx.inventory(spark, sf), "G97").select("file_id", "name")
 
 
+def search_indexed(spark, sf):
+    """Searches of an indexed catalog: rare, common, in other case, too short for the index, and without a match."""
+    out = shared_dir(spark, "indexed")
+    name_index.write_indexed(fx.inventory(spark, sf).select("file_id", "folder", "name"), out, 16)
+    found = None
+    for query in ("G97", "img", ".GIF", "7", "nothing", "1.Jp"):
+        rows = name_index.search_indexed(spark, out, query).select("file_id", F.lit(query).alias("query"))
+        found = rows if found is None else found.union(rows)
+    return found
+
+
 def only_images(spark, sf):
     """A listing of folders and images, narrowed to one type each."""
     files = fx.inventory(spark, sf)
@@ -175,6 +188,14 @@ QUERIES: Queries = {
         search,
         fx.oracle("SELECT file_id, name FROM inventory WHERE contains(lower(name), 'g97')", **INV),
     ),
+    "P4_search_indexed": (
+        search_indexed,
+        fx.oracle(
+            """SELECT file_id, query FROM inventory, (VALUES ('G97'), ('img'), ('.GIF'), ('7'), ('nothing'), ('1.Jp')) q(query)
+            WHERE contains(lower(name), lower(query))""",
+            **INV,
+        ),
+    ),
     "P5_only_type": (
         only_images,
         fx.oracle(

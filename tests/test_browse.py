@@ -287,3 +287,20 @@ def test_facts_after_changes_equal_the_full_ones(spark):
     assert rows(folders.folder_table_of(found, "/g")) == rows(folders.folder_table(y, "/g"))
     none = spark.createDataFrame([], schema)
     assert plain(folders.partials_after(folders.folder_partials(none), tree_diff.file_changes(none, y), y)) == plain(folders.folder_partials(y))
+
+
+def test_indexed_search_reads_the_groups_that_can_match(spark, tmp_path):
+    from pixledger.operators import inventory
+    from pixledger.sources import name_index
+
+    rows = [(f"/g/{k // 50}", f"{'Cat' if k < 50 else 'dog'}_{k:04d}{'é' * (k % 5)}.png") for k in range(500)] + [("/g/0", "ab"), ("/g/9", "")]
+    df = spark.createDataFrame(rows, "folder string, name string").repartition(4)
+    name_index.write_indexed(df, str(tmp_path / "i"), 10)
+    for query in ("cat_", "DOG_03", "éé.png", "_0007", "ab", "", "CAT_0499", "none at all", ".PNG", "%", "0_"):
+        found = name_index.search_indexed(spark, str(tmp_path / "i"), query)
+        assert sorted(found.collect()) == sorted(inventory.search(df, query).select(*found.columns).collect()), query
+    all_files = len(spark.read.parquet(str(tmp_path / "i" / name_index.ROWS)).inputFiles())
+    assert len(name_index.groups_with(spark, str(tmp_path / "i"), "cat_")) <= 3 < all_files
+    assert name_index.groups_with(spark, str(tmp_path / "i"), "nothing") == [] and name_index.groups_with(spark, str(tmp_path / "i"), "ab") is None
+    scan = name_index.search_indexed(spark, str(tmp_path / "i"), "cat_")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in scan and f"{name_index.GROUP}" in scan.split("PartitionFilters: [")[1].split("]")[0]
