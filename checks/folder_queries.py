@@ -17,9 +17,7 @@ def image_count(spark, sf):
 
 def total_images(spark, sf):
     """Each listed image's folder total, whatever page it is on."""
-    images = visible_images(fx.inventory(spark, sf))
-    totals = images.groupBy("folder").agg(F.count("*").alias("total_images"))
-    return images.join(totals, "folder").select("file_id", "total_images")
+    return folders.total_images(visible_images(fx.inventory(spark, sf))).select("file_id", "total_images")
 
 
 def has_children(spark, sf):

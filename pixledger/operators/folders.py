@@ -23,6 +23,12 @@ def image_counts(inventory: DataFrame) -> DataFrame:
     return inventory.groupBy("folder").agg(F.count_if(_visible_image()).alias("image_count"))
 
 
+def total_images(images: DataFrame) -> DataFrame:
+    """Add each listed image's folder total, whatever page it is on; counted per folder first, so that no folder meets in one task."""
+    totals = images.groupBy("folder").agg(F.count(F.lit(1)).alias("total_images"))
+    return images.join(totals, "folder")
+
+
 def has_children(inventory: DataFrame) -> DataFrame:
     """Whether a folder holds any entry at all, hidden ones and non-images included."""
     return inventory.groupBy("folder").agg((F.count(F.lit(1)) > 0).alias("has_children"))
