@@ -3,17 +3,19 @@
 A rule names a host and a path; it fits that host and its subdomains where the url's
 path starts with the rule's. The longest fitting rule decides. For all other pages
 the host decides: trust flows from allowed pages along host edges and distrust from
-blocked pages against them, both as personalised PageRank; a host whose distrust
-exceeds ``MARGIN`` times its trust is blocked.
-
-Seeds are page counts: allowed pages give trust, blocked pages distrust, and pages no
-rule speaks of give ``PRIOR`` of trust each, so that one bad path does not sink a
-large host. Edges are absolute links of the pages' html, counted by host pair before
+blocked pages against them, both as personalised PageRank, until the ranks settle; a
+host whose distrust exceeds ``MARGIN`` times its trust by more than ``FLOOR`` is blocked.
+
+A host's seeds are the shares of its pages that the rules allow and block; pages no rule
+speaks of give neither. ``FLOOR`` is the rank of a host that has ``BLOCKED_SHARE`` of its
+pages blocked and no links, so that one bad path does not sink a large host. A host
+without pages of its own has the links to it for pages: rules judge them by host and
+path. Edges are absolute links of the pages' html, counted by host pair before
 anything else, and each host with its parent host where pages have that too.
 
 A null url or one without ``://`` has an empty host and path and no rule; hosts
-without seeds or edges keep their own counts. Null html has no links. Equal rows get
-equal verdicts. Links to hosts without pages carry nothing. Hosts of a third of all
+without edges keep their own seeds. Null html has no links. Equal rows get equal
+verdicts, and repeated rows change no share. Hosts of a third of all
 pages or links are counted before any shuffle by host. Other columns are not read.
 """
 
@@ -25,8 +27,11 @@ from pyspark.sql import functions as F
 from pixledger.llm.common import stored, table
 
 RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
-DAMPING, ROUNDS, PRIOR, MARGIN = 0.85, 10, 0.25, 1.0
-LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']?\s*(?:https?:)?//([^/?#"'\s>]+)"""
+DAMPING, MARGIN, BLOCKED_SHARE = 0.85, 1.0, 0.2
+FLOOR = (1 - DAMPING) * BLOCKED_SHARE
+#: Ranks have settled when no host's changes by more than this in ``STEP`` rounds.
+SETTLED, STEP, MOST_ROUNDS = 1e-4, 5, 100
+LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']?\s*(?:https?:)?//([^"'\s>]+)"""
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -52,12 +57,15 @@ def with_rule(pages: DataFrame, rules: list[tuple[str, str]] = RULES) -> DataFra
 
 
 def seeds(ruled: DataFrame) -> DataFrame:
-    """host, and its trust and distrust before any flows."""
-    count = lambda test: F.sum(test.cast("double"))
-    return ruled.groupBy("host").agg(
-        (count(F.coalesce(F.col("says") == "allow", F.lit(False))) + PRIOR * count(F.col("says").isNull())).alias("t"),
-        count(F.coalesce(F.col("says") == "block", F.lit(False))).alias("d"),
-    )
+    """host, and its trust and distrust before any flows: the shares of rows that the rules allow and block."""
+    share = lambda verdict: F.avg(F.coalesce(F.col("says") == verdict, F.lit(False)).cast("double"))
+    return ruled.groupBy("host").agg(share("allow").alias("t"), share("block").alias("d"))
+
+
+def links_of(parts: DataFrame) -> DataFrame:
+    """from_host, host and path of the absolute links in the pages' html, once a page."""
+    found = parts.where(F.col("html").rlike("(?i)href")).select(F.col("host").alias("from_host"), F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit(LINK), F.lit(1)))).alias("to"))
+    return found.select("from_host", _lower(F.regexp_extract("to", "^([^/?#]*)", 1)).alias("host"), F.regexp_extract("to", "^[^/?#]*([^?#]*)", 1).alias("path")).where("host <> ''")
 
 
 def _ancestry(hosts: DataFrame) -> DataFrame:
@@ -69,18 +77,16 @@ def _ancestry(hosts: DataFrame) -> DataFrame:
     return chains.select(pair.alias("p")).select("p.a", "p.b").distinct()
 
 
-def host_edges(parts: DataFrame, hosts: DataFrame) -> DataFrame:
-    """a, b, weight: links from host a to host b among ``hosts``, and both ways between hosts and their parent domains."""
-    links = parts.where(F.col("html").rlike("(?i)href")).select("host", F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit(LINK), F.lit(1)))).alias("to"))
-    links = links.select(F.col("host").alias("a"), _lower(F.col("to")).alias("b")).where("a <> b AND a <> ''")
-    links = links.groupBy("a", "b").agg(F.count("*").alias("n")).join(hosts.select(F.col("host").alias("b")), "b", "left_semi").select("a", "b", "n")
+def host_edges(pairs: DataFrame, hosts: DataFrame) -> DataFrame:
+    """a, b, weight: links from host a to host b (``pairs``: a, b, n), and both ways between ``hosts`` and their parent domains."""
+    links = pairs.where("a <> b AND a <> ''").groupBy("a", "b").agg(F.sum("n").alias("n"))
     up = _ancestry(hosts).withColumn("n", F.lit(1).cast("long"))
     both = links.union(up).union(up.select(F.col("b").alias("a"), F.col("a").alias("b"), "n"))
     return both.groupBy("a", "b").agg(F.log1p(F.sum("n")).alias("weight"))
 
 
-def propagated(start: DataFrame, edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """host, t, d after ``rounds`` of personalised PageRank, trust along and distrust against the edges."""
+def propagated(start: DataFrame, edges: DataFrame) -> DataFrame:
+    """host, t, d: personalised PageRank, trust along and distrust against the edges, when it has settled."""
     out = edges.groupBy("a").agg(F.sum("weight").alias("all"))
     into = edges.groupBy("b").agg(F.sum("weight").alias("all"))
     along = edges.join(out, "a").select(F.col("a").alias("host"), F.col("b").alias("to"), (F.col("weight") / F.col("all")).alias("wt"), F.lit(0.0).alias("wd"))
@@ -88,12 +94,19 @@ def propagated(start: DataFrame, edges: DataFrame, rounds: int = ROUNDS) -> Data
     flows = stored(along.union(against).groupBy("host", "to").agg(F.sum("wt").alias("wt"), F.sum("wd").alias("wd")), "flows")
     nodes = start.unionByName(flows.select("host").withColumns({"t": F.lit(0.0), "d": F.lit(0.0)}).distinct())
     start = stored(nodes.groupBy("host").agg(F.sum("t").alias("t"), F.sum("d").alias("d")), "nodes")
-    now = start
-    for _ in range(rounds):
+    mix = lambda own, more: ((1 - DAMPING) * F.col(own) + DAMPING * F.coalesce(more, F.lit(0.0))).alias(own)
+    now = start.select("host", *(((1 - DAMPING) * F.col(c)).alias(c) for c in ("t", "d")))
+    last = None
+    for done in range(1, MOST_ROUNDS + 1):
         moved = now.join(flows, "host").groupBy("to").agg(F.sum(F.col("t") * F.col("wt")).alias("mt"), F.sum(F.col("d") * F.col("wd")).alias("md"))
-        joined = start.join(moved.withColumnRenamed("to", "host"), "host", "left")
-        mix = lambda own, more: ((1 - DAMPING) * F.col(own) + DAMPING * F.coalesce(more, F.lit(0.0))).alias(own)
-        now = stored(joined.select("host", mix("t", "mt"), mix("d", "md")), "ranks")
+        now = start.join(moved.withColumnRenamed("to", "host"), "host", "left").select("host", mix("t", "mt"), mix("d", "md"))
+        if done % STEP:
+            continue
+        now = stored(now, "ranks")
+        gap = F.greatest(F.abs(F.col("x.t") - F.col("y.t")), F.abs(F.col("x.d") - F.col("y.d")))
+        if last is not None and (now.alias("x").join(last.alias("y"), "host").agg(F.max(gap)).first()[0] or 0) < SETTLED:
+            break
+        last = now
     return now
 
 
@@ -101,10 +114,17 @@ def judged(pages: DataFrame, rules: list[tuple[str, str]] = RULES) -> DataFrame:
     """page_id, host, path, rule and verdict of every page, with its host's trust and distrust."""
     parts = with_parts(pages.select("page_id", "url", "html"))
     ruled = with_rule(parts, rules)
-    start = stored(seeds(ruled), "seeds")
-    ranks = propagated(start, host_edges(parts, start.where("host <> ''")))
+    own = stored(seeds(ruled), "seeds")
+    linked = with_rule(links_of(parts), rules).groupBy("from_host", "host", "says").agg(F.count("*").alias("n"))
+    linked = stored(linked, "links")  # a row a pair of hosts and verdict
+    pageless = linked.join(own.select("host"), "host", "left_anti")
+    share = lambda verdict: (F.sum(F.when(F.col("says") == verdict, F.col("n")).otherwise(0)) / F.sum("n")).alias("t" if verdict == "allow" else "d")
+    more = pageless.groupBy("host").agg(share("allow"), share("block"))
+    start = own.unionByName(more)
+    pairs = linked.select(F.col("from_host").alias("a"), F.col("host").alias("b"), "n")
+    ranks = propagated(start, host_edges(pairs, own))
     hosts = ranks.select("host", F.col("t").alias("trust"), F.col("d").alias("distrust"))
-    verdict = F.coalesce("says", F.when(F.col("distrust") > MARGIN * F.col("trust"), "block").otherwise("allow"))
+    verdict = F.coalesce("says", F.when(F.col("distrust") > MARGIN * F.col("trust") + FLOOR, "block").otherwise("allow"))
     return ruled.select("page_id", "host", "path", "rule", "says").join(hosts, "host", "left").select(
         "page_id", "host", "path", "rule", verdict.alias("verdict"), "trust", "distrust"
     )
