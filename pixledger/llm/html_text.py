@@ -286,8 +286,9 @@ def main_text(model: dict | None, page: str) -> str:
 def train(pages: DataFrame, sample: int = SAMPLE) -> dict | None:
     """A model of a bounded sample of labelled pages; None without any."""
     held = pages.where(F.col("html").rlike("(?i)<(article|main)")).select("html")
-    share = int(min(1.0, sample / max(held.count(), 1)) * 1_000_000)
-    chosen = held.where(F.pmod(F.xxhash64("html"), F.lit(1_000_000)) < share)
+    kinds = held.select(F.xxhash64("html").alias("h")).distinct()  # a page repeated in very many rows is one
+    share = int(min(1.0, sample / max(kinds.count(), 1)) * 1_000_000)
+    chosen = held.where(F.pmod(F.xxhash64("html"), F.lit(1_000_000)) < share).distinct()
 
     def rows(batches):
         for batch in batches:

@@ -82,3 +82,12 @@ def test_pages_with_and_without_marks(pages, spark):
     assert found[500] == "" and found[501] == ""
     empty = spark.createDataFrame([], frame.schema)
     assert h.train(empty) is None and h.extracted(empty, None).collect() == []
+
+
+def test_a_page_repeated_in_many_rows_is_drawn_once(spark, monkeypatch):
+    page = lambda k: f"<html><body><nav>menu {k}</nav><article><p>text number {k} of the article</p></article></body></html>"
+    pages = spark.createDataFrame([(page(k),) for k in range(30)] + [(page(0),)] * 400, "html string")
+    seen = []
+    monkeypatch.setattr(h, "fit", lambda rows: seen.append(len(rows)) or {})
+    h.train(pages, 1000)
+    assert seen == [60]  # each page with and without its path
