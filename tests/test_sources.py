@@ -374,6 +374,23 @@ def test_paths_resolve_through_links(spark):
     assert marked == {"/r/in/out/q.png", "/r/loop/x", "/r/one/x", "/r/../etc", "/elsewhere", None}
 
 
+def test_only_linked_paths_go_on_to_the_next_round(spark, monkeypatch):
+    sizes, write = [], inventory.stored
+
+    def counted(df, purpose):
+        out = write(df, purpose)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(inventory, "stored", counted)
+    links = spark.createDataFrame([("/r/in", "/else"), ("/else/back", "/r/home")], "path string, target string")
+    df = spark.createDataFrame([(f"/r/plain/{i}",) for i in range(20)] + [("/r/in/back/p",), ("/r/in/q",)], "path string")
+    found = {r.path: (r.resolved, r.error_type) for r in inventory.check_root(df, "/r", links=links, keep_resolved=True).collect()}
+    assert len(found) == 22 and found["/r/plain/3"] == ("/r/plain/3", None)
+    assert found["/r/in/back/p"] == ("/r/home/p", None) and found["/r/in/q"] == ("/else/q", "permission")
+    assert sizes[-3:] == [22, 2, 1]
+
+
 def test_versions_of_a_catalog(spark, tmp_path, monkeypatch):
     catalog = str(tmp_path / "catalog")
     rows = lambda first, last: spark.range(first, last).select("id", F.when(F.col("id") % 2 == 0, "A1111").alias("tool"))
