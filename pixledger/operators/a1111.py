@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pixledger.functions.jsonvalues import present_sql
+from pixledger.functions.jsonvalues import map_cells
 from pixledger.functions.loras import extract_loras
-from pixledger.functions.text import RE_SPACE, RE_WORD, bind_sql, strip, strip_sql
-from pixledger.operators.stages import settle
+from pixledger.functions.text import RE_SPACE, RE_WORD, strip, strip_sql
+from pixledger.operators.stages import compile_methods, finish
 from pixledger.schemas import RECORD_TYPE, TOOL_A1111
 
 # Fixed values. Text values run to a comma, a line end or the end of the text.
@@ -38,37 +38,39 @@ START_MARKERS = ["Steps:", "Size:", "Seed:", "Model:"]
 END_MARKERS = ["Steps:", "Size:", "Seed:", "Model:", "Sampler:"]
 
 
-def _found_sql(text: str) -> str:
-    """SQL for a struct of each label's first value, any case; NULL where absent.
+def _found_sql(text: str, folded: str, ascii_only: str) -> str:
+    """SQL for a struct of each label's first value, any case; NULL or empty where absent.
 
     A match always captures something, if only a blank. A plain substring test on
-    the case-folded text spares most texts most patterns.
+    the case-folded text spares most texts most patterns. In plain ASCII the folded
+    text has the same places, so a pattern starts at its label's first mention.
     """
-    cells = [
-        f"""'{key}', CASE WHEN contains(folded, '{label.lower()}:') THEN
-            nullif(regexp_extract({text}, r'(?iU){label}:{RE_SPACE}*{shape}', 1), '') END"""
-        for key, (label, shape) in PATTERNS.items()
-    ]
-    return bind_sql(f"lower(upper({text}))", "folded", f"named_struct({', '.join(cells)})")
-
-
-def _params_sql(found: str) -> str:
-    """SQL for the params of a found struct: text values trimmed, the size split."""
+    cells = []
+    for key, (label, shape) in PATTERNS.items():
+        mention = f"'{label.lower()}:'"
+        rest = f"substr({text}, IF({ascii_only}, locate({mention}, {folded}), 1))"
+        pattern = rf"(?iU){label}:{RE_SPACE}*{shape}"
+        cells.append(f"'{key}', CASE WHEN contains({folded}, {mention}) THEN regexp_extract({rest}, r'{pattern}', 1) END")
+    return f"IF({folded} IS NOT NULL, named_struct({', '.join(cells)}), NULL)"
+
+
+def _pairs_sql(found: str) -> str:
+    """SQL for a map of all keys from a found struct: text values trimmed, the size split."""
+    present = lambda key, value: f"IF({found}.{key} <> '', {value}, NULL)"
     pairs = {
-        key: strip_sql(f"{found}.{key}") if shape == _TEXT else f"{found}.{key}"
+        key: present(key, strip_sql(f"{found}.{key}") if shape == _TEXT else f"{found}.{key}")
         for key, (_, shape) in PATTERNS.items()
         if key != "Size"
     }
     # Found in any case, but split at a small x only.
     for key, part in (("Width", 1), ("Height", -1)):
         pairs[key] = f"IF(contains({found}.Size, 'x'), substring_index({found}.Size, 'x', {part}), NULL)"
-    return present_sql(pairs)
+    return f"IF({found} IS NOT NULL, map({map_cells(pairs)}), NULL)"
 
 
-def _params_start(text: Column) -> Column:
+def _params_start(places: list[str]) -> Column:
     """Zero-based start of the earliest marker that is not at the very start."""
-    found = F.array(*[F.locate(marker, text) for marker in START_MARKERS])
-    return F.array_min(F.filter(found, lambda at: at > 1)) - 1
+    return F.least(*[F.when(F.col(at) > 1, F.col(at)) for at in places]) - 1
 
 
 def _cut_negative(negative: Column) -> Column:
@@ -80,19 +82,28 @@ def _cut_negative(negative: Column) -> Column:
     return cut
 
 
-def parse_a1111(df: DataFrame, text: str = "parameters", out: str = "a1111") -> DataFrame:
+def parse_a1111(df: DataFrame, text: str = "parameters", out: str = "a1111", settled: bool = True) -> DataFrame:
     """Add a record struct; NULL where the text is empty or holds no parameters.
 
     Staged columns keep each scan of the text single; all of it is row-local.
     """
+    compile_methods()
     staged = df.withColumn("_body", F.nullif(F.col(text), F.lit("")))
     body = F.col("_body")
+    marked = {f"_at_{marker[:-1]}": F.locate(marker, body) for marker in START_MARKERS}
+    # Expressions that need a value more than once take it from a column: inside
+    # one, ``nullif`` or a lambda would compute it again.
     staged = staged.withColumns(
         {
             "_pieces": F.split(body, f"(?iu){NEGATIVE_MARKER}", 2),
-            "_start": _params_start(body),
+            "_folded": F.lower(F.upper(body)),
+            "_ascii": F.octet_length(body) == F.char_length(body),
+            **marked,
         }
     )
+    staged = staged.withColumns(
+        {"_start": _params_start(list(marked)), "_found": F.expr(_found_sql("_body", "_folded", "_ascii"))}
+    )
     before = F.char_length(F.col("_pieces")[0])
     after = F.get(F.col("_pieces"), 1)
     # Length of the negative text up to the parameters, if those come later.
@@ -104,23 +115,26 @@ def parse_a1111(df: DataFrame, text: str = "parameters", out: str = "a1111") ->
                 .otherwise(F.substr(body, F.lit(1), F.col("_start")))
             ),
             "_negative": strip(F.substr(after, F.lit(1), F.coalesce(room, F.char_length(after)))),
-            "_found": F.expr(_found_sql("_body")),
+            "_pairs": F.expr(_pairs_sql("_found")),
         }
     )
     staged = staged.withColumns(
         {
             "_negative": F.coalesce(_cut_negative(F.col("_negative")), F.lit("")),
-            "_params": F.expr(_params_sql("_found")),
+            "_params": F.when(F.col("_pairs").isNotNull(), F.map_filter("_pairs", lambda k, v: v.isNotNull())),
         }
     )
-    staged = staged.withColumn(
-        "_loras", extract_loras(F.concat_ws(" ", "_prompt", "_negative", "_body"))
-    )
+    staged = staged.withColumn("_searched", F.when(body.isNotNull(), F.concat_ws(" ", "_prompt", "_negative", "_body")))
+    # Rows without a text have nothing to search.
+    staged = staged.withColumn("_loras", F.when(F.col("_searched").isNotNull(), extract_loras(F.col("_searched"))))
     record = F.expr(
         f"""CAST(named_struct('tool', '{TOOL_A1111}', 'prompt', _prompt, 'negative_prompt', _negative,
             'params', _params, 'loras', _loras, 'models', NULL, 'date', NULL, 'generation_time', NULL)
             AS {RECORD_TYPE})"""
     )
     accepted = F.col("_pieces").isNotNull() & ((F.size("_params") > 0) | (F.size("_loras") > 0))
-    temporary = ("_body", "_pieces", "_start", "_found", "_prompt", "_negative", "_params", "_loras")
-    return settle(staged.withColumn(out, F.when(accepted, record)), out, drop=temporary)
+    temporary = (
+        "_body", "_pieces", "_folded", "_ascii", *marked, "_start", "_found", "_prompt", "_negative",
+        "_pairs", "_params", "_searched", "_loras",
+    )
+    return finish(staged.withColumn(out, F.when(accepted, record)), out, drop=temporary, settled=settled)

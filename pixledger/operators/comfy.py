@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pixledger.functions import jsonvalues as jv
 from pixledger.functions.loras import drop_model_ending_sql, extract_loras
 from pixledger.functions.text import bind_sql
-from pixledger.operators.stages import settle
+from pixledger.operators.stages import finish
 from pixledger.schemas import RECORD_TYPE, TOOL_COMFY
 
 # Node types and the inputs read from each.
@@ -35,7 +35,9 @@ LIST_INPUTS_MESSAGE = "Unable to parse metadata: node inputs are not an object"
 _NODE = "struct<id:variant,class_type:variant,type:variant,inputs:map<string,variant>>"
 
 
-def with_graph(df: DataFrame, prompt: str = "prompt_json", workflow: str = "workflow_json", out: str = "nodes") -> DataFrame:
+def with_graph(
+    df: DataFrame, prompt: str = "prompt_json", workflow: str = "workflow_json", out: str = "nodes", settled: bool = True
+) -> DataFrame:
     """Add the graph's nodes as an array in document order; NULL without a graph.
 
     The prompt text is used if it is a JSON object. The workflow text steps in
@@ -54,7 +56,7 @@ def with_graph(df: DataFrame, prompt: str = "prompt_json", workflow: str = "work
     staged = staged.withColumn("_parsed", F.expr(_PARSED_SQL))
     staged = staged.withColumn("_described", F.expr(_DESCRIBED_SQL))
     temporary = ("_own", "_top", "_listed", "_parsed", "_described")
-    return settle(staged.withColumn(out, F.expr(_NODES_SQL)), out, drop=temporary)
+    return finish(staged.withColumn(out, F.expr(_NODES_SQL)), out, drop=temporary, settled=settled)
 
 
 _ENTRIES_SQL = """IF(_listed IS NOT NULL,
@@ -148,14 +150,14 @@ def node_loras(nodes: str) -> Column:
 
 
 def parse_comfy(
-    df: DataFrame, prompt: str = "prompt_json", workflow: str = "workflow_json", out: str = "comfy"
+    df: DataFrame, prompt: str = "prompt_json", workflow: str = "workflow_json", out: str = "comfy", settled: bool = True
 ) -> DataFrame:
     """Add a record struct, NULL without a graph, and ``<out>_error``.
 
     A node of a known type whose inputs are not an object is read as having none,
     and the row is flagged.
     """
-    staged = with_graph(df, prompt, workflow, "_nodes")
+    staged = with_graph(df, prompt, workflow, "_nodes", settled)
     staged = staged.withColumns(
         {
             "_texts": prompt_texts("_nodes"),
@@ -175,7 +177,7 @@ def parse_comfy(
         'models', NULL, 'date', NULL, 'generation_time', NULL) AS {RECORD_TYPE})"""
     parsed = staged.withColumn(out, F.expr(f"IF(_nodes IS NOT NULL, {record}, NULL)"))
     temporary = ("_nodes", "_texts", "_params", "_node_loras", "_ordered", "_loras")
-    return settle(parsed, out, f"{out}_error", drop=temporary)
+    return finish(parsed, out, f"{out}_error", drop=temporary, settled=settled)
 
 
 def graph_links(df: DataFrame, nodes: str = "nodes") -> DataFrame:

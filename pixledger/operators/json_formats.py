@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pixledger.functions import jsonvalues as jv
 from pixledger.functions.loras import drop_model_ending_sql, extract_loras
 from pixledger.functions.text import SPACES_SQL, bind_sql, python_float_sql
-from pixledger.operators.stages import settle
+from pixledger.operators.stages import finish
 from pixledger.schemas import MODEL_TYPE, RECORD_TYPE, TOOL_EASY, TOOL_NOVELAI, TOOL_SWARM
 
 # Output key -> field in the JSON.
@@ -50,7 +50,7 @@ def _flat_record_sql(described: str, tool: str, fields: dict[str, str]) -> str:
 
 
 def parse_flat_json(
-    df: DataFrame, obj: str = "params_object", novelai: str = "novelai", easy: str = "easydiffusion"
+    df: DataFrame, obj: str = "params_object", novelai: str = "novelai", easy: str = "easydiffusion", settled: bool = True
 ) -> DataFrame:
     """Add the records of both flat formats; each NULL where its signature is absent."""
     required = " AND ".join(f"map_contains_key(_described, '{key}')" for key in EASY_REQUIRED)
@@ -76,7 +76,7 @@ def parse_flat_json(
         }
     )
     temporary = ("_described", "_is_novelai", "_is_easy", "_prompt", "_negative", "_loras")
-    return settle(parsed, novelai, easy, drop=temporary)
+    return finish(parsed, novelai, easy, drop=temporary, settled=settled)
 
 
 def parse_novelai_json(df: DataFrame, text: str = "parameters", out: str = "novelai") -> DataFrame:
@@ -144,7 +144,7 @@ def with_swarm_parts(df: DataFrame, objects: list[str]) -> DataFrame:
     )
 
 
-def parse_swarm(df: DataFrame, objects: list[str], out: str = "swarm") -> DataFrame:
+def parse_swarm(df: DataFrame, objects: list[str], out: str = "swarm", settled: bool = True) -> DataFrame:
     """Add a record struct from the first of the JSON objects with image
     parameters; NULL without any."""
     params = {key: f"nullif(_image['{field}'].text, '')" for key, field in SWARM_TEXT_FIELDS.items()}
@@ -159,4 +159,4 @@ def parse_swarm(df: DataFrame, objects: list[str], out: str = "swarm") -> DataFr
     staged = with_swarm_parts(df, objects).withColumn("_named", F.expr(_NAMED_SQL))
     temporary = ("_holder", "_image", "_extra", "_models", "_lora_list", "_weight_list", "_named")
     parsed = staged.withColumn(out, F.expr(f"IF(_holder IS NOT NULL, {record}, NULL)"))
-    return settle(parsed, out, drop=temporary)
+    return finish(parsed, out, drop=temporary, settled=settled)

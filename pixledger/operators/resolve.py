@@ -54,7 +54,7 @@ def resolve_records(df: DataFrame, out: str = "record") -> DataFrame:
         "_comment", F.when(~F.coalesce(F.map_contains_key("_object", F.lit("sui_image_params")), F.lit(False)), F.col("user_comment"))
     )
     staged = with_json_object(staged, "_comment", "_comment_object")
-    staged = parse_swarm(staged, ["_object", "_comment_object"], "_swarm")
+    staged = parse_swarm(staged, ["_object", "_comment_object"], "_swarm", settled=False)
 
     undecided = F.col("_swarm").isNull()
     staged = staged.withColumns(
@@ -63,21 +63,21 @@ def resolve_records(df: DataFrame, out: str = "record") -> DataFrame:
             "_workflow_json": F.when(undecided, F.col("workflow_json")),
         }
     )
-    staged = parse_comfy(staged, "_prompt_json", "_workflow_json", "_comfy")
+    staged = parse_comfy(staged, "_prompt_json", "_workflow_json", "_comfy", settled=False)
 
     undecided = undecided & F.col("_comfy").isNull()
     staged = staged.withColumn("_object", F.when(undecided, F.col("_object")))
-    staged = parse_flat_json(staged, "_object", "_novelai", "_easy")
+    staged = parse_flat_json(staged, "_object", "_novelai", "_easy", settled=False)
 
     undecided = undecided & F.col("_novelai").isNull() & F.col("_easy").isNull()
     staged = staged.withColumn("_text", F.when(undecided, F.col("parameters")))
-    staged = parse_a1111(staged, "_text", "_a1111")
+    staged = parse_a1111(staged, "_text", "_a1111", settled=False)
     plain = ~jv.looks_like_object(F.col("_text"))
     staged = with_novelai_prefix(staged.withColumn("_a1111_text", F.when(plain, F.col("_a1111"))), "_a1111_text")
 
     undecided = undecided & F.col("_a1111").isNull()
     staged = staged.withColumn("_sidecar", F.when(undecided, F.col("sidecar_text")))
-    staged = parse_a1111(staged, "_sidecar", "_from_sidecar")
+    staged = parse_a1111(staged, "_sidecar", "_from_sidecar", settled=False)
 
     order = ["_swarm", "_comfy", "_novelai", "_easy", "_a1111_text", "_a1111", "_from_sidecar"]
     resolved = staged.withColumns(

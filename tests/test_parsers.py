@@ -282,3 +282,31 @@ def test_the_last_of_repeated_keys_counts_in_every_format(spark):
     rows = resolve.resolve_records(tags(spark, [{"parameters": swarm}, {"user_comment": swarm}]))
     for r in records(rows, "record"):
         assert r["tool"] == "SwarmUI" and r["params"]["Seed"] == "2"
+
+
+def test_a1111_patterns_run_once_and_rows_are_settled_once(spark):
+    """A pattern is evaluated once a text; inside the cascade no parser unpacks its rows again."""
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    texts = tags(spark, [{"parameters": "Steps: 20"}])
+    assert plan(a1111.parse_a1111(texts, out="r")).count("(?iU)Steps:") == 1
+    assert plan(resolve.resolve_records(texts)).count("Generate ") == 1
+
+
+@pytest.mark.parametrize(
+    "text, params",
+    [
+        # The first mention has no value of the right shape.
+        ("Steps: many, steps: 5, Steps: 6", {"Steps": "5"}),
+        # Folding changes the places of what follows.
+        ("ß ŉ İ a\nstEPS: 7, mySampler: x y", {"Steps": "7", "Sampler": "x y"}),
+        ("cat steps: 7, SIZE: 5X6, size: 5x6, Model:  ", {"Steps": "7", "Model": ""}),
+        ("Seed: 1, Size: 64x32, Seed: 2", {"Seed": "1", "Width": "64", "Height": "32"}),
+    ],
+)
+def test_a1111_first_value_of_each_label(spark, text, params):
+    (r,) = a1111_records(spark, [text])
+    assert r["params"] == params
+
+
+def test_a1111_empty_and_missing_texts(spark):
+    assert a1111_records(spark, ["", None, " ", "<lora:a:1>"])[:3] == [None, None, None]
