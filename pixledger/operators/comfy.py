@@ -54,8 +54,7 @@ def with_graph(
     # A "nodes" list replaces the map of nodes by id.
     staged = staged.withColumn("_listed", F.from_json(F.col("_top")["nodes"], "array<string>", jv.STRICT))
     staged = staged.withColumn("_parsed", F.expr(_PARSED_SQL))
-    staged = staged.withColumn("_described", F.expr(_DESCRIBED_SQL))
-    temporary = ("_own", "_top", "_listed", "_parsed", "_described")
+    temporary = ("_own", "_top", "_listed", "_parsed")
     return finish(staged.withColumn(out, F.expr(_NODES_SQL)), out, drop=temporary, settled=settled)
 
 
@@ -66,17 +65,16 @@ _PARSED_SQL = f"""transform({_ENTRIES_SQL}, e -> named_struct('key', e.key, 'val
     'node', from_json(e.value, '{_NODE}', map('allowSingleQuotes', 'false'))))"""
 _TYPE_SQL = """coalesce(nullif(try_variant_get(e.node.class_type, '$', 'string'), ''),
     try_variant_get(e.node.type, '$', 'string'))"""
-_DESCRIBED_SQL = f"""transform(_parsed, (e, pos) -> named_struct(
+_NODE_SQL = f"""named_struct(
     'pos', pos,
     'id', coalesce(e.key, try_variant_get(e.node.id, '$', 'string')),
     'type', {_TYPE_SQL},
-    'inputs', {jv.describe_values_sql(jv.last_values_sql('e.node.inputs'))},
+    'inputs', inputs,
+    'first', get(filter(map_values(inputs), v -> v.kind <> 'list'), 0),
     'bad_inputs', e.node.inputs IS NULL AND {_TYPE_SQL} IN ({jv.sql_list(READ_TYPES)})
-      AND get_json_object(e.value, '$.inputs') IS NOT NULL))"""
-_NODES_SQL = """transform(_described, n -> named_struct(
-    'pos', n.pos, 'id', n.id, 'type', n.type, 'inputs', n.inputs,
-    'first', get(filter(map_values(n.inputs), v -> v.kind <> 'list'), 0),
-    'bad_inputs', n.bad_inputs))"""
+      AND get_json_object(e.value, '$.inputs') IS NOT NULL)"""
+_INPUTS_SQL = jv.describe_values_sql(jv.last_values_sql("e.node.inputs"))
+_NODES_SQL = f"transform(_parsed, (e, pos) -> {bind_sql(_INPUTS_SQL, 'inputs', _NODE_SQL)})"
 
 
 def scalar_sql(nodes: str, value: str) -> str:
@@ -120,12 +118,13 @@ def graph_params(nodes: str) -> Column:
         "UpscaleModel": ([UPSCALE_TYPE], "n.inputs['model_name']"),
         "ControlNet": ([CONTROLNET_TYPE], "n.inputs['control_net_name']"),
     }
-    pairs = {key: last_sql(nodes, SAMPLER_TYPES, scalar_sql(nodes, value)) for key, value in sampler.items()}
+    pairs = {key: last_sql("samplers", SAMPLER_TYPES, scalar_sql(nodes, value)) for key, value in sampler.items()}
     pairs |= {key: last_sql(nodes, types, _string_sql(value)) for key, (types, value) in named.items()}
     pairs["clip_skip"] = last_sql(
         nodes, [CLIP_SKIP_TYPE], scalar_sql(nodes, "n.inputs['stop_at_clip_layer']")
     )
-    return F.expr(jv.present_sql(pairs))
+    # Four keys read the samplers, which are picked once.
+    return F.expr(bind_sql(_of_type_sql(nodes, SAMPLER_TYPES), "samplers", jv.present_sql(pairs)))
 
 
 def prompt_texts(nodes: str) -> Column:

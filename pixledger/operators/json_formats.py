@@ -26,6 +26,7 @@ SWARM_FIELDS = {
     "Sampler": "sampler", "Scheduler": "scheduler", "Model": "model",
     "SwarmVersion": "swarm_version", "AspectRatio": "aspectratio",
 }
+SWARM_TIMES = ["date", "generation_time", "prep_time"]
 USED_LORAS = "used_loras"
 
 
@@ -37,45 +38,54 @@ def with_json_object(df: DataFrame, text: str, out: str) -> DataFrame:
     )
 
 
-def _prompt_sql(described: str, key: str) -> str:
+def _prompt_sql(value: str) -> str:
     """A missing key reads as empty; an explicit null stays NULL."""
-    return f"IF(map_contains_key({described}, '{key}'), {described}['{key}'].text, '')"
+    return f"IF({value} IS NOT NULL, {value}.text, '')"
 
 
-def _flat_record_sql(described: str, tool: str, fields: dict[str, str]) -> str:
-    params = jv.present_sql({key: f"{described}['{field}'].text" for key, field in fields.items()})
+def _flat_record_sql(tool: str, params: str) -> str:
     return f"""CAST(named_struct('tool', '{tool}', 'prompt', _prompt, 'negative_prompt', _negative,
         'params', {params}, 'loras', _loras, 'models', NULL, 'date', NULL, 'generation_time', NULL)
         AS {RECORD_TYPE})"""
 
 
+def _flat_params(fields: dict[str, str]) -> dict[str, str]:
+    return {key: f"_fields.{field}.text" for key, field in fields.items()}
+
+
 def parse_flat_json(
     df: DataFrame, obj: str = "params_object", novelai: str = "novelai", easy: str = "easydiffusion", settled: bool = True
 ) -> DataFrame:
     """Add the records of both flat formats; each NULL where its signature is absent."""
-    required = " AND ".join(f"map_contains_key(_described, '{key}')" for key in EASY_REQUIRED)
+    required = " AND ".join(f"_fields.{key} IS NOT NULL" for key in EASY_REQUIRED)
+    names = dict.fromkeys(["Software", *EASY_REQUIRED, *NOVELAI_FIELDS.values(), *EASY_FIELDS.values()])
     staged = df.withColumn("_described", F.expr(jv.describe_values_sql(obj)))
+    staged = staged.withColumn("_fields", F.expr(jv.fields_sql("_described", list(names))))
     staged = staged.withColumns(
         {
             "_is_novelai": F.expr(
-                "_described['Software'].kind IN ('str', 'list') AND contains(_described['Software'].text, 'NovelAI')"
+                "_fields.Software.kind IN ('str', 'list') AND contains(_fields.Software.text, 'NovelAI')"
             ),
             "_is_easy": F.expr(f"{required} AND NOT map_contains_key(_described, '{SWARM_KEY}')"),
-            "_prompt": F.expr(_prompt_sql("_described", "prompt")),
-            "_negative": F.expr(_prompt_sql("_described", "negative_prompt")),
+            "_prompt": F.expr(_prompt_sql("_fields.prompt")),
+            "_negative": F.expr(_prompt_sql("_fields.negative_prompt")),
         }
     )
     searched = F.expr("concat(coalesce(_prompt, 'None'), ' ', coalesce(_negative, 'None'))")
     staged = staged.withColumn("_loras", extract_loras(F.when(F.expr("_is_novelai OR _is_easy"), searched)))
-    novelai_record = _flat_record_sql("_described", TOOL_NOVELAI, NOVELAI_FIELDS)
-    easy_record = _flat_record_sql("_described", TOOL_EASY, EASY_FIELDS)
+    staged = jv.with_present(staged, "_novelai_params", _flat_params(NOVELAI_FIELDS), "_is_novelai")
+    staged = jv.with_present(staged, "_easy_params", _flat_params(EASY_FIELDS), "_is_easy")
+    novelai_record = _flat_record_sql(TOOL_NOVELAI, "_novelai_params")
+    easy_record = _flat_record_sql(TOOL_EASY, "_easy_params")
     parsed = staged.withColumns(
         {
             novelai: F.expr(f"IF(_is_novelai, {novelai_record}, NULL)"),
             easy: F.expr(f"IF(_is_easy, {easy_record}, NULL)"),
         }
     )
-    temporary = ("_described", "_is_novelai", "_is_easy", "_prompt", "_negative", "_loras")
+    temporary = (
+        "_described", "_fields", "_is_novelai", "_is_easy", "_prompt", "_negative", "_loras", "_novelai_params", "_easy_params",
+    )
     return finish(parsed, novelai, easy, drop=temporary, settled=settled)
 
 
@@ -117,9 +127,9 @@ _USED_SQL = f"""coalesce(transform(
     u -> named_struct('name', {drop_model_ending_sql("try_variant_get(u, '$.name', 'string')")},
       'weight', CAST(NULL AS STRING))), array())"""
 # Each name once, the first mention of it.
-_NAMED_SQL = f"filter(concat({_WEIGHTED_SQL}, {_USED_SQL}), l -> l.name <> '')"
+_NAMED_SQL = f"IF(_holder IS NOT NULL, filter(concat({_WEIGHTED_SQL}, {_USED_SQL}), l -> l.name <> ''), NULL)"
 _SWARM_LORAS_SQL = """transform(
-    filter(_named, (l, at) -> array_position(transform(_named, n -> n.name), l.name) = at + 1),
+    IF(size(array_distinct(_names)) = size(_names), _named, filter(_named, (l, at) -> array_position(_names, l.name) = at + 1)),
     l -> concat_ws(':', l.name, l.weight))"""
 _MODELS_SQL = f"""coalesce(transform(_models, m -> named_struct(
     'name', try_variant_get(m, '$.name', 'string'),
@@ -147,16 +157,28 @@ def with_swarm_parts(df: DataFrame, objects: list[str]) -> DataFrame:
 def parse_swarm(df: DataFrame, objects: list[str], out: str = "swarm", settled: bool = True) -> DataFrame:
     """Add a record struct from the first of the JSON objects with image
     parameters; NULL without any."""
-    params = {key: f"nullif(_image['{field}'].text, '')" for key, field in SWARM_TEXT_FIELDS.items()}
-    params |= {key: jv.truthy_text_sql(f"_image['{field}']") for key, field in SWARM_FIELDS.items()}
-    extra = {field: jv.truthy_text_sql(f"_extra['{field}']") for field in ("date", "generation_time", "prep_time")}
+    params = {key: f"nullif(_fields.{field}.text, '')" for key, field in SWARM_TEXT_FIELDS.items()}
+    params |= {key: jv.truthy_text_sql(f"_fields.{field}") for key, field in SWARM_FIELDS.items()}
+    extra = {field: jv.truthy_text_sql(f"_times.{field}") for field in SWARM_TIMES}
     record = f"""CAST(named_struct('tool', '{TOOL_SWARM}',
-        'prompt', IF(_image IS NULL, '', {_prompt_sql("_image", "prompt")}),
-        'negative_prompt', IF(_image IS NULL, '', {_prompt_sql("_image", "negativeprompt")}),
-        'params', {jv.present_sql(params)}, 'loras', {_SWARM_LORAS_SQL}, 'models', {_MODELS_SQL},
+        'prompt', {_prompt_sql("_fields.prompt")},
+        'negative_prompt', {_prompt_sql("_fields.negativeprompt")},
+        'params', _swarm_params, 'loras', {_SWARM_LORAS_SQL}, 'models', {_MODELS_SQL},
         'date', {extra["date"]},
         'generation_time', coalesce({extra["generation_time"]}, {extra["prep_time"]})) AS {RECORD_TYPE})"""
-    staged = with_swarm_parts(df, objects).withColumn("_named", F.expr(_NAMED_SQL))
-    temporary = ("_holder", "_image", "_extra", "_models", "_lora_list", "_weight_list", "_named")
+    names = ["prompt", "negativeprompt", *SWARM_TEXT_FIELDS.values(), *SWARM_FIELDS.values()]
+    staged = with_swarm_parts(df, objects).withColumns(
+        {
+            "_fields": F.expr(jv.fields_sql("_image", names)),
+            "_times": F.expr(jv.fields_sql("_extra", SWARM_TIMES)),
+            "_named": F.expr(_NAMED_SQL),
+        }
+    )
+    staged = staged.withColumn("_names", F.expr("transform(_named, l -> l.name)"))
+    staged = jv.with_present(staged, "_swarm_params", params, "_holder IS NOT NULL")
+    temporary = (
+        "_holder", "_image", "_extra", "_models", "_lora_list", "_weight_list", "_fields", "_times", "_named", "_names",
+        "_swarm_params",
+    )
     parsed = staged.withColumn(out, F.expr(f"IF(_holder IS NOT NULL, {record}, NULL)"))
     return finish(parsed, out, drop=temporary, settled=settled)

@@ -1,6 +1,7 @@
 """Golden rows for the five formats and the cascade, quirks included."""
 
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -292,6 +293,41 @@ def test_a1111_patterns_run_once_and_rows_are_settled_once(spark):
     assert plan(resolve.resolve_records(texts)).count("Generate ") == 1
 
 
+def test_a_key_is_searched_once_and_a_graph_built_once(spark):
+    """Values are taken out of an object's map once, however often a record uses them; nodes are made in one pass."""
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    texts = json_formats.with_json_object(tags(spark, [{"parameters": "{}"}]), "parameters", "object")
+    swarm = plan(json_formats.parse_swarm(texts, ["object"]))
+    assert [len(re.findall(rf"_image#\d+\[{key}\]", swarm)) for key in ("seed", "sampler", "prompt")] == [1, 1, 1]
+    flat = plan(json_formats.parse_flat_json(texts, "object"))
+    assert [len(re.findall(rf"_described#\d+\[{key}\]", flat)) for key in ("seed", "steps", "prompt")] == [1, 1, 1]
+    assert plan(comfy.with_graph(texts)).count("bad_inputs,") == 1
+
+
+def test_swarm_without_image_object_and_with_nulls(spark):
+    cases = [
+        '{"sui_image_params":5,"sui_extra_data":[1],"sui_models":7}',
+        '{"sui_image_params":{"prompt":null,"seed":0,"steps":"","cfgscale":null,"sampler":0,"scheduler":false,"model":[]},"sui_extra_data":{"date":0,"generation_time":"","prep_time":"1 sec"}}',
+        '{"sui_image_params":{"loras":["b","a.safetensors","b","a"],"loraweights":[1,"0.5",2]}}',
+    ]
+    empty, nulls, repeated = records(resolve.resolve_records(tags(spark, [{"parameters": c} for c in cases])), "record")
+    assert (empty["prompt"], empty["negative_prompt"], empty["params"], empty["loras"], empty["models"]) == ("", "", {}, [], [])
+    assert (nulls["prompt"], nulls["negative_prompt"], nulls["params"]) == (None, "", {"Seed": "0"})
+    assert (nulls["date"], nulls["generation_time"]) == (None, "1 sec")
+    assert repeated["loras"] == ["b:1.0", "a:0.5"]
+
+
+def test_links_and_first_inputs_of_a_graph(spark):
+    """A link gives the linked node's first plain input in document order, also of a node with one input or repeated keys."""
+    graph = (
+        '{"1":{"class_type":"KSampler","inputs":{"seed":["2",0],"steps":["3",0],"cfg":["4",0]}},'
+        '"2":{"class_type":"P","inputs":{"z":["9",0],"b":7,"a":8}},"3":{"class_type":"P","inputs":{"v":5}},'
+        '"4":{"class_type":"P","inputs":{"k":1,"j":2,"k":3}},"5":{"class_type":"P"}}'
+    )
+    (r,) = records(comfy.parse_comfy(tags(spark, [{"prompt_json": graph}]), out="r"))
+    assert r["params"] == {"Seed": "7", "Steps": "5", "CFG": "3"}
+
+
 @pytest.mark.parametrize(
     "text, params",
     [
