@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixledger.llm.common import ascii_words, chunks, components, mixed, set_apart, starts_of, stored, table, texts_of, word_hashes
+from pixledger.llm.common import ascii_words, chunks, components, in_arrow, mixed, set_apart, starts_of, stored, table, texts_of, word_hashes
 
 SHINGLE = 5
 #: The similarity as a fraction, so that tests on counts are exact.
@@ -109,12 +109,20 @@ def _marks(ids: DataFrame) -> np.ndarray | None:
     return out
 
 
-def _chosen_texts(read: DataFrame, ids: DataFrame) -> DataFrame:
-    """Texts of the documents with these ids; few others may be among them, which does no harm."""
+def _as_they_are(batches):
+    return batches
+
+
+def _chosen_texts(read: DataFrame, ids: DataFrame, rows=_as_they_are, fields: str = "text string") -> DataFrame:
+    """``rows`` over the texts of the documents with these ids; few others may be among them, which does no harm.
+
+    Sifting and ``rows`` share one Python worker a task.
+    """
     marks = _marks(ids)
     if marks is None:
         ids = ids.withColumnRenamed("doc_id", "chosen_id")  # null is an id like others here
-        return read.join(ids.hint("shuffle_hash"), read["doc_id"].eqNullSafe(ids["chosen_id"]), "left_semi").select("text")
+        chosen = read.join(ids.hint("shuffle_hash"), read["doc_id"].eqNullSafe(ids["chosen_id"]), "left_semi").select("text")
+        return in_arrow(chosen, rows, fields)
 
     def marked(batches):
         for batch in batches:
@@ -122,7 +130,8 @@ def _chosen_texts(read: DataFrame, ids: DataFrame) -> DataFrame:
             here = (marks[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1)
             yield batch.filter(pa.array(here.astype(bool))).select(["text"])
 
-    return read.select("text", F.pmod(F.xxhash64("doc_id"), F.lit(MARK_BITS)).alias("place")).mapInArrow(marked, "text string")
+    placed = read.select("text", F.pmod(F.xxhash64("doc_id"), F.lit(MARK_BITS)).alias("place"))
+    return in_arrow(placed, lambda batches: rows(marked(batches)), fields)
 
 
 def _sets(batches):
@@ -215,10 +224,10 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     read = docs.select("doc_id", "text")
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    signed = stored(read.mapInArrow(_sign, f"doc_id {id_type}, n long, node binary, prefix array<bigint>"), "signed")
+    signed = stored(in_arrow(read, _sign, f"doc_id {id_type}, n long, node binary, prefix array<bigint>"), "signed")
     suspects = stored(_suspects(signed), "suspects")
     chosen = signed.join(suspects.hint("shuffle_hash"), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
-    sets = _chosen_texts(read, stored(chosen, "chosen")).mapInArrow(_sets, "node binary, n long, last long, tokens array<bigint>").dropDuplicates(["node"])
+    sets = _chosen_texts(read, stored(chosen, "chosen"), _sets, "node binary, n long, last long, tokens array<bigint>").dropDuplicates(["node"])
     nodes = stored(_ordered(stored(sets, "sets")), "ordered")
     posts = nodes.select("node", "n", "u", F.posexplode("p2").alias("at", "token")).select("token", "node", "n", "u", (F.col("u") + F.col("at") + 1).alias("pos"))
     edges = None
@@ -263,7 +272,7 @@ def one_row_per_group(docs: DataFrame) -> DataFrame:
     _, edges = links(docs)
     id_type = docs.schema["doc_id"].dataType.simpleString()
     read = apart.select("doc_id", "text", F.col("row_key").alias("key"))
-    rows = read.mapInArrow(_noded, f"doc_id {id_type}, key string, node binary").distinct()
+    rows = in_arrow(read, _noded, f"doc_id {id_type}, key string, node binary").distinct()
     rooted = rows.join(components(edges), "node", "left").withColumn("root", F.coalesce("root", "node"))
     alone = F.when(F.col("root").isNull(), F.struct("doc_id", "key"))
     least = rooted.groupBy("root", alone.alias("alone")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("c"))

@@ -80,3 +80,16 @@ def test_near_copies_linked_through_a_null_id(spark, monkeypatch, bits):
     chain = [(1, base), (None, base[:-8] + [f"x{k}" for k in range(8)]), (2, base[8:-8] + [f"x{k}" for k in range(16)])]
     docs = spark.createDataFrame([(i, " ".join(w)) for i, w in chain] + [(9, "some other text that nobody else has at all")], "doc_id long, text string")
     assert {(r["doc_id"], r["component_id"]) for r in jaccard_components(docs).collect()} == {(1, 1), (2, 1), (None, 1), (9, 9)}
+
+
+@pytest.mark.parametrize("bits", [1 << 26, 64])
+def test_sifting_and_sets_share_a_worker(documents, monkeypatch, bits):
+    """One Python step makes the sets of the chosen texts; the rows reach it in batches of a bounded number."""
+    from pixledger.llm import jaccard_join
+
+    monkeypatch.setattr(jaccard_join, "MARK_BITS", bits)
+    read, wanted = documents.select("doc_id", "text"), documents.where("doc_id < 40").select("doc_id").distinct()
+    sets = jaccard_join._chosen_texts(read, wanted, jaccard_join._sets, "node binary, n long, last long, tokens array<bigint>")
+    assert sets._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    expected = [len(shingles(r["text"])) for r in read.where("doc_id < 40").collect()]
+    assert sorted(r["n"] for r in sets.collect()) == sorted(n for n in expected if n)
