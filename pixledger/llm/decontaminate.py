@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixledger.llm.common import chunks, raw, set_apart, starts_of, stored, table, texts_of, words_by
+from pixledger.llm.common import chunks, in_arrow, raw, set_apart, starts_of, stored, table, texts_of, words_by
 
 WINDOW = 10
 BLOCK_BYTES = 4 << 20
@@ -261,7 +261,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, cut: bool = False) -> D
     for block in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()  # about BLOCK_BYTES at most
         vocabulary, windows = windows_of([(r["item_id"], r["text"]) for r in rows])
-        out = out.mapInArrow(_searched(vocabulary, windows, cut and block + 1 == blocks), out.schema)
+        out = in_arrow(out, _searched(vocabulary, windows, cut and block + 1 == blocks), out.schema)
         if block + 1 < blocks:
             out = stored(out, "contamination")
     return out

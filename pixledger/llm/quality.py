@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixledger.llm.common import ascii_words, chunks, raw, table, texts_of
+from pixledger.llm.common import ascii_words, chunks, in_arrow, raw, table, texts_of
 
 SAMPLE = 10_000
 THRESHOLD = 0.3
@@ -83,7 +83,7 @@ def _described(batches):
 
 def _fetched(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Features of the rows, and which are kept apart from the first fit; as Arrow, since lists of Python floats take ten times the memory."""
-    found = df.mapInArrow(_described, "apart boolean, features array<float>").toArrow()
+    found = in_arrow(df, _described, "apart boolean, features array<float>").toArrow()
     rows = found.column("features").combine_chunks().flatten().to_numpy().reshape(-1, N_FEATURES)
     return rows, found.column("apart").to_numpy()
 
@@ -196,7 +196,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict | No
     drawn = _drawn(read.count(), sample, 2)
     unlabelled, apart_u = _fetched(read.where(drawn))
     first = contrast(positive, unlabelled, apart_p, apart_u)
-    unseen = read.where(~drawn | F.col("apart")).select("text").mapInArrow(_histogram(first), "bin int, n bigint")
+    unseen = in_arrow(read.where(~drawn | F.col("apart")).select("text"), _histogram(first), "bin int, n bigint")
     counts = np.zeros(BINS, np.int64)
     for row in unseen.groupBy("bin").agg(F.sum("n").alias("n")).collect():  # a row a bin
         counts[row["bin"]] = row["n"]
@@ -217,7 +217,7 @@ def score_documents(docs: DataFrame, model: dict | None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found)], ["doc_id", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(scored, f"doc_id {kind}, score double")
+    return in_arrow(docs.select("doc_id", "text"), scored, f"doc_id {kind}, score double")
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -228,7 +228,7 @@ def good_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
         for batch in chunks(batches, "text"):
             yield batch.filter(pa.array(scores(model, features(texts_of(batch))) >= threshold))
 
-    return docs.mapInArrow(kept, docs.schema)
+    return in_arrow(docs, kept, docs.schema)
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -91,3 +91,16 @@ def test_words_and_their_bytes():
     begin, end = d.word_ends(data, offsets)
     assert counts.tolist() == [len(WORD.findall(t.translate(LOW))) for t in texts]
     assert [data[a:b].decode().lower() for a, b in zip(begin, end)] == words.to_pylist() == ["ab", "c", "é9", "é", "x", "y"]
+
+
+def test_rows_reach_the_workers_in_bounded_batches(spark):
+    import pyarrow as pa
+
+    from pixledger.llm.common import BATCH_ROWS, in_arrow
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["n"])
+
+    found = [r["n"] for r in in_arrow(spark.range(0, 3 * BATCH_ROWS + 1, 1, 1), sizes, "n long").collect()]
+    assert sum(found) == 3 * BATCH_ROWS + 1 and max(found) <= BATCH_ROWS
